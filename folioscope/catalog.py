@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from folioscope.plans import pages, probes, stats, store, streams, tables
+
+MODULES = (pages, probes, store, stats, tables, streams)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

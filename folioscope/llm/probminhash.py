@@ -3,8 +3,8 @@
 Each distinct five-word shingle of weight w sends arrivals of a Poisson process of rate w, each to a random register, which
 keeps its earliest arrival's shingle. Two registers agree with the probability Jaccard similarity of the weighted
 shingle sets. A shingle stops as soon as its next arrival is later than all registers. Weights grow with the logarithm of a
-shingle's count. Bands of registers name buckets; the members of a bucket are compared with its leader, and in a second pass
-with the members that are still in other classes; every candidate pair is verified on its whole texts.
+shingle's count. Bands of registers name buckets; the members of a bucket are compared with its leader; in a second pass
+those that aren't in their leader's class are compared with all that have met this leader. Every candidate pair is verified on its whole texts.
 """
 
 from __future__ import annotations
@@ -85,14 +85,62 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
                     held = (t, shingles([t], k)[1]) if t != held[0] else held
                 other = values[bounds[i] : bounds[i + 1]]
                 same = len(np.intersect1d(held[1], other, assume_unique=True))
-                # n / m >= least, without rounding of the quotient: least is a few digits
-                good[i] = same > 0 and round(same * 10**6) >= round(least * 10**6) * (len(held[1]) + len(other) - same)
+                good[i] = reaches(same, len(held[1]) + len(other) - same, least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def reaches(same: np.ndarray, whole: np.ndarray, least: float) -> np.ndarray:
+    """same / whole >= least without rounding of the quotient; `least` has six digits at most."""
+    return (same > 0) & (same * 10**6 >= round(least * 10**6) * whole)
+
+
+def settled(met: DataFrame, group: DataFrame, texts: DataFrame, k: int, least: float, block: int = 512) -> DataFrame:
+    """Links (a, b) that the leaders (lead, id) of `met` leave open: of documents that aren't in their leader's class with all that
+    have met this leader. Both sides are dealt into blocks of a fixed size; a pair of blocks is a task's group, which returns at
+    most one link of a document to each other class.
+    """
+    kind = dict(met.dtypes)["id"]
+    both = met.union(met.select("lead", F.col("lead").alias("id"))).distinct()
+    own = group.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    above = group.select(F.col("node").alias("lead"), F.col("component").alias("lc"))
+    placed = both.join(own, "id", "left").join(above, "lead", "left").select("lead", "id", F.coalesce("c", "id").alias("c"), F.coalesce("lc", "lead").alias("lc"))
+    placed = checkpoint(placed)
+    sizes = placed.groupBy("lead").agg(F.ceil(F.count_if(F.col("c") != F.col("lc")) / block).alias("nu"), F.ceil(F.count("*") / block).alias("nm"))
+    rows = checkpoint(placed.join(checkpoint(sizes.where("nu > 0")), "lead").join(texts, "id"))
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    open_ = rows.where("c <> lc").select("lead", place("nu").alias("u"), span("nm").alias("m"), F.lit(True).alias("open"), "id", "c", "text")
+    all_ = rows.select("lead", span("nu").alias("u"), place("nm").alias("m"), F.lit(False).alias("open"), "id", "c", "text")
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        opened, ids, classes = (part.column(c).to_numpy() for c in ("open", "id", "c"))
+        owner, values, _ = shingles(strings(part.column("text")), k)
+        values = np.unique(values, return_inverse=True)[1]
+        bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
+        others = np.flatnonzero(~opened & (np.diff(bounds) > 0))
+        starts = np.concatenate([[0], np.cumsum(np.diff(bounds)[others])[:-1]]) if len(others) else np.zeros(0, np.int64)
+        flat = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in others]) if len(others) else values[:0]
+        flags, found = np.zeros(values.max() + 1 if len(values) else 0, np.int64), {}
+        for i in np.flatnonzero(opened):
+            mine = values[bounds[i] : bounds[i + 1]]
+            if not len(mine) or not len(others):
+                continue
+            flags[mine] = 1
+            same = np.add.reduceat(flags[flat], starts)
+            flags[mine] = 0
+            whole = len(mine) + np.diff(bounds)[others] - same
+            for j in others[reaches(same, whole, least) & (classes[others] != classes[i])]:
+                found[ids[i], classes[j]] = ids[j]
+        pairs = [(min(i, j), max(i, j)) for (i, _), j in found.items()]
+        return pa.table({"a": pa.array([p[0] for p in pairs], part.schema.field("id").type), "b": pa.array([p[1] for p in pairs], part.schema.field("id").type)})
+
+    return open_.union(all_).groupBy("lead", "u", "m").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """(id, class_id) per row of `df`; class_id is the smallest id of the documents joined by links, links being pairs of
     texts whose sets of `k`-word shingles (lower-cased, a shorter text being one shingle) have a Jaccard similarity of `least`
@@ -114,13 +162,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     texts = checkpoint(texts.join(wanted, "id").dropDuplicates(["id"]))
     links = checkpoint(verified(pairs, texts, k, least))
     group = components(links)
-    # what its leader doesn't settle: members of a bucket in different classes, each with each member of another class
-    placed = shared.join(group, shared["id"] == group["node"], "left").select("bucket", "id", "lead", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    open_ = checkpoint(placed.join(mixed, "bucket"))
-    left, right = (open_.select("bucket", F.col("id").alias(x), F.col("c").alias(f"c{x}"), F.col("lead").alias(f"l{x}")) for x in "ab")
-    cross = left.join(right, "bucket").where("ca <> cb and a < b and a <> la").select("a", "b").distinct()
-    more = checkpoint(verified(cross, texts, k, least))
+    more = checkpoint(settled(shared.select("lead", "id"), group, texts, k, least))
     if more.limit(1).count():
         group = components(links.union(more))
     found = member.join(group, member["rep"] == group["node"], "left")

@@ -134,6 +134,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class RankEncoder:
+    """The ids of a byte-level .json file by the same vocabulary's ranks, several times as fast as the library. The first
+    text of every call is also encoded by the library; a call in which they differ is left to the library whole.
+    """
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        ranks = {bytes(char_to_byte()[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self.library, self.ranks = load(path), tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        by_library = lambda some: [np.array(e.ids, np.uint32) for e in self.library.encode_batch(some, add_special_tokens=False)]
+        found = [np.array(self.ranks.encode(t, allowed_special="all"), np.uint32) for t in texts]
+        return found if not texts or np.array_equal(found[0], by_library(texts[:1])[0]) else by_library(texts)
+
+
+@functools.lru_cache(maxsize=2)
+def rank_encoder(path: str) -> RankEncoder:
+    return RankEncoder(path)
+
+
 def char_offsets(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of tokens from their byte sizes: from the character of a token's first byte to behind that of its last."""
     data = np.frombuffer(text.encode(), np.uint8)

@@ -21,6 +21,8 @@ CONTENT = ["main", "article", "[role=main]", "#content", ".content", "body"]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "figure", "dl", "dd", "dt", "body"}
 LEAST_TEXT = 200
+#: Open elements that a tag ends when it starts.
+CLOSES = {"li": {"p", "li"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "tr": {"p", "td", "th", "tr"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}}
 
 
 class Node:
@@ -61,8 +63,9 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", {}, None)
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd") and self.at.tag == tag:
-            self.at = self.at.parent or self.root
+        closes = CLOSES.get(tag, {"p"} if tag in BLOCKS or re.fullmatch("h[1-6]|pre|hr", tag) else set())
+        while self.at.tag in closes and self.at.parent:
+            self.at = self.at.parent
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:

@@ -4,7 +4,7 @@ Vectors are compared within their label. A label is dealt by a hash into shards
 graph. Every shard's vectors are searched in every shard of the label, for a pair of shards in both directions. A vector
 whose beam is full of links searches again with a beam of twice the width. An audit compares vectors picked by a hash with
 all vectors of the other shard; as long as it finds a link that the search has missed, all beams widen and search again, at
-last to the whole shard. Links are checked by their exact cosine. A task returns link counts and a spanning forest of its links.
+last to the whole shard. Links are checked by their exact cosine. A task returns link counts and, for the components, a pair for each linked vector instead of all links.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from .common import checkpoint, components, mix
 
 
+FIRST_WIDTH = 48
+
+
 class Graph:
     """Neighbour lists by level; level 0 holds all vectors. Vectors are of length 1."""
 
@@ -146,13 +149,19 @@ def search_links(graph: Graph, queries: np.ndarray, least: float, width: int, au
         pairs, todo, wide = [], np.arange(len(queries)), min(width, n)
         while len(todo):
             again = []
+            # a beam of a good part of the shard costs more than all of the shard
+            whole = wide > FIRST_WIDTH and 8 * wide >= n
             for part in np.array_split(todo, max(1, len(todo) * max(n, 64 * wide) // 8_000_000)):
+                if whole:
+                    a, b = np.nonzero(queries[part] @ graph.x.T >= least - slack)
+                    pairs.append((part[a], b))
+                    continue
                 near, who = beam(graph, queries[part], wide, 0, descend(graph, queries[part], n), n)
                 full = (near[:, -1] >= least - slack) & (wide < n)
                 a, b = np.nonzero((near >= least - slack) & ~full[:, None])
                 pairs.append((part[a], who[a, b]))
                 again.append(part[full])
-            todo, wide = np.concatenate(again), min(2 * wide, n)
+            todo, wide = np.concatenate([np.zeros(0, np.int64), *again]), min(2 * wide, n)
         a, b = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         if (np.bincount(a, minlength=len(queries))[audit] >= truth).all() or width >= n:
             return a, b
@@ -160,7 +169,7 @@ def search_links(graph: Graph, queries: np.ndarray, least: float, width: int, au
 
 
 def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links between positions, as pairs of ids."""
+    """Pairs (member, smallest position) of ids that join what the links between positions join."""
     parent = np.arange(len(ids))
     while True:  # hooking and doubling over whole arrays
         pa_, pb = parent[a], parent[b]
@@ -173,8 +182,8 @@ def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int
     return [(int(ids[i]), int(ids[p])) for i, p in enumerate(parent) if i != p]
 
 
-def vector_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = 4096, width: int = 48, audit_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(id, n_links) of the vectors with links, and a frame (a, b) of links that joins all linked vectors. Vectors link if
+def vector_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = 4096, width: int = FIRST_WIDTH, audit_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """(id, n_links) of the vectors with links, and pairs (a, b) within components that join all linked vectors. Vectors link if
     their labels are equal and not null and their cosine is `least` or more. Vectors that are null, zero, or hold null or
     non-finite components have no links; vectors of different length have none with each other. `key` must be unique.
     """

@@ -1,8 +1,8 @@
 """Operator 10: exact top-k inner products by the three-phase uniform threshold algorithm.
 
 A node is a group of dimensions; its list holds the partial products of every candidate with a query. Phase 1: each node
-gathers its k largest entries for each query, block of candidates by block, and its smallest one. Lower bounds of the
-sums give a cutoff that the k-th best total can't be below. Phase 2: a total of at least the cutoff needs one node with a
+lists its k largest entries for each query, block of candidates by block. The k-th best total of the candidates listed is a
+cutoff that the k-th best of all can't be below. Phase 2: a total of at least the cutoff needs one node with a
 partial product of cutoff / nodes or more; each node sends these, and no others. Phase 3: of the candidates seen, those whose
 upper bound reaches the cutoff get their exact totals.
 """
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 INT = pa.int64()
+#: A cutoff below every total, where fewer than k candidates are known; its multiples by a few nodes still fit 64 bits.
+LEAST = -(1 << 56)
 
 
 def whole_numbers(df: DataFrame, scale: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -63,37 +65,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, nodes: int = 4
         left, right = matrix(q.values, dims), matrix(c.values, dims)
         return (*(np.array(batch.column(x)[i].values.to_pylist(), np.int64) for x in ("q_id", "c_id")), [left[:, s:e] @ right[:, s:e].T for s, e in zip(bounds, bounds[1:])])
 
-    def emit(parts: list[tuple]) -> pa.RecordBatch:
-        columns = [np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4)]
-        return pa.RecordBatch.from_arrays([pa.array(x, INT) for x in columns], ["query_id", "node", "id", "part"])
+    def emit(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, INT) for x in columns], ["query_id", "id", "score"])
 
     def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 query, own, parts = products(batch, i)
-                rows = []
-                for node, p in enumerate(parts):
-                    masked = np.where(query[:, None] == own[None, :], np.iinfo(np.int64).min, p)
-                    # stable by value, then by id, as ids are sorted
-                    best = np.argsort(-masked, axis=1, kind="stable")[:, :k]
-                    at = np.repeat(np.arange(len(query)), best.shape[1])
-                    keep = own[best.ravel()] != query[at]
-                    rows.append((query[at][keep], np.full(keep.sum(), node), own[best.ravel()][keep], p[at, best.ravel()][keep]))
-                    rows.append((query, np.full(len(query), -1 - node), np.full(len(query), -1), p.min(axis=1)))
-                yield emit(rows)
-
-    kind = "query_id long, node long, id long, part long"
-    lists = checkpoint(met.mapInArrow(local_lists, kind))
-    floors = lists.where("node < 0").groupBy("query_id", (-1 - F.col("node")).alias("node")).agg(F.min("part").alias("floor"))
-    rank = F.row_number().over(Window.partitionBy("query_id", "node").orderBy(F.desc("part"), "id"))
-    first = lists.where("node >= 0").withColumn("r", rank).where(F.col("r") <= k)
-    total_floor = floors.groupBy("query_id").agg(F.sum("floor").alias("total_floor"))
-    lower = first.join(floors, ["query_id", "node"]).groupBy("query_id", "id").agg(F.sum(F.col("part") - F.col("floor")).alias("above"))
-    lower = lower.join(total_floor, "query_id").select("query_id", "id", (F.col("above") + F.col("total_floor")).alias("low"))
-    kth = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    cutoff = lower.withColumn("r", F.row_number().over(kth)).where(F.col("r") <= k).groupBy("query_id").agg(F.min("low").alias("t1"), F.count("*").alias("found"))
-    # fewer than k candidates seen: nothing may be cut off
-    cutoff = checkpoint(cutoff.join(total_floor, "query_id").select("query_id", F.when(F.col("found") < k, F.least("t1", "total_floor")).otherwise(F.col("t1")).alias("cut")))
+                other, picked = query[:, None] != own[None, :], np.zeros((len(query), len(own)), bool)
+                for p in parts:
+                    masked = np.where(other, p, np.iinfo(np.int64).min)
+                    best = np.argpartition(-masked, min(k, len(own)) - 1, axis=1)[:, :k]
+                    np.put_along_axis(picked, best, True, 1)
+                a, b = np.nonzero(picked & other)
+                yield emit(query[a], own[b], sum(p[a, b] for p in parts))
+
+    kind = "query_id long, id long, score long"
+    lists = met.mapInArrow(local_lists, kind)
+    # the k-th best total of the candidates that some node's list names is reached by k candidates: no total below it counts
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    best = lists.withColumn("r", place).where(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("found"))
+    cutoff = checkpoint(best.select("query_id", F.when(F.col("found") < k, LEAST).otherwise(F.col("low")).alias("cut")))
     # a block of queries takes its cutoffs along
     keyed = queries.select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).alias("q")).join(cutoff, F.col("id") == F.col("query_id"))
     cuts = keyed.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("id", "cut"))).alias("cuts"))
@@ -104,22 +96,20 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, nodes: int = 4
             for i in range(batch.num_rows):
                 query, own, parts = products(batch, i)
                 cut_of = dict(batch.column("cuts")[i].as_py())
-                cut = np.array([cut_of.get(x, np.iinfo(np.int64).max // nodes) for x in query.tolist()], np.int64)
-                other, rows = query[:, None] != own[None, :], []
-                large = [(p * nodes >= cut[:, None]) & other for p in parts]
-                # entries that a node doesn't send are below cutoff / nodes; what the sent ones leave open decides phase 3
-                bound = sum(np.where(s, p * nodes, cut[:, None] - 1) for s, p in zip(large, parts))
-                open_ = np.logical_or.reduce(large) & (bound >= cut[:, None] * nodes)
-                a, b = np.nonzero(open_)
+                known = np.array([x in cut_of for x in query.tolist()], bool)
+                cut = np.array([cut_of.get(x, 0) for x in query.tolist()], np.int64)[:, None]
+                large = [p * nodes >= cut for p in parts]
+                # what a node doesn't send is below cutoff / nodes, which bounds the totals of the entries that others send
+                bound = sum(np.where(s, p * nodes, cut) for s, p in zip(large, parts))
+                a, b = np.nonzero(np.logical_or.reduce(large) & (bound >= cut * nodes) & known[:, None] & (query[:, None] != own[None, :]))
                 # phase 3: exact totals of the candidates whose upper bound reaches the cutoff
                 total = sum(p[a, b] for p in parts)
-                good = total >= cut[a]
-                rows.append((query[a][good], np.full(good.sum(), 0), own[b][good], total[good]))
-                yield emit(rows)
+                good = total >= cut[a, 0]
+                yield emit(query[a][good], own[b][good], total[good])
 
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     exact = sent.mapInArrow(large_entries, kind)
-    order = Window.partitionBy("query_id").orderBy(F.desc("part"), "id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", F.col("part").alias("score"))
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def nearest(df: DataFrame) -> DataFrame:

@@ -92,9 +92,9 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, calibration: np.ndarray, pool: l
             extra[1 - k] = (np.concatenate([low, high]), np.concatenate([np.zeros(len(low)), np.ones(len(high))]))
     held = calibration if len(set(y[calibration])) == 2 else np.ones(len(y), bool)
     raw = [np.clip(v[held] @ b[:-1] + b[-1], -30, 30)[:, None] for v, b in zip(x, betas)]
-    scale = [fit(r, y[held], ridge=0.01) for r in raw]
+    scale = [fit(r / 10, y[held], ridge=0.1) / [10, 1] for r in raw]
     half = Model(betas, scale, np.zeros(3))
-    return Model(betas, scale, fit(half.logits([v[held] for v in x]), y[held], ridge=0.01))
+    return Model(betas, scale, fit(half.logits([v[held] for v in x]), y[held], ridge=0.5))
 
 
 def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 20_000, pool_rows: int = 10_000, rounds: int = 4, share: float = 0.05) -> DataFrame:

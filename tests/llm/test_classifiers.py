@@ -56,8 +56,8 @@ def test_cotraining_uses_the_pool():
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 2000).astype(float)
     views = [np.column_stack([y * 2 - 1 + rng.normal(size=2000), rng.normal(size=(2000, 3))]) for _ in range(2)]
-    few = np.arange(30)
-    model = cotrain.cotrain([v[few] for v in views], y[few], few % 5 == 0, [v[30:1500] for v in views], 4, 0.05)
+    few = np.arange(80)
+    model = cotrain.cotrain([v[few] for v in views], y[few], few % 5 == 0, [v[80:1500] for v in views], 4, 0.05)
     assert ((model.score([v[1500:] for v in views]) >= 0.5) == y[1500:]).mean() > 0.85
 
 

@@ -102,3 +102,38 @@ def paired_lift(results: DataFrame, by: list[str]) -> DataFrame:
     side = lambda mode: results.where((F.col("mode") == mode) & graded()).groupBy(*by, "probe_id").agg(F.max("fidelity").alias(mode), F.max("searches_attempted").alias(f"searches_{mode}"))
     both = side("web").join(side("closed"), [*by, "probe_id"])
     return both.groupBy(*by).agg(F.count("*").alias("pairs"), half_up(F.avg("web"), 4).alias("paired_web"), half_up(F.avg("closed"), 4).alias("paired_closed"), half_up(F.avg(F.col("web") - F.col("closed")), 4).alias("lift"), half_up(F.avg("searches_web"), 4).alias("searches_per_probe"))
+
+
+def corpus_summary(pages: DataFrame) -> DataFrame:
+    """One row over pages (score, fidelity, hits, judged, grader): means and exact medians of the measured pages, the hit rate
+    pooled over probes, the graders and whether they are mixed, and notes on what is missing.
+    """
+    scored, probed = F.count("score"), F.count("fidelity")
+    out = pages.agg(
+        F.count("*").alias("pages"), scored.alias("scored"), probed.alias("probed"),
+        half_up(F.avg("score"), 1).alias("mean_score"), half_up(F.percentile("score", 0.5), 1).alias("median_score"),
+        half_up(F.avg("fidelity"), 1).alias("mean_fidelity"), half_up(F.percentile("fidelity", 0.5), 1).alias("median_fidelity"),
+        ratio(F.sum("hits"), F.sum("judged"), 2).alias("hit_rate"), F.array_join(F.array_sort(F.collect_set("grader")), ",").alias("graders"), (F.count_distinct("grader") > 1).alias("mixed_graders"),
+    )
+    note = lambda condition, *parts: F.when(condition, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
+    missing = note(F.col("scored") < F.col("pages"), (F.col("pages") - F.col("scored")).cast("string"), " page(s) without an audit")
+    unprobed = note(F.col("probed") < F.col("pages"), (F.col("pages") - F.col("probed")).cast("string"), " page(s) without graded probes")
+    return out.withColumn("notes", F.concat_ws("; ", missing, unprobed, note(F.col("mixed_graders"), "graders differ")))
+
+
+def recommendations(audits: DataFrame, by: list[str]) -> DataFrame:
+    """Recommendations of audits by priority."""
+    rows = audits.select(*by, F.explode("recommendations").alias("r"))
+    return rows.groupBy(*by).agg(*[F.count_if(F.col("r.priority") == p).alias(f"p{p}") for p in (1, 2, 3)], F.count("*").alias("n"))
+
+
+def batch_results(sent: DataFrame, received: DataFrame) -> DataFrame:
+    """What was sent with what came back under its custom id; what didn't come back is an error."""
+    back = received.select("custom_id", "body", F.col("error").alias("_error"), F.lit(True).alias("_back"))
+    return sent.join(back, "custom_id", "left").withColumn("error", F.when(F.col("_back"), F.col("_error")).otherwise("missing from the batch")).drop("_error", "_back")
+
+
+def regrade_means(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """Mean fidelity before and after grading again, over the probes that both have."""
+    both = before.select(*by, "probe_id", F.col("fidelity").alias("old")).join(after.select(*by, "probe_id", F.col("fidelity").alias("new")), [*by, "probe_id"]).where("old is not null and new is not null")
+    return both.groupBy(*by).agg(F.count("*").alias("n"), half_up(F.avg("old"), 1).alias("mean_before"), half_up(F.avg("new"), 1).alias("mean_after"), half_up(F.avg(F.col("new") - F.col("old")), 1).alias("shift"))

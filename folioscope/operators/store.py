@@ -111,3 +111,12 @@ def reusable(pages: DataFrame, artifacts: DataFrame, protocol: list[str]) -> Dat
 
 def coverage(pages: DataFrame, by: list[str]) -> DataFrame:
     return pages.groupBy(*by).agg(F.count("*").alias("pages"), ratio(F.count("score"), F.count("*"), 2).alias("scored"), ratio(F.count("fidelity"), F.count("*"), 2).alias("probed"))
+
+
+def page_index(latest: DataFrame, columns: list[str]) -> DataFrame:
+    """The allowed columns of the latest artifacts, weakest pages first, those without a score as 0."""
+    return latest.select(*columns).orderBy(F.coalesce("score", F.lit(0)), "page_key")
+
+
+def protocol_fingerprint(model: Column, grader: Column, effort: Column, mode: Column, prompt: Column) -> Column:
+    return fingerprint(model, grader, effort, mode, prompt)

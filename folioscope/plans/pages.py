@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import checks, urls
 from folioscope.functions.markdown import VAGUE, page_facts
 from folioscope.functions.num import half_up as half_up_column
-from folioscope.operators import retrieval, rollup
+from folioscope.operators import retrieval, rollup, texts
 from folioscope.plans.remap import half_up, read
 from folioscope.session import workers_find_library
 from folioscope.sources.html import read_pages
@@ -48,6 +48,21 @@ def page_links(spark, sf_dir):
     return facts(spark, sf_dir).select("url", F.col("links.totalLinks").alias("total"), F.col("links.internalLinks").alias("internal"), F.col("links.externalLinks").alias("external"))
 
 
+def facts_texts(spark, sf_dir):
+    return texts.facts_text(facts(spark, sf_dir)).select("url", F.length("text").cast("long").alias("length"), F.md5("text").alias("md5"))
+
+
+def page_texts(spark, sf_dir):
+    workers_find_library(spark)
+    found = texts.page_text(read_pages(read(spark, sf_dir, "pages").select("url", "html")))
+    return found.select("url", texts.thin(F.col("text")).alias("thin"), texts.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+def probe_set_ids(spark, sf_dir):
+    probes = read(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("page"), F.col("p_partkey").alias("id"), F.col("p_name").alias("prompt"))
+    return texts.probe_set_ids(probes, "page", ["prompt", "id"])
+
+
 def specifics_density(spark, sf_dir):
     """Numerals and vague quantifiers of documents without markup, in expressions only."""
     text = F.coalesce("text", F.lit(""))
@@ -122,7 +137,8 @@ VAGUE_SQL = " + ".join(f"contains(low, '{v}')::BIGINT" for v in VAGUE)
 SQL = {
     "specifics_density": f"""WITH r AS (SELECT doc_id, lower(coalesce(text, '')) AS low, len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS words, {COUNT} AS numerals FROM documents)
       SELECT doc_id, words, numerals, {VAGUE_SQL} AS vague, CASE WHEN words > 0 THEN {half_up('numerals::DOUBLE / words * 1000', 0)} ELSE 0.0::DOUBLE END AS density FROM r""",
+    "probe_set_ids": """SELECT p_partkey % 40 AS page, substring(sha256('[' || string_agg('{"id":' || p_partkey || ',"prompt":"' || p_name || '"}', ',' ORDER BY p_partkey) || ']'), 1, 12) AS probe_set_id FROM part GROUP BY 1""",
     "retrieval_tier": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {h}, {v}, {t})" for k, (h, v, t) in FIXED.items()) + ") t(id, hit, via, tier)",
     "audit_parse": "SELECT * FROM (VALUES ('good', 71.5::DOUBLE, 'Strong', 9, 1, NULL), ('short', NULL, NULL, NULL, NULL, '8 dimension rows, not 9'), ('none', NULL, NULL, NULL, NULL, 'no title')) t(id, score, band, dimensions, recommendations, error)",
 }
-QUERIES = [page_rollup_by_host, check_points_by_host, potential_fixes, page_structure, page_links, specifics_density, retrieval_tier, audit_parse]
+QUERIES = [page_rollup_by_host, check_points_by_host, potential_fixes, page_structure, page_links, facts_texts, page_texts, probe_set_ids, specifics_density, retrieval_tier, audit_parse]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import cost, store, views
-from folioscope.plans.remap import CALLS, PRICE_ROWS, PRICES, RUNS, calls, half_up, ratio, runs
+from folioscope.operators import cost, probes, store, views
+from folioscope.plans.remap import CALLS, PRICE_ROWS, PRICES, RESULTS, RUNS, calls, half_up, ratio, results, runs
 
 AT = "strftime(run_at, '%Y-%m-%d %H:%M:%S')"
 
@@ -92,6 +92,36 @@ def cost_estimate(spark, sf_dir):
     return cost.estimate(runs(spark, sf_dir).select("target_name", "page_key").distinct(), ["target_name"], 6, "web")
 
 
+def page_index(spark, sf_dir):
+    found = store.latest_artifacts(runs(spark, sf_dir), ["page_key"], ["at"])
+    return store.page_index(found, ["page_key", "score", "band", "fidelity", "mode"])
+
+
+def corpus_summary(spark, sf_dir):
+    found = store.latest_artifacts(runs(spark, sf_dir), ["page_key"], ["at"])
+    key = F.col("page_key")
+    return probes.corpus_summary(found.select("score", "fidelity", (key % 5).alias("hits"), (key % 5 + key % 3).alias("judged"), F.concat(F.lit("g"), key % 2).alias("grader")))
+
+
+def recommendations_by_priority(spark, sf_dir):
+    one = lambda p: F.struct(F.lit(p).cast("int").alias("priority"), F.lit("t").alias("title"))
+    audits = runs(spark, sf_dir).select("target_name", F.filter(F.array(one(1), one(2), one(3)), lambda r: F.col("run_id") % (r["priority"] + 1) == 0).alias("recommendations"))
+    return probes.recommendations(audits, ["target_name"])
+
+
+def batch_results(spark, sf_dir):
+    rows = runs(spark, sf_dir)
+    sent = rows.select(F.col("run_id").alias("custom_id"), "page_key")
+    back = rows.where("run_id % 4 > 0").select(F.col("run_id").alias("custom_id"), F.when(F.col("run_id") % 9 > 0, F.col("target_name")).alias("body"), F.when(F.col("run_id") % 9 == 0, "overloaded").alias("error"))
+    return probes.batch_results(sent, back)
+
+
+def regrade_means(spark, sf_dir):
+    rows = results(spark, sf_dir).where("mode = 'web'").select("page_key", F.col("probe_id"), "fidelity").groupBy("page_key", "probe_id").agg(F.max("fidelity").alias("fidelity"))
+    again = rows.withColumn("fidelity", F.when(F.col("probe_id") % 11 > 0, (F.col("fidelity") * 3 + F.col("probe_id")) % 101))
+    return probes.regrade_means(rows, again, ["page_key"])
+
+
 BAND = lambda x: f"CASE WHEN {x} >= 85 THEN 'excellent' WHEN {x} >= 70 THEN 'strong' WHEN {x} >= 55 THEN 'good' WHEN {x} >= 40 THEN 'fair' WHEN {x} >= 0 THEN 'poor' END"
 NEWEST = lambda value, when: f"(max_by({value}, (run_at, run_id)) FILTER ({when}))"
 POINTS = f"""WITH {RUNS}, points AS (SELECT run_id, run_at, target_type || ':' || target_name AS target, score, fidelity, grader_model || '|' || coalesce(probe_effort, 'unknown') AS fingerprint, grader_model IS NOT NULL AND probe_effort IS NOT NULL AS protocol_known
@@ -130,4 +160,16 @@ SQL = {
     "cost_estimate": f"""WITH {RUNS}, n AS (SELECT target_name, count(DISTINCT page_key) AS n FROM runs GROUP BY target_name), l AS (SELECT target_name, n AS pages, {", ".join(f"{half_up(v, 4)} AS {k}" for k, v in UNITS.items())} FROM n)
       SELECT *, {half_up('0.0::DOUBLE + audit + probe_generation + probe_test', 2)} AS total, {half_up('(0.0::DOUBLE + audit + probe_generation + probe_test) * (1 - 0.3::DOUBLE)', 2)} AS low, {half_up('(0.0::DOUBLE + audit + probe_generation + probe_test) * (1 + 0.3::DOUBLE)', 2)} AS high FROM l""",
 }
-QUERIES = [latest_per_artifact, target_rollup, run_health, trend_points, trend_segments, trend_discontinuities, trend_delta, status_transitions, reconcile_runs, reusable_artifacts, coverage_by_target, append_points, run_groups, cost_tally_rollup, usage_fold, cost_estimate]
+LATEST = SQL["latest_per_artifact"]
+SQL |= {
+    "page_index": f"SELECT page_key, score, band, fidelity, mode FROM ({LATEST})",
+    "corpus_summary": f"""WITH p AS (SELECT score, fidelity, page_key % 5 AS hits, page_key % 5 + page_key % 3 AS judged, 'g' || (page_key % 2) AS grader FROM ({LATEST})),
+      a AS (SELECT count(*) AS pages, count(score) AS scored, count(fidelity) AS probed, {half_up('avg(score)', 1)} AS mean_score, {half_up('quantile_cont(score, 0.5)', 1)} AS median_score, {half_up('avg(fidelity)', 1)} AS mean_fidelity, {half_up('quantile_cont(fidelity, 0.5)', 1)} AS median_fidelity,
+        {ratio('sum(hits)', 'sum(judged)', 2)} AS hit_rate, string_agg(DISTINCT grader, ',' ORDER BY grader) AS graders, count(DISTINCT grader) > 1 AS mixed_graders FROM p)
+      SELECT *, concat_ws('; ', CASE WHEN scored < pages THEN (pages - scored) || ' page(s) without an audit' END, CASE WHEN probed < pages THEN (pages - probed) || ' page(s) without graded probes' END, CASE WHEN mixed_graders THEN 'graders differ' END) AS notes FROM a""",
+    "recommendations_by_priority": f"WITH {RUNS}, r AS (SELECT target_name, unnest([1, 2, 3]) AS p, run_id FROM runs) SELECT target_name, count(*) FILTER (p = 1) AS p1, count(*) FILTER (p = 2) AS p2, count(*) FILTER (p = 3) AS p3, count(*) AS n FROM r WHERE run_id % (p + 1) = 0 GROUP BY target_name",
+    "batch_results": f"WITH {RUNS} SELECT run_id AS custom_id, page_key, CASE WHEN run_id % 4 > 0 AND run_id % 9 > 0 THEN target_name END AS body, CASE WHEN run_id % 4 = 0 THEN 'missing from the batch' WHEN run_id % 9 = 0 THEN 'overloaded' END AS error FROM runs",
+    "regrade_means": f"""WITH {RESULTS}, o AS (SELECT page_key, probe_id, max(fidelity) AS old FROM results WHERE mode = 'web' GROUP BY ALL), b AS (SELECT *, CASE WHEN probe_id % 11 > 0 THEN (old * 3 + probe_id) % 101 END AS new FROM o)
+      SELECT page_key, count(*) AS n, {half_up('avg(old)', 1)} AS mean_before, {half_up('avg(new)', 1)} AS mean_after, {half_up('avg(new - old)', 1)} AS shift FROM b WHERE old IS NOT NULL AND new IS NOT NULL GROUP BY page_key""",
+}
+QUERIES = [page_index, corpus_summary, recommendations_by_priority, batch_results, regrade_means, latest_per_artifact, target_rollup, run_health, trend_points, trend_segments, trend_discontinuities, trend_delta, status_transitions, reconcile_runs, reusable_artifacts, coverage_by_target, append_points, run_groups, cost_tally_rollup, usage_fold, cost_estimate]

@@ -57,6 +57,8 @@ def weights() -> tuple[list[tuple[str, str, str, float]], float, list[str], floa
     return rows, other, sorted(set(idf) - plain), threshold
 
 
+#: The largest licence file, in bytes.
+FILE_BYTES = 4096
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -82,12 +84,12 @@ def line_licences(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", file_words: int = 40) -> DataFrame:
     """(doc, path, license, similarity, origin) per row of `df`. A text's own licence is that of its most similar line, the
-    first of equals: origin "own". A text of at most `file_words` words with an own licence is a licence file of its directory; the most similar
+    first of equals: origin "own". A text of at most `file_words` words and FILE_BYTES bytes with an own licence is a licence file of its directory; the most similar
     one of a directory counts, ties to the smaller name. Any other text takes the licence of the nearest directory above it
     that has a licence file: origin "inherited", else origin "none" and nulls. Null and empty texts have no licence of their
     own; a null path inherits nothing. Keys must be unique.
     """
-    files = df.select(F.col(key).alias("doc"), F.col(path).alias("path"), F.regexp_extract(F.col(path), "^(.*)/[^/]*$", 1).alias("dir"), F.size(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+")).alias("words"))
+    files = df.select(F.col(key).alias("doc"), F.col(path).alias("path"), F.regexp_extract(F.col(path), "^(.*)/[^/]*$", 1).alias("dir"), F.when(F.octet_length(text) <= FILE_BYTES, F.size(F.split(F.trim(text), r"\s+"))).alias("words"))
     own = line_licences(df, key, text).groupBy("doc").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "pos", "license")).alias("m"))
     own = checkpoint(own.select("doc", F.col("m.license").alias("license"), (-F.col("m.s")).alias("similarity")))
     local = checkpoint(files.join(own, "doc", "left"))
@@ -127,7 +129,7 @@ weighted AS (SELECT doc_id, pos, term, n * coalesce(idf, {other}) AS w FROM word
 norms AS (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
 scored AS (SELECT doc_id, pos, license, round(sum(w * t) / any_value(norm), 6) AS similarity FROM weighted JOIN template USING (term) JOIN norms USING (doc_id, pos) GROUP BY doc_id, pos, template, license),
 own AS (SELECT doc_id, license, similarity FROM scored WHERE similarity >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pos, license) = 1),
-files AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || (doc_id // 64) AS dir, len(regexp_split_to_array(trim(coalesce(text, '')), '\\s+')) AS n_words FROM documents),
+files AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || (doc_id // 64) AS dir, CASE WHEN strlen(text) <= {FILE_BYTES} THEN len(regexp_split_to_array(trim(text), '\\s+')) END AS n_words FROM documents),
 local AS (SELECT * FROM files LEFT JOIN own USING (doc_id)),
 named AS (SELECT dir AS above, license, similarity FROM local WHERE n_words <= 40 AND license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license) = 1),
 near AS (SELECT d.dir, n.license, n.similarity FROM (SELECT DISTINCT dir FROM files) d JOIN named n ON d.dir = n.above OR starts_with(d.dir, n.above || '/') QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(n.above) DESC) = 1)

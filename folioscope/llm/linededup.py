@@ -1,25 +1,60 @@
 """Operator 7 [native]: line dedup by a deletion-neighbourhood join.
 
-Lines are compared as lists of lower-cased words; the edit bound is one word: inserted, deleted or replaced. Deleting word i
-of n leaves a variant. Two lines of n words that differ in word i share the variant (n, i, rest); a line of n + 1 words and
-one of n that lacks its word i share the variant "rest" with the shorter one whole. Variants are hashed in time linear in the
-line, as exclusive ors of position-bound word hashes. Only lines that share a half with some other line can be within the
-bound, so that only they emit variants. Within a variant the earliest line stands for all, so that a variant of any size
-gives one candidate pair for each of its lines; every candidate pair is verified on its words.
+Lines are compared as lists of lower-cased words; the edit bound is one word: inserted, deleted or replaced. A line without
+its word i is a variant of it. Two lines of n words that differ in word i share the variant (i, rest); a line of n + 1 words
+and one of n share a variant of the longer one with the shorter one whole.
+
+Emitting all variants of all lines would multiply the text, so they are narrowed first, losing no pair: two lines within the
+bound agree in their first or in their last words, and then in all but one of about sqrt(n) blocks of words. Only words of
+such a block are deleted for variants. Within a variant the earliest line stands for all, so that a variant of any size gives
+one candidate pair for each of its lines; every candidate pair is verified on its words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_key
+from .common import checkpoint
+
+ENDS = ("first", "last", "step_first", "step_last")
+BITS = 32_768  # of one bitmap row
+MOST_BITMAPS = 4_096
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as a table to the shared checkpoint folder and read again: smaller than a checkpoint, and read by column."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/lines-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def normal(low: Column) -> Column:
+    """The words of a lower-cased line with one space between them; ASCII white space parts words."""
+    return F.trim(F.regexp_replace(low, r"[ \t\x0B\f\r]+", " "))
 
 
-def normal(line: Column) -> Column:
-    """The lower-cased words of a line with one space between them; ASCII white space parts words."""
-    flat = F.translate(F.lower(line), "\t\x0b\f\r", "    ")
-    return F.trim(F.when(F.instr(flat, "  ") > 0, F.regexp_replace(flat, " +", " ")).otherwise(flat))
+def normal_lines(text: Column) -> Column:
+    """The normal form of each line of a text; a text whose lines all have it is only split."""
+    lines = F.split(F.lower(text), "\n", -1)
+    uneven = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for blanks in ("  ", " \n", "\n ", "\t", "\x0b", "\f", "\r"):
+        uneven = uneven | F.contains(text, F.lit(blanks))
+    return F.when(uneven, F.transform(lines, normal)).otherwise(lines)
+
+
+def word_count(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def head(line: Column, n: Column) -> Column:
+    """First n words, or the last -n."""
+    return F.call_function("substring_index", line, F.lit(" "), n)
 
 
 def within_one_word(x: Column, y: Column) -> Column:
@@ -33,7 +68,12 @@ def within_one_word(x: Column, y: Column) -> Column:
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, pos, line) of all lines of all whole texts."""
-    return df.select(F.col(key).alias("doc"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+
+
+def span(n: Column) -> Column:
+    """Words of the compared ends of a line of n: a power of two of at most n / 2, the same for n and n + 1 but at its steps."""
+    return F.floor(F.pow(F.lit(2.0), F.floor(F.log2(n / 2.0)))).cast("int")
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3, fuzzy: int = 8) -> DataFrame:
@@ -42,78 +82,103 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", least: int
     is itself a repeat. Lines of under `least` words neither repeat nor are repeated. Null texts have no lines to drop; rows
     that repeat whole (the same key) keep the same lines.
     """
-    lines = lines_of(df, key, text).select("doc", "pos", normal(F.col("line")).alias("norm"))
-    n = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
-    lines = lines.select("doc", "pos", "norm", n.cast("int").alias("n")).where((F.col("n") >= least) & (F.col("norm") != "") & F.col("doc").isNotNull())
-    # two passes over the texts keep the shuffle to hashes: the first finds each distinct line's earliest place
-    keyed = lines.select(text_key(F.col("norm")).alias("k"), F.struct("doc", "pos").alias("at"), "n", *halves())
-    distinct = checkpoint(keyed.groupBy("k").agg(F.min("at").alias("at"), F.first("n").alias("n"), *[F.first(h).alias(h) for h in HALVES]))
-    near = fuzzy_repeats(lines, distinct, fuzzy)
-    first = distinct.select("k", "at", F.lit(False).alias("near")).join(near.select("k", F.lit(True).alias("is_near")), "k", "left")
-    first = checkpoint(first.select("k", "at", F.coalesce("is_near", F.lit(False)).alias("near")))
-    exact = keyed.select("k", F.col("at").alias("own")).join(first, "k").where((F.col("own") != F.col("at")) | F.col("near"))
+    # normal lines come out of the explode, so that no filter computes them again
+    lines = df.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(normal_lines(F.col(text))).alias("pos", "norm")).where("norm <> ''")
+    lines = lines.select("doc", "pos", "norm", word_count(F.col("norm")).alias("n")).where(F.col("n") >= least)
+    # a line at a step of span() is compared over both its steps
+    end = lambda side, sign, size: F.xxhash64(F.lit(side), head(F.col("norm"), sign * size))
+    long, step = F.col("n") >= fuzzy, span(F.col("n")) != span(F.col("n") - 1)
+    ends = [F.when(c, end(side, sign, span(F.col("n") - less))).alias(name) for name, c, less, side, sign in zip(ENDS, (long, long, long & step, long & step), (0, 0, 1, 1), (0, 1, 0, 1), (1, -1, 1, -1))]
+    keyed = stored(lines.select("doc", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), "n", *ends))
+    at = F.struct("doc", "pos")
+    earliest = keyed.groupBy("h1", "h2").agg(F.min(at).alias("at"), *[F.first(c).alias(c) for c in ("n", *ENDS)])
+    earliest = stored(earliest.select("h1", "h2", "at.doc", "at.pos", "n", *ENDS))
+    near = fuzzy_repeats(df, key, text, earliest, fuzzy)
+    first = earliest.select("h1", "h2", "doc", "pos").join(near.withColumn("near", F.lit(True)), ["doc", "pos"], "left")
+    first = stored(first.select("h1", "h2", F.struct("doc", "pos").alias("at"), F.coalesce("near", F.lit(False)).alias("near")))
+    exact = keyed.select("h1", "h2", at.alias("own")).join(first, ["h1", "h2"]).where((F.col("own") != F.col("at")) | F.col("near"))
     return exact.select("own.doc", "own.pos").distinct()
 
 
-HALVES = ["h0", "h1", "h2", "h3"]
-
-
-def halves() -> list[Column]:
-    """Hashes of the first and last halves of a line of n words, as one of n and as the longer one of a pair of n - 1 and n."""
-    n = F.col("n")
-    head = lambda count: F.call_function("substring_index", F.col("norm"), F.lit(" "), count)
-    out = []
-    for i, size in enumerate((n, n - 1)):
-        half = F.floor(size / 2).cast("int")
-        out += [F.xxhash64(F.lit(0), size, head(half)).alias(f"h{2 * i}"), F.xxhash64(F.lit(1), size, head(half - size)).alias(f"h{2 * i + 1}")]
-    return out
-
-
-def fuzzy_repeats(lines: DataFrame, distinct: DataFrame, fuzzy: int) -> DataFrame:
-    """(k) of the distinct lines within one word of a distinct line with an earlier place."""
-    long = distinct.where(F.col("n") >= fuzzy).select("k", "at", "n", F.explode(F.array(*HALVES)).alias("h"))
-    shared = checkpoint(long.groupBy("h").agg(F.min("k.h1").alias("lo"), F.max("k.h1").alias("hi")).where("lo <> hi").select("h"))
-    suspects = long.join(shared, "h").select("k", "at").distinct()
-    # the words of suspects only, each distinct line once, at its earliest place
-    text = lines.where(F.col("n") >= fuzzy).select(F.struct("doc", "pos").alias("at"), "norm").join(suspects, "at")
-    text = checkpoint(text.groupBy("k").agg(F.first("at").alias("at"), F.first("norm").alias("norm")))
-    each = text.select("k", "at", F.size(F.split("norm", " ")).alias("n"), F.posexplode(F.split("norm", " ")).alias("i", "w"))
-    own, shifted = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
-    line = Window.partitionBy("k")
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.select("k", "at", "n", "i", own.alias("a"), F.bit_xor(own).over(line).alias("all"), F.bit_xor(own).over(upto).alias("head"), F.bit_xor(shifted).over(line).alias("all_b"), F.bit_xor(shifted).over(upto).alias("head_b"))
-    replaced = F.struct(F.col("n").alias("n"), F.col("i").alias("i"), F.col("all").bitwiseXOR(F.col("a")).alias("v"))
-    removed = F.struct((F.col("n") - 1).alias("n"), F.lit(-1).alias("i"), F.col("head").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("all_b")).bitwiseXOR(F.col("head_b")).alias("v"))
-    whole = F.struct(F.col("n").alias("n"), F.lit(-1).alias("i"), F.col("all").alias("v"))
-    variants = each.select("k", "at", F.explode(F.array(F.struct(replaced.alias("key"), F.lit(0).alias("kind")), F.struct(removed.alias("key"), F.lit(1).alias("kind")))).alias("x")).select("k", "at", "x.*")
-    variants = variants.where((F.col("kind") == 0) | (F.col("key.n") >= fuzzy)).union(each.where("i = 0").select("k", "at", whole, F.lit(2)))
-    # kind 0: any two lines of a variant are one word apart; kinds 1 and 2: a longer line and the shorter one that it contains
-    rank = F.when(F.col("kind") == 2, 2).otherwise(F.col("kind"))
-    first = variants.groupBy("key").agg(*[F.min(F.when(rank == r, F.struct("at", "k"))).alias(f"f{r}") for r in (0, 1, 2)], F.count("*").alias("c")).where("c > 1")
-    first = checkpoint(first)
-    met = variants.select("key", F.col("k").alias("k"), F.col("at").alias("at"), F.col("kind").alias("kind")).join(first, "key")
+def shared_by(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key some other line has too."""
+    line = F.xxhash64("doc", "pos")
+    both = rows.groupBy(key).agg(F.min(line).alias("lo"), F.max(line).alias("hi")).where("lo <> hi").select(key)
+    return rows.join(checkpoint(both), key)
+
+
+def only(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of `lines` (doc, pos, ...) that `wanted` (doc, pos) names. A bitmap of hashes of a fixed greatest size, which is
+    broadcast, lets few other rows through to the join, so that the join doesn't shuffle all text.
+    """
+    wanted = checkpoint(wanted.distinct())
+    maps = min(MOST_BITMAPS, 1 + wanted.count() * 16 // BITS)
+    slot = F.pmod(F.xxhash64("doc", "pos"), F.lit(maps * BITS))
+    bitmap = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bit = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    kept = lines.withColumn("slot", slot).join(F.broadcast(bitmap), F.bitmap_bucket_number("slot") == F.col("bucket")).where(F.getbit(byte, (bit % 8).cast("int")) == 1)
+    return kept.drop("slot", "bucket", "bits").join(wanted, ["doc", "pos"])
+
+
+def fuzzy_repeats(df: DataFrame, key: str, text: str, earliest: DataFrame, fuzzy: int) -> DataFrame:
+    """(doc, pos) of the distinct lines within one word of a distinct line with an earlier place."""
+    long = earliest.where(F.col("n") >= fuzzy).select("doc", "pos", F.posexplode(F.array(*ENDS)).alias("side", "end")).where("end is not null")
+    suspects = checkpoint(shared_by(long, "end").select("doc", "pos", (F.col("side") % 2).alias("side")).distinct())
+    lines = lines_of(df, key, text)
+    lines = only(lines, suspects.select("doc", "pos")).select("doc", "pos", normal(F.lower("line")).alias("norm")).dropDuplicates(["doc", "pos"])
+    words = stored(lines.withColumn("n", word_count(F.col("norm"))))
+    # blocks: all of a line but one block of words, as one of n words and as the longer one of a pair
+    sides = suspects.groupBy("doc", "pos").agg(F.bool_or(F.col("side") == 0).alias("same_first"), F.bool_or(F.col("side") == 1).alias("same_last"))
+    roles = words.join(sides, ["doc", "pos"]).withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("m", F.col("n") - F.col("longer")).where(F.col("m") >= fuzzy)
+    roles = roles.withColumn("blocks", F.ceil(F.sqrt("m")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    start = F.floor(F.col("m") * F.col("b") / F.col("blocks")).cast("int")
+    end = F.floor(F.col("m") * (F.col("b") + 1) / F.col("blocks")).cast("int") + F.col("longer")
+    roles = roles.withColumn("s", start).withColumn("e", end)
+    reach = (F.col("same_first") & (F.col("e") > span(F.col("m")))) | (F.col("same_last") & (F.col("s") < F.col("n") - span(F.col("m"))))
+    cut = F.xxhash64("m", "b", head(F.col("norm"), F.col("s")), head(F.col("norm"), F.col("e") - F.col("n")))
+    blocks = roles.where(reach).select("doc", "pos", "longer", "s", "e", cut.alias("cut"))
+    blocks = checkpoint(shared_by(blocks, "cut").select("doc", "pos", "longer", "s", "e").distinct())
+    # variants: the words of those blocks deleted, one at a time
+    each = blocks.join(words, ["doc", "pos"]).withColumn("i", F.explode(F.sequence(F.col("s"), F.col("e") - 1)))
+    rest = F.concat_ws(" ", F.nullif(head(F.col("norm"), F.col("i")), F.lit("")), F.nullif(head(F.col("norm"), F.col("i") + 1 - F.col("n")), F.lit("")))
+    place = F.when(F.col("longer") == 0, F.col("i")).otherwise(-1)
+    variants = each.select("doc", "pos", F.col("longer").alias("kind"), F.xxhash64(place, rest).alias("v1"), F.xxhash64(F.lit(7), place, rest).alias("v2")).distinct()
+    whole = words.join(blocks.select("doc", "pos").distinct(), ["doc", "pos"]).select("doc", "pos", F.lit(2).alias("kind"), F.xxhash64(F.lit(-1), "norm").alias("v1"), F.xxhash64(F.lit(7), F.lit(-1), "norm").alias("v2"))
+    variants = checkpoint(variants.union(whole))
+    # kind 0: any two lines of a variant are one word apart; 1 and 2: longer lines and the shorter one that they contain
+    line = F.struct("doc", "pos")
+    firsts = variants.groupBy("v1", "v2").agg(*[F.min(F.when(F.col("kind") == k, line)).alias(f"f{k}") for k in (0, 1, 2)], F.count("*").alias("c")).where("c > 1")
+    met = variants.join(checkpoint(firsts), ["v1", "v2"])
     other = F.when(F.col("kind") == 0, F.col("f0")).when(F.col("kind") == 1, F.col("f2")).otherwise(F.col("f1"))
-    pairs = met.select("k", "at", other.alias("o")).where("o is not null and o.at < at").select("k", F.col("o.k").alias("o")).distinct()
-    sides = text.select("k", F.split("norm", " ").alias("x"))
-    pairs = pairs.join(sides, "k").join(sides.select(F.col("k").alias("o"), F.col("x").alias("y")), "o")
-    return pairs.where(within_one_word(F.col("x"), F.col("y"))).select("k").distinct()
+    pairs = met.select("doc", "pos", other.alias("o")).where("o is not null").where(F.col("o") < F.struct("doc", "pos")).distinct()
+    pairs = pairs.select("doc", "pos", F.col("o.doc").alias("o_doc"), F.col("o.pos").alias("o_pos"))
+    side = words.select(F.col("doc").alias("o_doc"), F.col("pos").alias("o_pos"), F.split("norm", " ").alias("y"))
+    pairs = pairs.join(words.select("doc", "pos", F.split("norm", " ").alias("x")), ["doc", "pos"]).join(side, ["o_doc", "o_pos"])
+    return pairs.where(within_one_word(F.col("x"), F.col("y"))).select("doc", "pos").distinct()
+
+
+def with_drops(df: DataFrame, key: str, text: str, **options) -> DataFrame:
+    """`df` with _drop, the positions of the lines to drop; null where there are none."""
+    drop = repeated(df, key, text, **options).groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
+    drop = checkpoint(drop.select(F.col("doc").alias("_doc"), "_drop"))
+    return df.join(drop, df[key] == drop["_doc"], "left").drop("_doc")
+
+
+def reduced(text: str) -> Column:
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
+    return F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`df` with its columns, each text without its repeated lines (see `repeated`). Texts that lose nothing stay as they
     are, null too; a text that loses all its lines becomes empty. Rows with a null key stay as they are.
     """
-    drop = repeated(df, key, text, **options).groupBy("doc").agg(F.collect_set("pos").alias("drop")).select(F.col("doc").alias("_doc"), F.col("drop").alias("_drop"))
-    left = df.join(drop, df[key] == drop["_doc"], "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
-    return left.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*df.columns)
+    return with_drops(df, key, text, **options).withColumn(text, reduced(text)).select(*df.columns)
 
 
 def report(df: DataFrame) -> DataFrame:
     """The result of op7: per document its lines, those that stay, and a digest of what stays."""
-    return dedup(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("text", F.lit("")).alias("whole"))).select(
-        "doc_id",
-        F.size(F.split("whole", "\n", -1)).cast("long").alias("n_lines"),
-        F.when(F.col("text") == F.col("whole"), F.size(F.split("whole", "\n", -1))).when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_kept"),
-        F.md5("text").alias("text_md5"),
-    )
+    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n_lines = F.size(F.split("text", "\n", -1)).cast("long")
+    return with_drops(rows, "doc_id", "text").select("doc_id", n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("_drop"), F.lit(0))).alias("n_kept"), F.md5(reduced("text")).alias("text_md5"))

@@ -140,6 +140,7 @@ def test_crossover_keeps_every_item():
 
 
 def test_packing_of_odd_rows(odd, empty):
+    assert {r["offset"] >= 0 for r in packing.packed(odd, JSON).collect()} == {True}
     rows = packing.packed(odd.where("doc_id is not null").dropDuplicates(["doc_id"]), JSON).collect()
     check_packing(rows, 1024)
     assert [r["length"] for r in rows if r["doc_id"] == 2] == [1]

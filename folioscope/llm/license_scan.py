@@ -11,7 +11,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -62,6 +62,10 @@ FILE_BYTES = 4096
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
+def constant(spark: SparkSession, columns: str, rows: list[str]) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({r})' for r in rows)} AS t({columns})")
+
+
 def line_licences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, license, similarity) of each line of a whole text whose cosine to a template reaches the threshold; ties to the smaller name."""
     rows, other, anchors, threshold = weights()
@@ -72,10 +76,10 @@ def line_licences(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     lines = lines.select("doc", "pos", F.lower("line").alias("line")).where(F.col("line").rlike(rf"(?<![a-z0-9])(?:{anchor})(?![a-z0-9])"))
     words = lines.select("doc", "pos", F.explode(F.regexp_extract_all("line", F.lit(f"({TERM})"), 1)).alias("term")).groupBy("doc", "pos", "term").agg(F.count("*").alias("n"))
     # the templates are a constant of about a hundred words
-    vocabulary = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
+    vocabulary = F.broadcast(constant(spark, "term, idf", [f"'{w}', {x!r}D" for w, x in sorted(idf.items())]))
     words = words.join(vocabulary, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
     norm = words.groupBy("doc", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    template = F.broadcast(spark.createDataFrame(rows, "template string, license string, term string, t double"))
+    template = F.broadcast(constant(spark, "template, license, term, t", [f"'{k}', '{n}', '{w}', {x!r}D" for k, n, w, x in rows]))
     dot = words.join(template, "term").groupBy("doc", "pos", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     scored = dot.join(norm, ["doc", "pos"]).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc", "pos").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("m"))

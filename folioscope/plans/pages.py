@@ -9,14 +9,14 @@ from folioscope.functions.markdown import VAGUE, page_facts
 from folioscope.functions.num import half_up as half_up_column
 from folioscope.operators import retrieval, rollup, texts
 from folioscope.plans.remap import half_up, read
-from folioscope.session import workers_find_library
+from folioscope.session import spread, workers_find_library
 from folioscope.sources.html import read_pages
 from folioscope.sources.reports import parse_reports
 
 
 def facts(spark, sf_dir):
     workers_find_library(spark)
-    return page_facts(read_pages(read(spark, sf_dir, "pages").select("url", "html")))
+    return page_facts(read_pages(spread(read(spark, sf_dir, "pages").select("url", "html"))))
 
 
 def page_checks(spark, sf_dir):
@@ -54,7 +54,7 @@ def facts_texts(spark, sf_dir):
 
 def page_texts(spark, sf_dir):
     workers_find_library(spark)
-    found = texts.page_text(read_pages(read(spark, sf_dir, "pages").select("url", "html")))
+    found = texts.page_text(read_pages(spread(read(spark, sf_dir, "pages").select("url", "html"))))
     return found.select("url", texts.thin(F.col("text")).alias("thin"), texts.estimated_tokens(F.col("text")).alias("tokens"))
 
 

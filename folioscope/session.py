@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def workers_find_library(spark: SparkSession) -> SparkSession:
@@ -14,3 +14,9 @@ def workers_find_library(spark: SparkSession) -> SparkSession:
     if root not in paths:
         environment["PYTHONPATH"] = ":".join([root, *paths])
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores dealt out to all of them, before work that costs far more than the shuffle; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

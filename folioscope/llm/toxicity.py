@@ -16,10 +16,12 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices, strings
 from .logistic import fit, predict
@@ -34,7 +36,8 @@ SEEDS = {
     REPORT: "said says claimed wrote quoted reported sagte schrieb dit écrit dijo escribió".split(),
 }
 SEED_WEIGHT, WINDOW, NEGATED, REPORTED, AIMED, THREATENED = 4.0, 4, 0.6, 0.7, 1.3, 1.2
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
+TOKEN = re.compile(r"[^\W\d_]+")
+CLOSE = re.compile(r"[.!?;:\n]")
 STEMS = (4, 5, 6)
 
 
@@ -85,31 +88,38 @@ class Lexicon:
     def __init__(self, learned: dict[str, float]):
         self.words = {w: (s, SEED_WEIGHT if s in (ATTACK, THREAT) else 0.0) for s, ws in SEEDS.items() for w in ws}
         self.stems = learned
-        # a word that shares no four letters with any attack is no attack
-        self.heads = {w[:4] for w in learned} | {w[:4] for s in (ATTACK, THREAT) for w in SEEDS[s]}
+        # a word that begins like no entry is no attack
+        self.heads, self.finder = {w.removesuffix("-") for w in learned} | {w for s in (ATTACK, THREAT) for w in SEEDS[s]}, None
 
     def symbol(self, word: str) -> tuple[int, float]:
         found = self.words.get(word, (OTHER, 0.0))
         learned = max((self.stems.get(s, 0.0) for s in stems_of(word)), default=0.0)
         return (ATTACK if found[0] not in (ATTACK, THREAT) else found[0], max(found[1], learned)) if learned else found
 
+    def starts(self, low: str) -> list[int]:
+        """Where words begin that may be attacks; one pass over the text for all of them."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for head in self.heads:
+                self.finder.add_word(head, len(head))
+            self.finder.make_automaton()
+        found = {end + 1 - size for end, size in self.finder.iter(low)}
+        return sorted(i for i in found if i == 0 or not (low[i - 1].isalnum() and not low[i - 1].isdecimal()))
+
     def clauses(self, text: str) -> list[float]:
         """Scores of the clauses that the grammar matches."""
-        tokens, heads = TOKEN.findall(text.lower()), self.heads
-        hits = [i for i, t in enumerate(tokens) if t[:4] in heads]
-        scores, end = [], -1
-        for i in hits:
-            if i <= end:
+        low, scores, end = text.lower(), [], -1
+        for i in self.starts(low):
+            if i < end:
                 continue
-            start = i
-            while start > 0 and tokens[start - 1] not in ".!?;:\n":
-                start -= 1
-            end, state, total = start, 0, 0.0
-            while end < len(tokens) and tokens[end] not in ".!?;:\n":
-                symbol, weight = self.symbol(tokens[end])
+            start = max(low.rfind(mark, max(0, end), i) for mark in ".!?;:\n") + 1 or max(0, end)
+            close = CLOSE.search(low, i)
+            end = close.start() if close else len(low)
+            state, total = 0, 0.0
+            for token in TOKEN.findall(low, start, end):
+                symbol, weight = self.symbol(token)
                 state, factor = GRAMMAR[state, symbol]
                 total += weight * factor
-                end += 1
             if total:
                 scores.append(total)
         return scores
@@ -152,11 +162,11 @@ def learn_stems(sample: DataFrame, most: int = 5000) -> dict[str, float]:
     return {r["stem"]: float(r["odds"]) for r in rows}
 
 
-def scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 20_000) -> DataFrame:
-    """(key, held_out, score, predicted) per row of `df`: the whole text's score from 0 to 1, predicted 1 from 0.5 on.
-    Stems and model are fitted on at most `rows` labelled rows whose crc32(key as text) mod 5 is not 0 (the others are held
-    out). Null and empty texts have no clauses and get the score of texts without any. Without labels of both kinds the seeds
-    alone count. Only the text is read for a score. Rows that repeat are scored each; other columns don't pass.
+def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 20_000, score: str = "_score") -> DataFrame:
+    """`df` with the score of each whole text, from 0 to 1: rows pass once through the workers and are not shuffled. Stems and
+    model are fitted on at most `rows` labelled rows whose crc32(key as text) mod 5 is not 0. Null and empty texts have no
+    clauses and get the score of texts without any. Without labels of both kinds the seeds alone count. Only the text is
+    read for a score. Rows that repeat are scored each; a column named `score` is replaced.
     """
     sample = labelled(df, labels, label, key, text, rows)
     lexicon = Lexicon(learn_stems(sample))
@@ -169,12 +179,19 @@ def scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     known = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(measure, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in known], float).reshape(-1, 4), np.array([r["y"] for r in known], float)
     beta = fit(x, y) if len(set(y)) == 2 else np.array([4.0, 0.5, 0.5, 0.5, -3.0])
+    kept = [c for c in df.columns if c != score]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = np.array([lexicon.features(t) for t in strings(batch.column("text"))], float).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(predict(found, beta))], ["key", "score"])
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            found = np.array([lexicon.features(t) for t in strings(batch.column(text))], float).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(predict(found, beta))], [*kept, score])
+
+    return df.select(*kept).mapInArrow(judge, T.StructType([*(df.schema[c] for c in kept), T.StructField(score, T.DoubleType())]))
 
-    kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(score, f"key {kind}, score double")
-    return out.select(F.col("key").alias(key), (F.crc32(F.col("key").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+def scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, held_out, score, predicted) per row of `df`: see `with_score`; predicted is 1 from 0.5 on, and the rows are held
+    out from fitting whose crc32(key as text) mod 5 is 0. Other columns don't pass.
+    """
+    out = with_score(df.select(key, text), labels, key, text, **options)
+    return out.select(key, (F.crc32(F.col(key).cast("string")) % 5 == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

@@ -111,11 +111,16 @@ def round_robin(df: DataFrame, section: str, keys: list[Column], most: int) -> D
 
 
 def budget_fill(pages: DataFrame, by: list[str], size: str, cost: str, keys: list[str], budget: int) -> DataFrame:
-    """Pages that fit a budget, smaller first; one that doesn't fit is skipped, later ones may fit. Only the costs of a group's
-    pages, an integer each, meet in its fold.
+    """(by, keys, cost, used): pages that fit a budget, smaller first; one that doesn't fit is skipped, later ones may fit.
+
+    What is left never grows, so that of the pages of one cost those used are the first ones, at most budget / cost. Only
+    these are folded in order: under budget * ln(budget) of them, however many pages a group has. The others are not used;
+    pages without cost always are.
     """
-    entry = F.struct(F.col(size).alias("size"), *keys, F.col(cost).alias("cost"))
-    listed = pages.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    rows = pages.select(*by, size, *keys, F.col(cost).cast("long").alias("cost"))
+    first = rows.where("cost > 0").withColumn("_r", F.row_number().over(Window.partitionBy(*by, "cost").orderBy(size, *keys)))
+    first = first.where((F.col("_r") <= budget) & (F.col("_r") * F.col("cost") <= budget))
+    listed = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(size).alias("size"), *keys, "cost"))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<boolean>").alias("taken"))
 
     def step(acc: Column, row: Column) -> Column:
@@ -123,7 +128,9 @@ def budget_fill(pages: DataFrame, by: list[str], size: str, cost: str, keys: lis
         return F.struct((acc["total"] + F.when(fits, row["cost"]).otherwise(0)).cast("long").alias("total"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
 
     filled = listed.withColumn("acc", F.aggregate("rows", start, step))
-    return filled.select(*by, F.explode(F.arrays_zip(F.col("rows"), F.col("acc.taken").alias("taken"))).alias("x")).select(*by, *[F.col(f"x.rows.{k}").alias(k) for k in keys], F.col("x.rows.cost").alias("cost"), F.col("x.taken").alias("used"))
+    used = filled.select(*by, F.explode(F.arrays_zip(F.col("rows"), F.col("acc.taken").alias("taken"))).alias("x")).where("x.taken").select(*by, *[F.col(f"x.rows.{k}").alias(k) for k in keys], F.lit(True).alias("_used"))
+    out = rows.join(used, [*by, *keys], "left")
+    return out.select(*by, *keys, "cost", (F.coalesce("_used", F.lit(False)) | (F.col("cost") <= 0)).alias("used"))
 
 
 def samples(findings: DataFrame, by: list[str], limit: int) -> DataFrame:

@@ -4,7 +4,7 @@ Lines are compared as lists of lower-cased words; the edit bound is one word: in
 its word i is a variant of it. Two lines of n words that differ in word i share the variant (i, rest); a line of n + 1 words
 and one of n share a variant of the longer one with the shorter one whole.
 
-Emitting all variants of all lines would multiply the text, so they are narrowed first, losing no pair: two lines within the
+Emitting all variants of all lines would multiply the text by its words, so they are narrowed first, losing no pair: two lines within the
 bound agree in their first or in their last words, and then in all but one of about sqrt(n) blocks of words. Only words of
 such a block are deleted for variants. Within a variant the earliest line stands for all, so that a variant of any size gives
 one candidate pair for each of its lines; every candidate pair is verified on its words.

@@ -7,8 +7,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch end at so many bytes: a batch of very long texts would otherwise hold 10,000 of them.
+BATCH_BYTES = 8 << 20
+
+
 def workers_find_library(spark: SparkSession) -> SparkSession:
-    """Let workers import this library from where the driver has it; on a cluster that ships it otherwise this changes nothing."""
+    """Let workers import this library from where the driver has it (on a cluster that ships it otherwise this changes nothing),
+    and bound the bytes of Arrow batches unless the session does.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root, environment = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:

@@ -28,6 +28,10 @@ TEMPLATES = {
 }
 
 
+#: Words of prose in several languages, which are left out of the anchors first.
+COMMON = dict.fromkeys("the and of to in is a or are by any with this mit under use copy free work code form without person terms source subject version".split())
+
+
 def terms(line: str) -> list[str]:
     return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", line.lower())
 
@@ -51,7 +55,7 @@ def weights() -> tuple[list[tuple[str, str, str, float]], float, list[str], floa
         vectors.append(vector)
         rows += [(key, name, w, x) for w, x in vector.items()]
     plain: set[str] = set()
-    for w in sorted(idf, key=lambda w: (len(w), w)):  # short words are common in prose: they are left out of the anchors first
+    for w in [*COMMON, *sorted(idf.keys() - COMMON, key=lambda w: (len(w), w))]:
         if max(sum(x * x for t, x in v.items() if t in plain or t == w) for v in vectors) < (threshold - 0.01) ** 2:
             plain.add(w)
     return rows, other, sorted(set(idf) - plain), threshold
@@ -78,6 +82,7 @@ def line_licences(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # the templates are a constant of about a hundred words
     vocabulary = F.broadcast(constant(spark, "term, idf", [f"'{w}', {x!r}D" for w, x in sorted(idf.items())]))
     words = words.join(vocabulary, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
+    words = checkpoint(words.select("doc", "pos", "term", "w"))  # of the few lines with an anchor; read for norms and for products
     norm = words.groupBy("doc", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     template = F.broadcast(constant(spark, "template, license, term, t", [f"'{k}', '{n}', '{w}', {x!r}D" for k, n, w, x in rows]))
     dot = words.join(template, "term").groupBy("doc", "pos", "template", "license").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))

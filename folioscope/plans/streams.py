@@ -41,10 +41,17 @@ def stream_transitions(spark, sf_dir):
     return finished(streams.checked_transitions(events(spark, sf_dir)), "append")
 
 
+def stream_sessions(spark, sf_dir):
+    found = finished(streams.sessions(events(spark, sf_dir)), "complete")
+    return found.select("run_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 SQL = {
+    "stream_sessions": """WITH e AS (SELECT user_id AS run_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT run_id, ts, sum(new) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT run_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY run_id, s""",
     "stream_run_state": f"SELECT user_id AS run_id, max_by({STATUS}, (ts, event_id)) AS status, count(*) AS changes FROM events GROUP BY user_id",
     "stream_windows": f"SELECT strftime(ts, '%Y-%m-%d') AS day, {STATUS} AS status, count(*) AS n FROM events GROUP BY ALL",
     "stream_transitions": f"""WITH e AS (SELECT event_id, user_id AS run_id, {STATUS} AS status FROM events), p AS (SELECT run_id, event_id, lag(status) OVER (PARTITION BY run_id ORDER BY event_id) AS prior, status FROM e)
       SELECT *, prior IS NULL OR (prior || '>' || status) IN ('queued>running', 'queued>cancelled', 'running>complete', 'running>partial', 'running>cancelled', 'running>interrupted', 'interrupted>running') AS legal FROM p""",
 }
-QUERIES = [stream_run_state, stream_windows, stream_transitions]
+QUERIES = [stream_run_state, stream_windows, stream_sessions, stream_transitions]

@@ -44,9 +44,13 @@ def checked_transitions(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(step, "run_id long, event_id long, prior string, status string, legal boolean", "status string", "append", "NoTimeout")
 
 
-def upsert(batch: DataFrame, path: str, key: str, version: str) -> None:
-    """For foreachBatch: append a micro-batch under its own number; a repeated number replaces itself, so that a retry changes nothing."""
-    batch.write.mode("append").parquet(path)
+def batch_writer(path: str):
+    """For foreachBatch: a micro-batch replaces the part of its own number, so that a retry changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
 
 
 def latest(table: DataFrame, key: str, order: list[str]) -> DataFrame:

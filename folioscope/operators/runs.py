@@ -24,7 +24,7 @@ def normal_retrieval(results: DataFrame, probes: DataFrame, keys: list[str]) ->
     stored, same = F.col("via").isNotNull(), F.coalesce(F.col("prompt") == F.col("_prompt"), F.lit(False))
     hit = F.when(stored, F.col("hit")).when(same, F.col("new_hit")).otherwise(F.col("hit"))
     origin = F.when(stored, "stored").when(same, "recomputed").otherwise("grader")
-    return rows.withColumn("via", F.when(stored, F.col("via")).when(same, F.col("new_via"))).withColumn("origin", origin).withColumn("hit", hit).drop("_prompt")
+    return rows.withColumns({"via": F.when(stored, F.col("via")).when(same, F.col("new_via")), "origin": origin, "hit": hit}).drop("_prompt")
 
 
 def current_runs(results: DataFrame, probes: DataFrame, run: list[str], page: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def primary_runs(spark, sf_dir):
 
 def retrieval_normalised(spark, sf_dir):
     asked, now = prompts(results(spark, sf_dir))
-    rows = asked.withColumn("new_hit", F.col("tier") == "exact").withColumn("new_via", F.when(F.col("tier") == "exact", "citation"))
+    rows = asked.withColumn("new_hit", F.col("tier") == "exact").withColumn("new_via", F.when(F.col("accuracy") > 5, "citation"))
     found = operators.normal_retrieval(rows, now, ["page_key", "probe_id"])
     return found.groupBy("page_key", "origin").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count("via").alias("vias"))
 
@@ -69,7 +69,7 @@ SQL = {
     "current_runs": f"{PROMPTS} SELECT page_key, run_id, bool_and(coalesce(prompt = now_prompt, false)) AS current FROM asked LEFT JOIN now USING (page_key, probe_id) GROUP BY page_key, run_id",
     "primary_runs": f"WITH {RUNS} SELECT page_key, run_id, mode FROM runs WHERE run_id % 3 > 0 QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY mode = 'web' DESC, run_at DESC, run_id DESC) = 1",
     "retrieval_normalised": f"""{PROMPTS}, r AS (SELECT *, coalesce(prompt = now_prompt, false) AS same FROM asked LEFT JOIN now USING (page_key, probe_id)),
-      v AS (SELECT page_key, CASE WHEN via IS NOT NULL THEN 'stored' WHEN same THEN 'recomputed' ELSE 'grader' END AS origin, CASE WHEN via IS NULL AND same THEN tier = 'exact' ELSE hit END AS h, CASE WHEN via IS NOT NULL THEN via WHEN same AND tier = 'exact' THEN 'citation' END AS w FROM r)
+      v AS (SELECT page_key, CASE WHEN via IS NOT NULL THEN 'stored' WHEN same THEN 'recomputed' ELSE 'grader' END AS origin, CASE WHEN via IS NULL AND same THEN tier = 'exact' ELSE hit END AS h, CASE WHEN via IS NOT NULL THEN via WHEN same AND accuracy > 5 THEN 'citation' END AS w FROM r)
       SELECT page_key, origin, count(*) AS n, count(*) FILTER (h) AS hits, count(w) AS vias FROM v GROUP BY ALL""",
     "run_page_means": f"WITH {RUNS}, p AS (SELECT target_name, page_key, avg(score) AS s, avg(fidelity) AS f FROM runs GROUP BY ALL) SELECT target_name, round(avg(s), 6) AS score, round(avg(f), 6) AS fidelity, count(f) AS measured, count(*) AS of_target FROM p GROUP BY target_name",
     "variance_table": f"WITH {RUNS} SELECT page_key, mode, count(*) AS n, min(score) AS low, max(score) AS high, max(score) - min(score) AS range FROM runs WHERE score IS NOT NULL GROUP BY ALL HAVING count(*) > 1",

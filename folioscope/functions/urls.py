@@ -77,7 +77,7 @@ def ledger_key(url: Column) -> Column:
 
 
 def under(url: Column, prefix: Column) -> Column:
-    """Equal to the prefix or below it; `cre` does not cover `crec`."""
+    """Equal to the prefix or below it; `ab` does not cover `abc`."""
     return (url == prefix) | F.startswith(url, F.concat(prefix, F.lit("/")))
 
 

@@ -119,10 +119,10 @@ def test_ledger(spark):
     one = lambda *urls: spark.createDataFrame([(u,) for u in urls], "url string")
     found = {r["url"]: (r["source"], r["included"], r["reason"]) for r in ledger.ledger(one("a", "b"), one("b", "c"), "full").collect()}
     assert found == {"a": ("llms.txt", False, "not-in-sitemap"), "b": ("both", True, None), "c": ("sitemap", True, None)}
-    index = spark.createDataFrame([("[a](https://d.example/cre/a) [b](https://d.example/crec/b) [c](https://d.example/cre/a/#x)", "https://d.example/cre/llms.txt")], "text string, base string")
-    assert [r["url"] for r in ledger.curated_pages(index, "https://d.example/cre/").collect()] == ["https://d.example/cre/a"]
-    maps = spark.createDataFrame([("https://d.example/sitemap-index.xml", "<loc>https://d.example/s.xml</loc>"), ("https://d.example/s.xml", "<loc> https://d.example/cre/x/ </loc>")], "location string, text string")
-    assert [r["url"] for r in ledger.sitemap_pages(maps, "https://d.example/cre").collect()] == ["https://d.example/cre/x"]
+    index = spark.createDataFrame([("[a](https://d.example/feeds/a) [b](https://d.example/feedsx/b) [c](https://d.example/feeds/a/#x)", "https://d.example/feeds/llms.txt")], "text string, base string")
+    assert [r["url"] for r in ledger.curated_pages(index, "https://d.example/feeds/").collect()] == ["https://d.example/feeds/a"]
+    maps = spark.createDataFrame([("https://d.example/sitemap-index.xml", "<loc>https://d.example/s.xml</loc>"), ("https://d.example/s.xml", "<loc> https://d.example/feeds/x/ </loc>")], "location string, text string")
+    assert [r["url"] for r in ledger.sitemap_pages(maps, "https://d.example/feeds").collect()] == ["https://d.example/feeds/x"]
     hashes = lambda *rows: spark.createDataFrame(rows, "url string, content_hash string")
     changed = {r["url"]: r["changed"] for r in ledger.changed_since(hashes(("a", "1"), ("b", None), ("c", "2"), ("d", "4")), hashes(("a", "1"), ("b", None), ("c", "3"))).collect()}
     assert changed == {"a": False, "b": True, "c": True, "d": True}

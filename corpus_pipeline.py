@@ -18,13 +18,13 @@ def kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    return kept(docs, cotrain.quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents that the quality classifier doesn't reject; no text is shuffled."""
+    return cotrain.with_score(docs, table(spark, sf_dir, "labels")).where("_score >= 0.5").select(*docs.columns)
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar doesn't reject."""
-    return kept(docs, toxicity.scores(docs, table(spark, sf_dir, "labels")).where("predicted = 0"))
+    """Documents that the toxicity grammar doesn't reject; no text is shuffled."""
+    return toxicity.with_score(docs, table(spark, sf_dir, "labels")).where("_score < 0.5").select(*docs.columns)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

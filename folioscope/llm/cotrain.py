@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, slices, strings
 from .logistic import fit, predict
@@ -47,13 +48,13 @@ def hashed(names: list[str | None]) -> np.ndarray:
     return out
 
 
-def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    texts = strings(batch.column("text"))
+def views(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
+    texts = strings(batch.column(text))
     lines = np.array([t.count("\n") + 1 for t in texts], float)
     length = np.array([len(t) for t in texts], float)
-    said = np.array([-1.0 if n is None else n for n in batch.column("n_chars").to_pylist()])
+    said = np.array([-1.0 if n is None else n for n in batch.column("_n_chars").to_pylist()])
     layout = np.column_stack([np.log1p(length) / 12, np.log1p(lines) / 6, np.log1p(length / lines) / 8, (said == length).astype(float)])
-    meta = np.column_stack([layout, hashed(batch.column("lang").to_pylist()), hashed(batch.column("source").to_pylist())])
+    meta = np.column_stack([layout, hashed(batch.column("_lang").to_pylist()), hashed(batch.column("_source").to_pylist())])
     return np.array([content(t) for t in texts], float).reshape(-1, CONTENT), meta.reshape(-1, META)
 
 
@@ -97,16 +98,17 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, calibration: np.ndarray, pool: l
     return Model(betas, scale, fit(half.logits([v[held] for v in x]), y[held], ridge=0.5))
 
 
-def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 20_000, pool_rows: int = 10_000, rounds: int = 4, share: float = 0.05) -> DataFrame:
-    """(key, held_out, score, predicted) per row of `df` (text, lang, source, n_chars; columns that it lacks count as null): the
-    probability of quality 1, predicted 1 from 0.5 on. The models are fitted on at most `rows` labelled rows whose
+def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 20_000, pool_rows: int = 10_000, rounds: int = 4, share: float = 0.05, score: str = "_score") -> DataFrame:
+    """`df` (text, lang, source, n_chars; columns that it lacks count as null) with the probability of quality 1 of each row:
+    rows pass once through the workers and are not shuffled. The models are fitted on at most `rows` labelled rows whose
     crc32(key as text) mod 5 is not 0 (of these, remainder 1 calibrates) and a pool of at most `pool_rows` rows without a
     label, both picked by a hash of the key; every row is scored on its whole text. Null texts count as empty, nulls in
     the metadata as no value. Without labels of both kinds every row scores the labels' mean, or 0.5. Rows that repeat are
-    scored each; other columns don't pass.
+    scored each; a column named `score` is replaced.
     """
     none = {"lang": "string", "source": "string", "n_chars": "long"}
-    base = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+    meta = {f"_{c}": (F.col(c) if c in df.columns else F.lit(None)).cast(t) for c, t in none.items()}
+    base = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[c.alias(n) for n, c in meta.items()])
     fold = F.crc32(F.col("key").cast("string")) % 5
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("double").alias("y"))
     chosen = known.where(fold != 0).orderBy(F.xxhash64("key"), "key").limit(rows)
@@ -115,7 +117,7 @@ def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            parts = [pa.array(v.tolist(), pa.list_(pa.float64())) for v in views(batch)]
+            parts = [pa.array(v.tolist(), pa.list_(pa.float64())) for v in views(batch, "text")]
             yield pa.RecordBatch.from_arrays([*parts, batch.column("y"), batch.column("calibration")], ["a", "b", "y", "calibration"])
 
     # at most rows + pool_rows short vectors come to the driver, however large the table is
@@ -129,10 +131,18 @@ def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     else:
         mean = float(y[has].mean()) if has.any() else 0.5
         model = Model([np.zeros(CONTENT + 1), np.zeros(META + 1)], [np.zeros(2)] * 2, np.array([0, 0, np.log((mean + 1e-9) / (1 - mean + 1e-9))]))
+    kept = [c for c in df.columns if c != score]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.score(list(views(batch))))], ["key", "score"])
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(list(views(batch, text))))], [*kept, score])
+
+    return df.select(*kept, *[c.alias(n) for n, c in meta.items() if n not in kept]).mapInArrow(judge, T.StructType([*(df.schema[c] for c in kept), T.StructField(score, T.DoubleType())]))
 
-    out = base.mapInArrow(score, f"key {df.schema[key].dataType.simpleString()}, score double")
-    return out.select(F.col("key").alias(key), (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+def quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """(key, held_out, score, predicted) per row of `df`: see `with_score`; predicted is 1 from 0.5 on, and the rows are held
+    out from fitting whose crc32(key as text) mod 5 is 0. Other columns don't pass.
+    """
+    out = with_score(df, labels, key, **options)
+    return out.select(key, (F.crc32(F.col(key).cast("string")) % 5 == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

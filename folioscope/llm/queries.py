@@ -29,7 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cotrain.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return cotrain.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), table(spark, sf_dir, "labels"))
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ CALL_CHARS = 250_000
 class Encoder:
     """Ids of whole texts, as the library gives them; `kept` bounds the chunks whose ids one worker remembers."""
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 120_000):
         self.library, self.kept, self.seen = load(path), kept, {}
         self.opens = np.array([t[:1] == b" " for t in token_table(path)])
 

@@ -130,6 +130,13 @@ def test_packing_finds_a_perfect_packing(spark):
     assert check_packing(packing.pack(rows, most=10).collect(), 10) == sum(lengths) // 10
 
 
+@pytest.mark.parametrize(("lengths", "most"), [([1] * 700, 20), (list(range(1, 100)) * 9, 100), ([99, 98, 60] * 200, 100)])
+def test_packing_over_several_blocks(spark, lengths, most):
+    rows = spark.createDataFrame([(i, 0, n) for i, n in enumerate(lengths)], "doc_id long, piece int, length long").selectExpr("doc_id", "piece", "CAST(0 AS long) AS start", "length")
+    found = packing.pack(rows, most=most, block=64).collect()
+    assert len(found) == len(lengths) and check_packing(found, most) <= 1.05 * max(-(-sum(lengths) // most), sum(2 * n > most for n in lengths)) + 1
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 60, 300)

@@ -3,7 +3,8 @@
 Each distinct five-word shingle of weight w sends arrivals of a Poisson process of rate w, each to a random register, which
 keeps its earliest arrival's shingle. Two registers agree with the probability Jaccard similarity of the weighted
 shingle sets. A shingle stops as soon as its next arrival is later than all registers. Weights grow with the logarithm of a
-shingle's count. Bands of registers name buckets; the members of a bucket are compared with its leader; in a second pass
+shingle's count. As links don't look at weights, a text in which a shingle repeats has a second sketch of equal rates, which is the
+only one of all other texts. Bands of registers name buckets; the members of a bucket are compared with its leader; in a second pass
 those that aren't in their leader's class are compared with all that have met this leader. Every candidate pair is verified on its whole texts.
 """
 
@@ -52,17 +53,23 @@ def bands_of(names: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, bands) of each row; bands is empty where the text has no word."""
+    """(id, bands) of each row: those of equal rates and, where a shingle repeats, those by weight; none where the text has no word."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = strings(batch.column(text))
             owner, shingle, times = shingles(texts, k)
-            out = bands_of(sketch(owner, shingle, times, len(texts), bands * rows), bands).view(np.int64)
-            some = np.bincount(owner, minlength=len(texts)) > 0
-            offsets = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[some].ravel()))
+            out = bands_of(sketch(owner, shingle, np.ones_like(times), len(texts), bands * rows), bands)
+            some = np.flatnonzero(np.bincount(owner, minlength=len(texts)))
+            out, of = out[some], some
+            uneven = np.unique(owner[times > 1])
+            if len(uneven):
+                part = np.isin(owner, uneven)
+                weighted = bands_of(sketch(np.searchsorted(uneven, owner[part]), shingle[part], times[part], len(uneven), bands * rows), bands)
+                out, of = np.concatenate([out, weighted]), np.concatenate([of, uneven])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)) * bands)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[np.argsort(of, kind="stable")].view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in ("h1", "h2")), listed], ["id", "h1", "h2", "bands"])
 
     keyed = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("k", text_key(F.col(text)))
@@ -145,7 +152,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     """(id, class_id) per row of `df`; class_id is the smallest id of the documents joined by links, links being pairs of
     texts whose sets of `k`-word shingles (lower-cased, a shorter text being one shingle) have a Jaccard similarity of `least`
     or more, and equal texts. Null texts count as empty; empty texts are equal to each other. A pair at the threshold meets in
-    some band with probability 1 - (1 - least**rows)**bands, over 0.999996 by default. Rows that share an id are one node; rows
+    some band of equal rates with probability 1 - (1 - least**rows)**bands, over 0.999996 by default, however often shingles repeat. Rows that share an id are one node; rows
     with a null id keep a null id. Other columns don't pass.
     """
     drawn = checkpoint(sketches(df, key, text, k, bands, rows))

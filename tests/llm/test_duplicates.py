@@ -97,6 +97,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert {r["id"]: r["class_id"] for r in found.collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    rng, rows = random.Random(8), []
+    for i in range(40):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + w[-40:] * 100))]
+    want = brute_classes(rows)
+    assert set(want.values()) == set(range(0, 80, 2))
+    found = probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: r["class_id"] for r in found.collect()} == want
+
+
 def test_op6(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = queries.op6_minhash(spark, sf_dir).collect()

@@ -61,8 +61,11 @@ def weights() -> tuple[list[tuple[str, str, str, float]], float, list[str], floa
     return rows, other, sorted(set(idf) - plain), threshold
 
 
-#: The largest licence file, in bytes.
+#: The largest licence file whose name doesn't say that it is one, in bytes.
 FILE_BYTES = 4096
+FAMILY = r"(?:mit|apache|bsd|gpl|mpl|cc)"
+#: Paths of files that are named as licences: LICENSE, COPYING.txt, MIT-LICENSE, license-apache-2.0.md.
+FILE_NAME = rf"(?i)(?:^|/)(?:{FAMILY}[-_])?(?:licen[cs]e|copying)(?:[-_.](?:{FAMILY}[0-9.]*|by|nc|clause|v?[0-9.]+))*(?:\.(?:txt|md|rst|html?))?$"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -93,8 +96,8 @@ def line_licences(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", file_words: int = 40) -> DataFrame:
     """(doc, path, license, similarity, origin) per row of `df`. A text's own licence is that of its most similar line, the
-    first of equals: origin "own". A text of at most `file_words` words and FILE_BYTES bytes with an own licence is a licence file of its directory; the most similar
-    one of a directory counts, ties to the smaller name. Any other text takes the licence of the nearest directory above it
+    first of equals: origin "own". A text with an own licence is a licence file of its directory if its path is named as one (FILE_NAME), whatever its
+    length, or if it has at most `file_words` words and FILE_BYTES bytes; the most similar one of a directory counts, ties to the smaller name. Any other text takes the licence of the nearest directory above it
     that has a licence file: origin "inherited", else origin "none" and nulls. Null and empty texts have no licence of their
     own; a null path inherits nothing. Keys must be unique.
     """
@@ -102,7 +105,7 @@ def scan(df: DataFrame, key: str = "doc_id", path: str = "path", text: str = "te
     own = line_licences(df, key, text).groupBy("doc").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "pos", "license")).alias("m"))
     own = checkpoint(own.select("doc", F.col("m.license").alias("license"), (-F.col("m.s")).alias("similarity")))
     local = checkpoint(files.join(own, "doc", "left"))
-    named = local.where((F.col("words") <= file_words) & F.col("license").isNotNull() & F.col("path").isNotNull())
+    named = local.where((F.col("path").rlike(FILE_NAME) | (F.col("words") <= file_words)) & F.col("license").isNotNull() & F.col("path").isNotNull())
     named = named.groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("m")).select(F.col("dir").alias("above"), "m.license", (-F.col("m.s")).alias("similarity"))
     # directories, not files, look for their ancestors
     parts = F.split("dir", "/")

@@ -223,6 +223,57 @@ def test_licences(spark):
     assert found == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("CC-BY-NC-4.0", "own"), 4: ("CC-BY-NC-4.0", "inherited"), 5: (None, "none"), 6: ("Apache-2.0", "own"), 7: (None, "none"), 8: ("MIT", "inherited"), 9: (None, "none")}
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GRANT = """   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+"""
+#: Head, one section as often as makes the length of the whole, and notice.
+APACHE = f"""                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+{GRANT * 25}
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+"""
+
+
+def test_full_licence_files(spark):
+    named = [("a/LICENSE", MIT, "MIT"), ("b/license-apache-2.0.txt", APACHE, "Apache-2.0"), ("c/COPYING", APACHE, "Apache-2.0"), ("d/MIT-LICENSE.md", MIT, "MIT")]
+    other = [("e/license_scan.py", MIT), ("f/licensed.txt", APACHE), ("g/notes", MIT)]
+    assert len(APACHE) > license_scan.FILE_BYTES and len(MIT.split()) > 160
+    files = [(p, t) for p, t, _ in named] + other
+    rows = files + [(f"{d}/x/y", "text") for d in "abcdefg"]
+    found = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")).collect()}
+    assert all(found[p] == (n, "own") and found[p[0] + "/x/y"] == (n, "inherited") for p, _, n in named)
+    assert all(found[p][1] == "own" and found[p[0] + "/x/y"] == (None, "none") for p, _ in other)
+
+
 def test_licences_of_odd_rows(odd, empty):
     assert license_scan.licences(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).count() == 9
     assert license_scan.licences(empty).count() == 0

@@ -2,8 +2,7 @@
 
 The encoder's unit is a chunk: text from one single space to the next. A single space between two characters that are no
 white space always opens a pre-token, so chunks are encoded apart without changing the ids; each worker keeps the ids of
-the chunks it has met, and the library encodes the others. Texts with other runs of white space beside a space go to the
-library whole.
+the chunks it has met of late, and the library encodes the others. Other white space stays inside its chunk.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import base64
 import functools
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, strings
+from .common import named, slices, strings, through
 
 
 @functools.cache
@@ -72,92 +72,135 @@ def load(path: str):
 
 @functools.lru_cache(maxsize=2)
 def token_table(path: str) -> list[bytes]:
-    """The bytes of each id; special tokens stand for their own text."""
-    if path.endswith(".tiktoken"):
-        with open(path, "rb") as lines:
-            vocab = {int(b): base64.b64decode(a) for a, b in (line.split() for line in lines if line.strip())}
-    else:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab = {i: bytes(char_to_byte()[c] for c in t) for t, i in spec["model"]["vocab"].items() if all(c in char_to_byte() for c in t)}
-        vocab |= {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+    """The bytes of each id: the vocabulary's strings through the reversed byte table; added tokens stand for their own text."""
+    library = load(path)
+    added = {i: t.content.encode() for i, t in library.get_added_tokens_decoder().items()}
+    byte = char_to_byte()
+    vocab = {i: bytes(map(byte.__getitem__, t)) for t, i in library.get_vocab(with_added_tokens=True).items() if i not in added} | added
     return [vocab.get(i, b"") for i in range(max(vocab, default=-1) + 1)]
 
 
-#: A space beside other white space, or at the end: such texts are encoded whole.
-UNEVEN_SPACE = re.compile(r" \s|\s | \Z")
-CALL_CHARS = 250_000
+#: A space beside other white space, or at an end; white space is any that Python or Unicode know.
+UNEVEN_SPACE = r" [\s\v\x1c-\x1f\x85\pZ]|[\s\v\x1c-\x1f\x85\pZ] | $"
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters with one mark behind them at most, and perhaps a line of such behind a line feed: by any pattern of this kind the
+#: letters are one pre-token, with the space before them if there is one, the mark is one, and the line feed is one.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:?!]?)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:?!]?))?")
+CALL_CHARS, CALL_BYTES, LONG_CHUNK = 50_000, 4_000_000, 64
+
+
+def by_bytes(library) -> bool:
+    """Whether the library splits texts as byte-level BPE does, so that chunks may be encoded apart."""
+    spec = json.loads(library.to_str())
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])
+    last = steps[-1] or {}
+    return spec["normalizer"] is None and last.get("type") == "ByteLevel" and not last["add_prefix_space"] and (last["use_regex"] or len(steps) == 2)
 
 
 class Encoder:
-    """Ids of whole texts, as the library gives them; `kept` bounds the chunks whose ids one worker remembers."""
+    """Ids of whole texts, as the library gives them. One worker remembers the ids of `kept` chunks of up to LONG_CHUNK characters and of
+    as many that it met before those; a chunk that is met again is among the newer ones. Tokenizers of another kind get whole texts.
+    """
 
-    def __init__(self, path: str, kept: int = 120_000):
-        self.library, self.kept, self.seen = load(path), kept, {}
-        self.opens = np.array([t[:1] == b" " for t in token_table(path)])
+    def __init__(self, path: str, kept: int = 200_000):
+        self.library, self.kept, self.seen, self.older = load(path), kept, {}, {}
+        self.model = self.library.model
+        self.chunked = by_bytes(self.library)
+        self.char = {i: "".join(byte_to_char()[b] for b in chr(i).encode()) for i in range(256)}
+        self.marks = {"": b""} | {m: self._word(self.char[ord(m)]) for m in ".,;:?!\n"} if self.chunked else {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        at = 0
-        while at < len(chunks):
+    def _word(self, mapped: str) -> bytes:
+        """The ids of one pre-token, in the characters of the byte table, by the library's model."""
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
             end, size = at, 0
-            while end < len(chunks) and (size < CALL_CHARS or end == at):
-                size += len(chunks[end]) + 1
+            while end < len(texts) and (size < CALL_CHARS or end == at):
+                size += len(texts[end]) + 1
                 end += 1
-            part = chunks[at:end]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) == len(part) and cuts[:1].tolist() == [0]:
-                bounds = [*cuts.tolist(), len(ids)]
-                self.seen.update((w, ids[s:e].tobytes()) for w, s, e in zip(part, bounds, bounds[1:]))
-            else:
-                self.seen.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, self.library.encode_batch_fast([" " + w for w in part], add_special_tokens=False)))
+            out += [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[at:end], add_special_tokens=False)]
             at = end
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.seen) > self.kept:
-            self.seen = {}
-        whole = [i for i, t in enumerate(texts) if UNEVEN_SPACE.search(t)]
-        direct = set(whole)
-        pieces = [None if i in direct else t.split(" ") for i, t in enumerate(texts)]
-        missing = {w for p in pieces if p for w in p[1:]} - self.seen.keys()
-        self._learn(list(missing))
-        heads = self.library.encode_batch_fast([texts[i] if p is None else p[0] for i, p in enumerate(pieces)], add_special_tokens=False)
-        out, seen = [], self.seen
-        for p, head in zip(pieces, heads):
-            first = np.array(head.ids, np.uint32)
-            out.append(first if p is None or len(p) == 1 else np.frombuffer(first.tobytes() + b"".join([seen[w] for w in p[1:]]), np.uint32))
         return out
 
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        out, other, space = {}, [], self.char[32]
+        for w in chunks:
+            plain = PLAIN.fullmatch(w) if len(w) <= LONG_CHUNK else None
+            if plain is None:
+                other.append(w)
+                continue
+            word, mark, below, last = plain.groups()
+            ids = out.get(word) or self.seen.get(word)
+            if ids is None:
+                ids = out[word] = self._word(space + (word if word.isascii() else word.translate(self.char)))
+            if mark:
+                ids += self.marks[mark]
+            if below:
+                ids += self.marks["\n"] + self._word(below.translate(self.char)) + self.marks[last]
+            if mark or below:
+                out[w] = ids
+        out.update(zip(other, self._by_library([" " + w for w in other])))
+        return out
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-class RankEncoder:
-    """The ids of a byte-level .json file by the same vocabulary's ranks, several times as fast as the library. The first
-    text of every call is also encoded by the library; a call in which they differ is left to the library whole.
-    """
-
-    def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        ranks = {bytes(char_to_byte()[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.library, self.ranks = load(path), tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct chunks with the space before them."""
+        if len(self.seen) > self.kept:
+            self.seen, self.older = {}, self.seen
+        found = list(map(self.seen.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = []
+        for i in missing:
+            w = words[i]
+            x = self.older.get(w)
+            if x is None:
+                new.append(w)
+            else:
+                self.seen[w] = x
+        learned = self._learn(new)
+        self.seen.update((w, x) for w, x in learned.items() if len(w) <= LONG_CHUNK)
+        for i in missing:
+            found[i] = learned.get(words[i]) or self.seen[words[i]]
+        return found
+
+    def _joined(self, pieces: pa.ListArray) -> list[np.ndarray]:
+        """The ids of texts from their chunks: those of distinct chunks are laid one after the other and gathered."""
+        bounds, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
+        at, code = bounds[:-1], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = np.zeros(len(code), bool)
+        firsts[at] = True
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[~firsts]] = True
+        inner = np.flatnonzero(used)
+        heads = self._by_library(pieces.values.take(pa.array(at)).to_pylist())
+        parts = self._known(coded.dictionary.take(pa.array(inner)).to_pylist()) + heads
+        code = (np.cumsum(used) - 1)[code]
+        code[at] = len(inner) + np.arange(len(at))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, start = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
+        each = size[code]
+        end = np.cumsum(each)
+        out = flat[np.repeat(start[code] - end + each, each) + np.arange(end[-1] if len(end) else 0)]
+        edges = np.concatenate([[0], end])[bounds]
+        return [out[s:e] for s, e in zip(edges, edges[1:])]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        by_library = lambda some: [np.array(e.ids, np.uint32) for e in self.library.encode_batch(some, add_special_tokens=False)]
-        found = [np.array(self.ranks.encode(t, allowed_special="all"), np.uint32) for t in texts]
-        return found if not texts or np.array_equal(found[0], by_library(texts[:1])[0]) else by_library(texts)
+        if not self.chunked or not texts:
+            return [np.frombuffer(x, np.uint32) for x in self._by_library(texts)]
+        column = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, UNEVEN_SPACE).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for rows, split in ((np.flatnonzero(~uneven), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(uneven), lambda x: pa.array([SINGLE_SPACE.split(t) for t in x.to_pylist()], pa.list_(pa.large_string())))):
+            if len(rows):
+                for i, ids in zip(rows, self._joined(split(column.take(pa.array(rows))))):
+                    out[i] = ids
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def rank_encoder(path: str) -> RankEncoder:
-    return RankEncoder(path)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def char_offsets(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +229,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         sizes = np.array([len(t) for t in token_table(path)], np.int64)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, CALL_BYTES):
             texts = strings(batch.column(text))
             found = own.ids(texts)
             arrays = [batch.column(c) for c in kept] + [lists(found, pa.int32())]
@@ -195,12 +238,12 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
                 arrays += [lists([s[k] for s in spans], pa.int32()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *added])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return through(df.select(*map(named, kept), named(text)), run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """`df` with the bytes of each row's ids. Bytes are exact also where a cut of the ids splits a character; use
-    `readable` for text. Null or no ids give no bytes; an id outside the table fails the task. The ids stay.
+    `readable` for text. Null or no ids give no bytes; an id outside the table, a negative one too, fails the task. The ids stay.
     """
     kept = [c for c in df.columns if c != data]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(data, T.BinaryType())])
@@ -210,10 +253,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
         for batch in batches:
             column = batch.column(ids)
             flat, bounds = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([n or 0 for n in pc.list_value_length(column).to_pylist()])])
+            if len(flat) and flat.min() < 0:
+                raise IndexError(f"negative token id {flat.min()}")
             rows = [b"".join(map(token, flat[s:e].tolist())) for s, e in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(rows, pa.binary())], [*kept, data])
 
-    return df.mapInArrow(run, schema)
+    return through(df.select(*map(named, kept)), run, schema)
 
 
 def readable(parts: list[bytes]) -> list[str]:
@@ -225,6 +270,7 @@ def readable(parts: list[bytes]) -> list[str]:
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
-    """The result of op1: encode, decode, and digests of both."""
-    coded = decode(encode(df.select("doc_id", "text"), path), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """The result of op1: encode with offsets, decode, and digests of both; n_split counts the tokens that begin inside a character."""
+    coded = decode(encode(df.select("doc_id", "text"), path, offsets=True), path)
+    inside = F.size(F.filter("ids_start", lambda s, i: (i > 0) & (F.get("ids_end", i - 1) > s))).cast("long")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), inside.alias("n_split"))

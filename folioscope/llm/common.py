@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.session import workers_find_library
 
@@ -26,6 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return workers_find_library(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def through(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """mapInArrow for tables whose column names may hold dots."""
+    names, plain = df.columns, [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, plain)
+
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return inner.mapInArrow(renamed, T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, schema)])).toDF(*schema.names)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as make it no column of `df`."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text as two seeded 64-bit hashes."""
     return F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2"))

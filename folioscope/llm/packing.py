@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import rank_encoder
-from .common import checkpoint, slices, strings
+from .bpe import CALL_BYTES, encoder
+from .common import checkpoint, named, slices, strings, unused
 
 
 def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", most: int = 1024, end_id: int = 2) -> DataFrame:
@@ -28,10 +28,10 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", mo
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = rank_encoder(path)
-        for batch in slices(batches, text):
+        own = encoder(path)
+        for batch in slices(batches, "text", CALL_BYTES):
             owner, rows = [], []
-            for i, ids in enumerate(own.ids(strings(batch.column(text)))):
+            for i, ids in enumerate(own.ids(strings(batch.column("text")))):
                 data = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start, piece = 0, 0
                 while start < len(data):
@@ -40,9 +40,13 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", mo
                     rows.append((piece, start, length, zlib.crc32(data[start : start + length].tobytes())))
                     start, piece = start + length, piece + 1
             columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(owner, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(key, text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(named(key).alias("key"), named(text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+
+
+#: Partitions of an epoch; beyond it a task evolves several islands, one after the other.
+MOST_PARTS = 20_000
 
 
 class Packing:
@@ -147,7 +151,7 @@ def evolved(items: DataFrame, most: int, block: int, islands: int, epochs: int,
         return run
 
     for number in range(epochs):
-        ran = checkpoint(state.repartition(n_blocks * islands, "block", "island").mapInArrow(epoch(number), "block long, island int, length array<long>, bin array<int>, bins long, fill double"))
+        ran = checkpoint(state.repartition(min(n_blocks * islands, MOST_PARTS), "block", "island").mapInArrow(epoch(number), "block long, island int, length array<long>, bin array<int>, bins long, fill double"))
         guests = ran.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("bin").alias("guest"))
         state = ran.select("block", "length", "island", "bin").join(guests, ["block", "island"])
     best = ran.groupBy("block").agg(F.min_by("bin", F.struct("bins", -F.col("fill"), "island")).alias("bin"))
@@ -155,13 +159,15 @@ def evolved(items: DataFrame, most: int, block: int, islands: int, epochs: int,
     return checkpoint(placed.select("x.items._row", "x.items.length", "block", "x.bin")), n_blocks
 
 
-def pack(pieces: DataFrame, most: int = 1024, block: int = 16_384, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 3, seed: int = 42, loose: int = 32) -> DataFrame:
-    """`pieces` (length and others) with sequence_id and offset: sequences of at most `most`, without gaps. Full pieces have a
+def pack(pieces: DataFrame, most: int = 1024, block: int = 16_384, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 4, seed: int = 42, loose: int = 32) -> DataFrame:
+    """`pieces` (length and others; columns named as the new ones are replaced) with sequence_id and offset: sequences of at most `most`, without gaps. Full pieces have a
     sequence each; rows that repeat have a place each. No rows give no rows. Lengths must be from 1 to `most`. The `loose`
     emptiest bins of each block are opened and their pieces packed again in blocks of their own, until one block is left.
     """
-    pieces = checkpoint(pieces.withColumn("_row", F.monotonically_increasing_id()))
-    items, level, placed = pieces.where(F.col("length") < most).select("_row", "length"), 0, None
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = unused(pieces, "_row")
+    pieces = checkpoint(pieces.select(*map(named, own), F.monotonically_increasing_id().alias(row)))
+    items, level, placed = pieces.where(F.col("length") < most).select(F.col(row).alias("_row"), "length"), 0, None
     while True:
         found, n_blocks = evolved(items, most, block, islands, epochs, population, generations, seed + level)
         again = None
@@ -180,9 +186,9 @@ def pack(pieces: DataFrame, most: int = 1024, block: int = 16_384, islands: int
         level += 1
     before = Window.partitionBy("sequence_id").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.select("_row", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
-    part = pieces.where(F.col("length") < most).join(placed, "_row")
+    part = pieces.where(F.col("length") < most).join(placed.withColumnRenamed("_row", row), row)
     full = pieces.where(F.col("length") >= most).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return part.unionByName(full).drop("_row")
+    return part.unionByName(full).select(*map(named, own), "sequence_id", "offset")
 
 
 def packed(df: DataFrame, path: str, **options) -> DataFrame:

@@ -41,7 +41,26 @@ def test_encoders_match_libraries_on_strange_texts(by_ranks, library):
     assert [x.tolist() for x in bpe.Encoder(RANKS).ids(texts)] == [by_ranks.encode_ordinary(t) for t in texts]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in bpe.Encoder(JSON, kept=10).ids(texts)] == want
-    assert [x.tolist() for x in bpe.RankEncoder(JSON).ids(texts)] == want
+    small = bpe.Encoder(JSON, kept=10)
+    for part in (texts[:100], texts[50:200], texts[150:], texts):  # chunks met again, forgotten and learned anew
+        assert [x.tolist() for x in small.ids(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+    assert all(len(w) <= bpe.LONG_CHUNK for w in [*small.seen, *small.older])
+
+
+def test_encoder_of_other_kinds_gives_whole_texts_to_the_library():
+    path = tokenizers_files.path("word_bpe_49k.json")
+    texts = strange(50)
+    assert [x.tolist() for x in bpe.Encoder(path).ids(texts)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_million_spaces(spark, library):
+    blank = " " * 1_200_000 + "a"
+    df = spark.createDataFrame([(1, blank), (2, "b")], "doc_id long, text string")
+    ids = np.array(library.encode(blank, add_special_tokens=False).ids + [2], "<u4")
+    rows = sorted((r for r in packing.packed(df, JSON).collect() if r["doc_id"] == 1), key=lambda r: r["piece"])
+    assert sum(r["length"] for r in rows) == len(ids)
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
+    assert {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(df, JSON).collect()} == {1: len(ids) - 1, 2: 1}
 
 
 def test_op1(spark, sf_dir, by_ranks):
@@ -50,6 +69,8 @@ def test_op1(spark, sf_dir, by_ranks):
         ids = by_ranks.encode_ordinary(texts[r["doc_id"]])
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+        data = [by_ranks.decode_single_token_bytes(i) for i in ids]
+        assert r["n_split"] == sum(0x80 <= d[0] < 0xC0 for d in data)
 
 
 def test_offsets_and_round_trip(spark, odd):
@@ -62,6 +83,18 @@ def test_offsets_and_round_trip(spark, odd):
             assert r["ids_start"][0] == 0 and r["ids_end"][-1] == len(text) and all(a < b for a, b in zip(r["ids_start"], r["ids_end"]))
 
 
+def test_clashing_columns_and_bad_ids(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, `a.b` string, ids_start int")
+    row = bpe.decode(bpe.encode(df, JSON, offsets=True), JSON).first()
+    assert row["a.b"] == "x" and bytes(row["decoded"]) == b"a b" and row["ids_start"] == [0, 1]
+    for bad in (-1, 10**6):
+        with pytest.raises(Exception, match="token id|IndexError"):
+            bpe.decode(spark.createDataFrame([(1, [bad])], "doc_id long, ids array<int>"), JSON).collect()
+    parts = spark.createDataFrame([(1, 5, 1, 2, 3), (1, 5, 1, 2, 3), (2, 6, 1, 2, 3)], "doc_id long, length long, _row int, sequence_id int, `x.y` int")
+    found = packing.pack(parts, most=10).collect()
+    assert len(found) == 3 and {r["_row"] for r in found} == {1} and {r["x.y"] for r in found} == {3} and len({r["sequence_id"] for r in found}) == 2
+
+
 def test_split_characters():
     data = "a😀é".encode()
     assert bpe.readable([data[:2], data[2:4], data[4:]]) == ["a", "", "😀é"]

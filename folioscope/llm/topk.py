@@ -1,115 +1,174 @@
 """Operator 10: exact top-k inner products by the three-phase uniform threshold algorithm.
 
-A node is a group of dimensions; its list holds the partial products of every candidate with a query. Phase 1: each node
-lists its k largest entries for each query, block of candidates by block. The k-th best total of the candidates listed is a
-cutoff that the k-th best of all can't be below. Phase 2: a total of at least the cutoff needs one node with a
-partial product of cutoff / nodes or more; each node sends these, and no others. Phase 3: of the candidates seen, those whose
-upper bound reaches the cutoff get their exact totals.
+A node is a group of dimensions; it holds that part of all vectors, in blocks of rows, and no task sees two nodes. A node's entry
+for a query and a candidate is the inner product of its parts; the entries of all nodes add up to the score.
+
+Phase 1: each node lists its largest entries for each query. The candidates that some list names are looked up; the k-th best of
+their scores is the cutoff, which the k-th best score of all can't be below.
+Phase 2: a score of at least the cutoff needs one entry of cutoff / nodes or more. Each node sends these. A candidate that all
+nodes have sent is complete; the k-th best of these raises the cutoff if it can.
+Phase 3: an entry that was not sent is below the first cutoff / nodes. Candidates whose score could still reach the cutoff by this
+bound are asked for at the nodes that have not sent them; the others are out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, named
 
-INT = pa.int64()
-#: A cutoff below every total, where fewer than k candidates are known; its multiples by a few nodes still fit 64 bits.
-LEAST = -(1 << 56)
+ENTRY = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("node", pa.int32()), ("part", pa.int64())])
+ENTRY_SQL = "query_id long, id long, node int, part long"
 
 
 def whole_numbers(df: DataFrame, scale: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v): floor(scale * x) of each component x; rows that are null, or hold null or non-finite components, are left out."""
-    x = F.col(vector).cast("array<double>")
+    """(id, v): floor(scale * x) of each component x; rows whose id or vector is null, or that hold null or non-finite components, are left out."""
+    x = named(vector).cast("array<double>")
     bad = lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
-    good = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), x.alias("x"), F.exists(x, bad).alias("bad")).where(~F.col("bad"))
+    good = df.where(named(key).isNotNull() & named(vector).isNotNull()).select(named(key).alias("id"), x.alias("x"), F.exists(x, bad).alias("bad")).where(~F.col("bad"))
     return good.select("id", F.transform("x", lambda y: F.floor(y * scale).cast("long")).alias("v"))
 
 
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows of equal length; shorter vectors are padded with zeros, which change no product."""
-    out = np.zeros((len(column), dims), np.int64)
-    for i, v in enumerate(column.to_pylist()):
-        out[i, : len(v)] = v
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """Rows of equal length; shorter ones are padded with zeros, which change no product."""
+    flat, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    size = np.diff(bounds)
+    out = np.zeros((len(column), width), np.int64)
+    out[np.repeat(np.arange(len(column)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = flat[bounds[0] : bounds[-1]]
     return out
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, nodes: int = 4, block: int = 2048, query_block: int = 512) -> DataFrame:
-    """(query_id, rank, id, score): for each query the `k` candidates of the largest integer inner product, ties to the
-    smaller id, without the query's own id. Both sides are (id, v array<long>), ids unique (repeated rows count once). Fewer
-    candidates give fewer rows, none give none. Blocks of queries meet blocks of candidates; both have a fixed size, so that no
-    task and no broadcast grows with the data.
-    """
-    candidates, queries = (checkpoint(x.dropDuplicates(["id"])) for x in (candidates, queries))
-    most = lambda df: df.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    (n, dims), (n_queries, query_dims) = most(candidates), most(queries)
-    dims = max(dims, query_dims, 1)
-    n_blocks, n_query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
-    bounds = np.linspace(0, dims, nodes + 1).astype(int).tolist()
+def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left times right transposed in 64-bit integers; by doubles where they hold every sum exactly."""
+    most = lambda x: int(np.abs(x).max(initial=0))
+    if most(left) * most(right) * left.shape[1] < 1 << 53:
+        return (left.astype(float) @ right.T.astype(float)).astype(np.int64)
+    return left @ right.T
 
-    def blocks(df: DataFrame, count: int, name: str) -> DataFrame:
-        parts = df.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias(name), "id", "v")
-        rows = parts.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("x"))  # of a fixed size
-        return rows.select(name, F.col("x.id").alias(f"{name}_id"), F.col("x.v").alias(f"{name}_v"))
 
-    met = blocks(queries, n_query_blocks, "q").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    met = met.join(blocks(candidates, n_blocks, "c"), "c").repartition(min(n_blocks * n_query_blocks, 100_000), "q", "c")
+class Block:
+    """A node's parts of a block of queries and a block of candidates; ids are in order."""
 
-    def products(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        q, c = (batch.column(x)[i] for x in ("q_v", "c_v"))
-        left, right = matrix(q.values, dims), matrix(c.values, dims)
-        return (*(np.array(batch.column(x)[i].values.to_pylist(), np.int64) for x in ("q_id", "c_id")), [left[:, s:e] @ right[:, s:e].T for s, e in zip(bounds, bounds[1:])])
+    def __init__(self, batch: pa.RecordBatch, i: int, width: int):
+        column = lambda name: batch.column(name)[i].values
+        self.node = batch.column("node")[i].as_py()
+        self.query, self.own = (column(f"{x}_id").to_numpy(zero_copy_only=False) for x in "qc")
+        self.left, self.right = (matrix(column(f"{x}_v"), width) for x in "qc")
 
-    def emit(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, INT) for x in columns], ["query_id", "id", "score"])
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """The products, and which of them are no vector's with itself."""
+        return product(self.left, self.right), self.query[:, None] != self.own[None, :]
 
-    def local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                query, own, parts = products(batch, i)
-                other, picked = query[:, None] != own[None, :], np.zeros((len(query), len(own)), bool)
-                for p in parts:
-                    masked = np.where(other, p, np.iinfo(np.int64).min)
-                    best = np.argpartition(-masked, min(k, len(own)) - 1, axis=1)[:, :k]
-                    np.put_along_axis(picked, best, True, 1)
-                a, b = np.nonzero(picked & other)
-                yield emit(query[a], own[b], sum(p[a, b] for p in parts))
-
-    kind = "query_id long, id long, score long"
-    lists = met.mapInArrow(local_lists, kind)
-    # the k-th best total of the candidates that some node's list names is reached by k candidates: no total below it counts
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    best = lists.withColumn("r", place).where(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("found"))
-    cutoff = checkpoint(best.select("query_id", F.when(F.col("found") < k, LEAST).otherwise(F.col("low")).alias("cut")))
-    # a block of queries takes its cutoffs along
-    keyed = queries.select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).alias("q")).join(cutoff, F.col("id") == F.col("query_id"))
-    cuts = keyed.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("id", "cut"))).alias("cuts"))
-    sent = met.join(cuts, "q")
-
-    def large_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(self, a: np.ndarray, b: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.query[a]), pa.array(self.own[b]), pa.array(np.full(len(a), self.node, np.int32)), pa.array(part)], schema=ENTRY)
+
+
+def over_blocks(df: DataFrame, width: int, of: Callable[[Block, pa.RecordBatch, int], pa.RecordBatch]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                query, own, parts = products(batch, i)
-                cut_of = dict(batch.column("cuts")[i].as_py())
-                known = np.array([x in cut_of for x in query.tolist()], bool)
-                cut = np.array([cut_of.get(x, 0) for x in query.tolist()], np.int64)[:, None]
-                large = [p * nodes >= cut for p in parts]
-                # what a node doesn't send is below cutoff / nodes, which bounds the totals of the entries that others send
-                bound = sum(np.where(s, p * nodes, cut) for s, p in zip(large, parts))
-                a, b = np.nonzero(np.logical_or.reduce(large) & (bound >= cut * nodes) & known[:, None] & (query[:, None] != own[None, :]))
-                # phase 3: exact totals of the candidates whose upper bound reaches the cutoff
-                total = sum(p[a, b] for p in parts)
-                good = total >= cut[a, 0]
-                yield emit(query[a][good], own[b][good], total[good])
-
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    exact = sent.mapInArrow(large_entries, kind)
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+                yield of(Block(batch, i, width), batch, i)
+
+    return df.mapInArrow(run, ENTRY_SQL)
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, nodes: int = 2, listed: int = 80, block: int = 2048, query_block: int = 512) -> DataFrame:
+    """(query_id, rank, id, score): for each query the `k` candidates of the largest integer inner product, ties to the
+    smaller id, without the query's own id. Both sides are (id long, v array<long>); rows that repeat an id count once, by the largest
+    vector; null ids and null vectors take no part; missing components are 0. Fewer candidates give fewer rows, none give none, whatever
+    the scores. Components beyond 2**((60 - log2(dimensions)) // 2) either way, 2**27 for 64 dimensions, count as that bound, so that
+    no score leaves 64 bits. `listed` is the length of a node's list in phase 1, `k` at least.
+
+    The queries meet the candidates in blocks of a fixed size; no task and no broadcast grows with the data.
+    """
+    sides = [checkpoint(x.where("id is not null and v is not null").groupBy("id").agg(F.max("v").alias("v"))) for x in (queries, candidates)]
+    (n_queries, query_dims), (n, dims) = (x.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first() for x in sides)
+    dims, listed = max(dims, query_dims, 1), max(k, listed)
+    nodes = min(nodes, dims)
+    bound = 1 << ((60 - (dims - 1).bit_length()) // 2)
+    queries, candidates = (x.select("id", F.transform("v", lambda y: F.greatest(F.lit(-bound), F.least(F.lit(bound), F.coalesce(y, F.lit(0))))).alias("v")) for x in sides)
+    n_blocks, n_query_blocks = max(1, -(-n // block)), max(1, -(-n_queries // query_block))
+    cuts = np.linspace(0, dims, nodes + 1).astype(int).tolist()
+    width = max(e - s for s, e in zip(cuts, cuts[1:]))
+    deal = {"q": lambda x: F.pmod(F.xxhash64(x), F.lit(n_query_blocks)), "c": lambda x: F.pmod(F.xxhash64(x), F.lit(n_blocks))}
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        """A row for each node and block: the ids in order and that node's parts of their vectors."""
+        split = df.select(deal[name]("id").alias(name), "id", F.posexplode(F.array(*[F.slice("v", s + 1, e - s) for s, e in zip(cuts, cuts[1:])])).alias("node", "part"))
+        rows = split.groupBy("node", name).agg(F.array_sort(F.collect_list(F.struct("id", "part"))).alias("x"))  # of a fixed size
+        return rows.select("node", name, F.col("x.id").alias(f"{name}_id"), F.col("x.part").alias(f"{name}_v"))
+
+    spread = min(n_blocks * n_query_blocks * nodes, 100_000)
+    query_parts = checkpoint(parts(queries, "q").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))))
+    met = query_parts.join(checkpoint(parts(candidates, "c")), ["node", "c"])
+
+    def best(entries: DataFrame, by: list[str], score: str, most: int) -> DataFrame:
+        return entries.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "id"))).where(F.col("r") <= most)
+
+    # phase 1
+    def largest(x: Block, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        entry, other = x.entries()
+        masked = np.where(other, entry, np.iinfo(np.int64).min)
+        picked = np.zeros(entry.shape, bool)
+        np.put_along_axis(picked, np.argpartition(-masked, min(listed, len(x.own)) - 1, axis=1)[:, :listed], True, 1)
+        a, b = np.nonzero(picked & other)
+        return x.rows(a, b, entry[a, b])
+
+    lists = best(over_blocks(met.repartition(spread, "node", "q", "c"), width, largest), ["query_id", "node"], "part", listed)
+    looked_up = lists.select("query_id", "id").distinct().join(candidates, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
+    score = F.aggregate(F.zip_with("v", "qv", lambda x, y: F.coalesce(x * y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    known = best(looked_up.select("query_id", "id", score.alias("score")), ["query_id"], "score", k)
+    # no cutoff where fewer than k candidates are known: then every entry is sent
+    cutoff = checkpoint(known.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("low")).alias("cut")))
+
+    # phase 2: a block of queries takes its cutoffs along
+    taken = cutoff.groupBy(deal["q"]("query_id").alias("q")).agg(F.array_sort(F.collect_list(F.struct("query_id", "cut"))).alias("cuts"))
+    asked = met.join(taken, "q")
+
+    def large(x: Block, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, Callable[[np.ndarray, np.ndarray], np.ndarray]]:
+        """Which queries have candidates, and whether an entry of a query is sent."""
+        ids, cut = batch.column("cuts")[i].values.flatten()
+        at = np.searchsorted(x.query, ids.to_numpy(zero_copy_only=False))
+        some, all_, limit = np.zeros(len(x.query), bool), np.zeros(len(x.query), bool), np.zeros(len(x.query), np.int64)
+        some[at], all_[at], limit[at] = True, cut.is_null().to_numpy(zero_copy_only=False), cut.fill_null(0).to_numpy(zero_copy_only=False)
+        least = -(-limit // nodes)  # an entry is cutoff / nodes or more if and only if it is this or more
+        return some, lambda entry, a: all_[a] | (entry >= least[a])
+
+    def sent(x: Block, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        entry, other = x.entries()
+        some, is_large = large(x, batch, i)
+        a, b = np.nonzero(is_large(entry, np.arange(len(x.query))[:, None]) & other & some[:, None])
+        return x.rows(a, b, entry[a, b])
+
+    entries = over_blocks(asked.repartition(spread, "node", "q", "c"), width, sent)
+    seen = checkpoint(entries.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("parts")))
+    complete = seen.where(F.col("parts") == nodes)
+    raised = best(complete, ["query_id"], "score", k).groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "low")
+    limits = cutoff.join(raised, "query_id", "left").select("query_id", "cut", F.greatest("cut", "low").alias("last"))
+
+    # phase 3
+    missing: Column = nodes - F.col("parts")
+    ceiling = F.expr(f"cut div {nodes}") + 1  # what was not sent is below it; without a cutoff everything was sent
+    open_ = seen.where(missing > 0).join(limits, "query_id").where(F.col("score") + missing * ceiling >= F.col("last")).select("query_id", "id", "score")
+    open_ = checkpoint(open_)
+    wanted = open_.groupBy(deal["q"]("query_id").alias("q"), deal["c"]("id").alias("c")).agg(F.collect_list("query_id").alias("w_query"), F.collect_list("id").alias("w_id"))  # of a fixed size
+
+    def resolved(x: Block, batch: pa.RecordBatch, i: int) -> pa.RecordBatch:
+        a, b = (np.searchsorted(ids, batch.column(w)[i].values.to_numpy(zero_copy_only=False)) for ids, w in ((x.query, "w_query"), (x.own, "w_id")))
+        part = np.concatenate([np.zeros(0, np.int64), *((x.left[a[p]] * x.right[b[p]]).sum(axis=1) for p in np.array_split(np.arange(len(a)), 1 + len(a) // 65_536))])
+        some, is_large = large(x, batch, i)
+        rest = ~is_large(part, a)
+        return x.rows(a[rest], b[rest], part[rest])
+
+    answers = over_blocks(asked.join(wanted, ["q", "c"]), width, resolved).select("query_id", "id", F.col("part").alias("score"))
+    exact = open_.unionByName(answers).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    found = best(complete.select("query_id", "id", "score").unionByName(exact), ["query_id"], "score", k)
+    return found.select("query_id", F.col("r").cast("int").alias("rank"), "id", "score")
 
 
 def nearest(df: DataFrame) -> DataFrame:

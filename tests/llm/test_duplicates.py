@@ -217,6 +217,43 @@ def test_topk_blocks(spark, k, block, query_block):
         assert sorted(found[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
 
 
+def brute_top(x, of, k=10):
+    big = x.astype(object)
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-int((big[q] * big[i]).sum()), i) for i in range(len(x)) if i != q)[:k])] for q in of}
+
+
+def found_top(df, of, **options):
+    found = {q: [] for q in of}
+    for r in topk.top_k(df.where(f"id IN ({','.join(map(str, of))})"), df, **options).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["rank"], r["id"], r["score"]))
+    return found
+
+
+@pytest.mark.parametrize(("nodes", "listed"), [(1, 10), (2, 10), (3, 40), (4, 1000)])
+def test_topk_phases(spark, nodes, listed):
+    rng = np.random.default_rng(nodes)
+    x = (rng.normal(size=(700, 12)) * 1000).astype(int)
+    x[300:340] = x[:40]  # ties
+    x[500:] = -np.abs(x[500:])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>")
+    of = [0, 7, 310, 520, 699]
+    assert found_top(df, of, nodes=nodes, listed=listed, block=64, query_block=2) == brute_top(x, of)
+
+
+def test_topk_of_very_low_totals_few_candidates_and_repeated_rows(spark):
+    rows = [(0, [1 << 20, 1 << 25]), (1, [-(1 << 28), -(1 << 28)]), (2, [1, 0]), (2, [1, 0]), (3, None), (None, [1, 1])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    found = [(r["id"], r["score"]) for r in topk.top_k(df.where("id = 0"), df, k=3).orderBy("rank").collect()]
+    assert found == [(2, 1 << 20), (1, -(1 << 48) - (1 << 53))]
+    # components beyond the bound count as the bound; no product wraps
+    bound = 1 << 29
+    far = spark.createDataFrame([(0, [1, 1 << 62]), (1, [-(1 << 62), 1]), (2, [5]), (3, [0, -(1 << 61)])], "id long, v array<long>")
+    found = [(r["id"], r["score"]) for r in topk.top_k(far.where("id = 0"), far).orderBy("rank").collect()]
+    assert found == [(2, 5), (1, 0), (3, -bound * bound)]
+    doubles = spark.createDataFrame([(100, [1e3]), (1, [-1e9]), (2, [1.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.nearest(doubles).orderBy("rank").collect()] == [2, 1]
+
+
 def test_licences(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x/f", "some text\nmore"), (3, "a/y/COPYING", "licensed under cc by-nc 4.0"), (4, "a/y/z/f", "text"), (5, "b/f", "text"), (6, "a/x/g", ("text " * 60) + "\nLicensed under the Apache License, Version 2.0."), (7, None, "text"), (8, "a/x/h", None), (9, "b/q", "the license of the version")]
     found = {r["doc"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "1 AS license", "2 AS dir"), path="path").collect()}

@@ -254,10 +254,41 @@ def test_topk_of_very_low_totals_few_candidates_and_repeated_rows(spark):
     assert [r["vec_id"] for r in topk.nearest(doubles).orderBy("rank").collect()] == [2, 1]
 
 
+#: Prose that makes the frequencies of a corpus.
+PROSE = [" ".join(random.Random(i).choices("the of and to in is it that was for on with as are this be by from at have an not they or which you can all work license free use copy under version".split(), k=80)) for i in range(60)]
+
+
+def licences_of(spark, rows):
+    """(license, origin) by path of (path, text), among prose whose paths are elsewhere."""
+    rows = [*rows, *[(f"prose/{i}/f", t) for i, t in enumerate(PROSE)]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")
+    return {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(df.selectExpr("*", "1 AS license", "2 AS dir", "3 AS h1", "4 AS own", "5 AS `a.b`", "6 AS term")).collect()}
+
+
 def test_licences(spark):
-    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x/f", "some text\nmore"), (3, "a/y/COPYING", "licensed under cc by-nc 4.0"), (4, "a/y/z/f", "text"), (5, "b/f", "text"), (6, "a/x/g", ("text " * 60) + "\nLicensed under the Apache License, Version 2.0."), (7, None, "text"), (8, "a/x/h", None), (9, "b/q", "the license of the version")]
-    found = {r["doc"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").selectExpr("*", "1 AS license", "2 AS dir"), path="path").collect()}
-    assert found == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("CC-BY-NC-4.0", "own"), 4: ("CC-BY-NC-4.0", "inherited"), 5: (None, "none"), 6: ("Apache-2.0", "own"), 7: (None, "none"), 8: ("MIT", "inherited"), 9: (None, "none")}
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/x/f", "some text\nmore"), ("a/y/COPYING", "licensed under cc by-nc 4.0"), ("a/y/z/f", "text"), ("b/f", "text"), ("a/x/g", ("text " * 60) + "\nLicensed under the Apache License, Version 2.0."), (None, "text"), ("a/x/h", None), ("b/q", "the license of the version")]
+    found = licences_of(spark, rows)
+    want = {"a/LICENSE": ("MIT", "own"), "a/x/f": ("MIT", "inherited"), "a/y/COPYING": ("CC-BY-NC-4.0", "own"), "a/y/z/f": ("CC-BY-NC-4.0", "inherited"), "b/f": (None, "none"), "a/x/g": ("Apache-2.0", "own"), None: (None, "none"), "a/x/h": ("MIT", "inherited"), "b/q": (None, "none")}
+    assert {k: found[k] for k in want} == want and all(v == (None, "none") for k, v in found.items() if k not in want)
+
+
+def test_licence_at_the_top_of_relative_paths(spark):
+    found = licences_of(spark, [("LICENSE", MIT), ("src/x.py", "text"), ("src/deep/down/y.py", "text"), ("z.py", "text"), ("src/deep/COPYING", APACHE), ("src/deep/down/COPYING", "nothing of the kind")])
+    assert found["src/x.py"] == found["z.py"] == found["prose/3/f"] == ("MIT", "inherited") and found["src/deep/down/y.py"] == found["src/deep/down/COPYING"] == ("Apache-2.0", "inherited")
+
+
+HEADERS = [
+    ("This project is released under the MIT License.", "MIT"), ("Distributed under the MIT License.", "MIT"), ("This dataset is licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("# SPDX-License-Identifier: MIT", "MIT"),
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("Licensed under the Apache License,\n# Version 2.0 (the \"License\")", "Apache-2.0"),
+    ("it under the terms of the\nGNU General Public License, version 3.\nLicensed under the GNU General\nPublic License, version 3", "GPL-3.0"), ("Licensed under the GNU Lesser General Public License, version 3", "LGPL-3.0"),
+    ("This work is licensed under CC BY 4.0", "CC-BY-4.0"), ("Some words before. Released under the MIT License. And words behind it that are no header.", "MIT"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+]
+
+
+def test_licence_headers_in_other_words_and_wrapped(spark):
+    found = licences_of(spark, [(f"h/{i}/f", f"{PROSE[i]}\n{text}\n{PROSE[i + 1]}") for i, (text, _) in enumerate(HEADERS)])
+    assert [found[f"h/{i}/f"] for i in range(len(HEADERS))] == [(name, "own") for _, name in HEADERS]
 
 
 MIT = """MIT License
@@ -301,16 +332,27 @@ APACHE = f"""                                 Apache License
 
 
 def test_full_licence_files(spark):
-    named = [("a/LICENSE", MIT, "MIT"), ("b/license-apache-2.0.txt", APACHE, "Apache-2.0"), ("c/COPYING", APACHE, "Apache-2.0"), ("d/MIT-LICENSE.md", MIT, "MIT")]
-    other = [("e/license_scan.py", MIT), ("f/licensed.txt", APACHE), ("g/notes", MIT)]
-    assert len(APACHE) > license_scan.FILE_BYTES and len(MIT.split()) > 160
-    files = [(p, t) for p, t, _ in named] + other
-    rows = files + [(f"{d}/x/y", "text") for d in "abcdefg"]
-    found = {r["path"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, path string, text string")).collect()}
-    assert all(found[p] == (n, "own") and found[p[0] + "/x/y"] == (n, "inherited") for p, _, n in named)
-    assert all(found[p][1] == "own" and found[p[0] + "/x/y"] == (None, "none") for p, _ in other)
+    files = [("a/LICENSE", MIT, "MIT"), ("b/license-apache-2.0.txt", APACHE, "Apache-2.0"), ("c/COPYING", APACHE, "Apache-2.0"), ("d/MIT-LICENSE.md", MIT, "MIT"), ("g/notes", MIT, "MIT")]
+    other = [("e/license_scan.py", PROSE[0] + MIT[:60] + PROSE[1]), ("f/licensed.txt", APACHE)]
+    rows = [(p, t) for p, t, _ in files] + other
+    found = licences_of(spark, rows + [(f"{d}/x/y", "text") for d in "abcdefg"])
+    assert len(APACHE) > 8000 and len(MIT.split()) > 160
+    assert all(found[p] == (n, "own") and found[p[0] + "/x/y"] == (n, "inherited") for p, _, n in files)
+    assert all(found[p[0] + "/x/y"] == (None, "none") for p, _ in other) and found["f/licensed.txt"] == ("Apache-2.0", "own")
+
+
+def test_licence_anchors_lose_nothing():
+    rng = random.Random(2)
+    known = license_scan.templates()
+    idf = {w: rng.uniform(1, 12) for _, _, count in known for w in count}
+    anchor = set(license_scan.anchors(idf))
+    for _, _, count in known:
+        kept = {w: n * idf[w] for w, n in count.items()}
+        rest = sum(x * x for w, x in kept.items() if w not in anchor)
+        assert (rest / sum(x * x for x in kept.values())) ** 0.5 < license_scan.THRESHOLD
 
 
 def test_licences_of_odd_rows(odd, empty):
-    assert license_scan.licences(odd.where("doc_id is not null").dropDuplicates(["doc_id"])).count() == 9
+    found = license_scan.licences(odd).collect()
+    assert len(found) == odd.count() and {r["origin"] for r in found} == {"none"}
     assert license_scan.licences(empty).count() == 0

@@ -1,10 +1,9 @@
 """Operator 9: near-duplicate vectors by hierarchical navigable small-world graphs, one per shard of a label.
 
-Vectors are compared within their label. A label is dealt by a hash into shards of about `shard` vectors; each shard gets a
+Vectors are compared within their label; equal ones are one vector that counts as often as it occurs. A label is dealt by a hash into shards of about `shard` vectors; each shard gets a
 graph. Every shard's vectors are searched in every shard of the label, for a pair of shards in both directions. A vector
-whose beam is full of links searches again with a beam of twice the width. An audit compares vectors picked by a hash with
-all vectors of the other shard; as long as it finds a link that the search has missed, all beams widen and search again, at
-last to the whole shard. Links are checked by their exact cosine. A task returns link counts and, for the components, a pair for each linked vector instead of all links.
+whose beam is full of links searches again with a beam of twice the width, the shard's size at most. An audit compares vectors picked by a hash with
+all vectors of the other shard; as long as it finds a link that the search has missed, all beams start from twice the width. Links are checked by their exact cosine. A task returns link counts and, for the components, a pair for each linked vector instead of all links.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, components, mix
+from .common import checkpoint, components, mix, named
 
 
 FIRST_WIDTH = 48
@@ -149,15 +148,13 @@ def search_links(graph: Graph, queries: np.ndarray, least: float, width: int, au
         pairs, todo, wide = [], np.arange(len(queries)), min(width, n)
         while len(todo):
             again = []
-            # a beam of a good part of the shard costs more than all of the shard
-            whole = wide > FIRST_WIDTH and 8 * wide >= n
             for part in np.array_split(todo, max(1, len(todo) * max(n, 64 * wide) // 8_000_000)):
-                if whole:
+                if wide >= n:  # a beam of the shard's size holds all of it
                     a, b = np.nonzero(queries[part] @ graph.x.T >= least - slack)
                     pairs.append((part[a], b))
                     continue
                 near, who = beam(graph, queries[part], wide, 0, descend(graph, queries[part], n), n)
-                full = (near[:, -1] >= least - slack) & (wide < n)
+                full = near[:, -1] >= least - slack
                 a, b = np.nonzero((near >= least - slack) & ~full[:, None])
                 pairs.append((part[a], who[a, b]))
                 again.append(part[full])
@@ -182,19 +179,29 @@ def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> list[tuple[int, int
     return [(int(ids[i]), int(ids[p])) for i, p in enumerate(parent) if i != p]
 
 
+def linkable(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(id, g, x, h1, h2) of the vectors that may have links: label and length, components, and a hash that equal vectors of a label share.
+    An id that repeats counts once, with the greatest of its rows.
+    """
+    x = named(vector).cast("array<double>")
+    bad = lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
+    rows = df.where(named(key).isNotNull() & named(label).isNotNull() & named(vector).isNotNull()).select(named(key).alias("id"), F.struct(named(label).alias("label"), F.size(named(vector)).alias("dims")).alias("g"), x.alias("x"), F.exists(x, bad).alias("bad"))
+    rows = rows.where(~F.col("bad") & F.exists("x", lambda y: y != 0)).groupBy("id").agg(F.max(F.struct("g", "x")).alias("v"))
+    return checkpoint(rows.select("id", "v.g", "v.x", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")))
+
+
 def vector_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93, shard: int = 4096, width: int = FIRST_WIDTH, audit_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """(id, n_links) of the vectors with links, and pairs (a, b) within components that join all linked vectors. Vectors link if
+    """(id, n_links) of the ids with links, and pairs (a, b) within components that join all linked ids. Vectors link if
     their labels are equal and not null and their cosine is `least` or more. Vectors that are null, zero, or hold null or
-    non-finite components have no links; vectors of different length have none with each other. `key` must be unique.
+    non-finite components have no links; vectors of different length have none with each other. An id that repeats counts once.
     """
-    x = F.col(vector).cast("array<double>")
-    bad = lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
-    rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.struct(F.col(label).alias("label"), F.size(vector).alias("dims")).alias("g"), x.alias("x"), F.exists(x, bad).alias("bad"))
-    rows = rows.where(~F.col("bad") & F.exists("x", lambda y: y != 0)).select("id", "g", "x")
+    every = linkable(df, key, vector, label)
+    rows = checkpoint(every.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("g").alias("g"), F.first("x").alias("x")))
+    member = every.select("id", "h1", "h2").join(rows.select("h1", "h2", F.col("id").alias("rep"), "copies"), ["h1", "h2"]).select("id", "rep", "copies")
     sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / shard).alias("shards"))
-    dealt = rows.join(sizes, "g").select("g", "shards", F.pmod(F.xxhash64("id"), F.col("shards")).alias("s"), "id", "x")
-    packed = dealt.groupBy("g", "s", "shards").agg(F.array_sort(F.collect_list(F.struct("id", "x"))).alias("v"))  # of about `shard` rows
-    packed = packed.select("g", "s", "shards", F.col("v.id").alias("ids"), F.flatten("v.x").alias("flat"))
+    dealt = rows.join(sizes, "g").select("g", "shards", F.pmod(F.xxhash64("id"), F.col("shards")).alias("s"), "id", "copies", "x")
+    packed = dealt.groupBy("g", "s", "shards").agg(F.array_sort(F.collect_list(F.struct("id", "copies", "x"))).alias("v"))  # of about `shard` rows
+    packed = packed.select("g", "s", "shards", F.col("v.id").alias("ids"), F.col("v.copies").alias("copies"), F.flatten("v.x").alias("flat"))
 
     def unit(ids: list, flat: np.ndarray) -> np.ndarray:
         out = flat.reshape(len(ids), -1)
@@ -211,7 +218,7 @@ def vector_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([*one.columns, blob], [*one.schema.names, "levels"])
 
     built = checkpoint(packed.mapInArrow(graphs, T.StructType([*packed.schema, T.StructField("levels", T.ArrayType(T.BinaryType()))])))
-    side = lambda t: built.select("g", F.col("s").alias(t), F.col("ids").alias(f"ids_{t}"), F.col("flat").alias(f"flat_{t}"), F.col("levels").alias(f"levels_{t}"))
+    side = lambda t: built.select("g", F.col("s").alias(t), F.col("ids").alias(f"ids_{t}"), F.col("copies").alias(f"copies_{t}"), F.col("flat").alias(f"flat_{t}"), F.col("levels").alias(f"levels_{t}"))
     met = built.select("g", "s", F.explode(F.sequence(F.col("s"), F.col("shards") - 1)).alias("t")).join(side("s"), ["g", "s"]).join(side("t"), ["g", "t"]).repartition("g", "s", "t")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,14 +237,20 @@ def vector_links(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 ids = ids_s if own else np.concatenate([ids_s, ids_t])
                 if not own:
                     b = b + len(ids_s)
-                n = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+                times = np.concatenate([batch.column(f"copies_{t}")[i].values.to_numpy(zero_copy_only=False) for t in ("s" if own else "st")])
+                n = np.zeros(len(ids), np.int64)
+                np.add.at(n, a, times[b])
+                np.add.at(n, b, times[a])
                 some = np.flatnonzero(n)
                 tree = forest(a, b, ids)
                 yield pa.RecordBatch.from_pydict({"id": [*ids[some].tolist(), *[t[0] for t in tree]], "other": [*[None] * len(some), *[t[1] for t in tree]], "n": [*n[some].tolist(), *[0] * len(tree)]}, pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())]))
 
     found = checkpoint(met.mapInArrow(search, "id long, other long, n long"))
-    counts = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n_links"))
-    return counts, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    counts = found.where("other is null").groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
+    n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+    counts = member.join(counts, "rep", "left").select("id", n_links.alias("n_links")).where("n_links > 0")
+    copies = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    return counts, found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).union(copies)
 
 
 def set_of_links(sides: list[tuple], own: bool, least: float, width: int, audit_share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +277,7 @@ def set_of_links(sides: list[tuple], own: bool, least: float, width: int, audit_
 
 
 def near_vectors(df: DataFrame) -> DataFrame:
-    """The result of op9: one row per row of `embeddings`."""
+    """The result of op9: one row per row of `embeddings`; rows that repeat an id have that id's result each, null ids no links."""
     counts, links = vector_links(df)
     group = components(links)
     out = df.select("vec_id").join(counts, F.col("vec_id") == F.col("id"), "left").join(group, F.col("vec_id") == F.col("node"), "left")

@@ -177,6 +177,57 @@ def test_vectors_across_shards(spark):
     assert found == {i: int(np.flatnonzero(reach[i])[0]) for i in range(600) if link[i].any()}
 
 
+def planted_vectors(n, dims, seed):
+    """Clusters from pairs to hundreds, of vectors at cosines around the threshold, among unlinked ones; copies of some."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
+    at = 0
+    for size in [2] * 100 + [10] * 20 + [300, 700]:
+        x[at : at + size] = x[at] + rng.normal(size=(size, dims)) * rng.choice([0.1, 0.25, 0.35])
+        at += size
+    x[at : at + 400] = x[:400]
+    return rng.permutation(x)
+
+
+def brute_links(x, least=0.93):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return (unit @ unit.T >= least) & ~np.eye(len(x), dtype=bool)
+
+
+def test_planted_links_in_a_large_shard_with_full_beams(spark):
+    x = planted_vectors(5000, 32, 3)
+    link = brute_links(x)
+    assert link.sum(axis=1).max() > 4 * hnsw.FIRST_WIDTH  # beams fill up
+    counts, links = hnsw.vector_links(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    assert {r["id"]: r["n_links"] for r in counts.collect()} == {i: int(n) for i, n in enumerate(link.sum(axis=1)) if n}
+    parent = list(range(len(x)))
+    find = lambda i: i if parent[i] == i else find(parent[i])
+    for a, b in zip(*np.nonzero(link)):
+        p, q = sorted((find(a), find(b)))
+        parent[q] = p
+    assert {r["node"]: r["component"] for r in components(links).collect()} == {i: int(find(i)) for i in range(len(x)) if link[i].any()}
+
+
+def test_recall_of_the_graph_and_a_missed_audit():
+    x = planted_vectors(3000, 32, 5)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, none = hnsw.build(x, np.arange(len(x))), np.zeros(0, np.int64)
+    truth = {(a, b) for a, b in zip(*np.nonzero(x @ x.T >= 0.93))}
+    found = set(zip(*(v.tolist() for v in hnsw.search_links(graph, x, 0.93, hnsw.FIRST_WIDTH, none))))
+    assert found <= truth and len(found) >= 0.99 * len(truth)  # without any audit
+    # level 0 cut into pieces: the search misses links, the audit finds that and widens until it agrees
+    broken = hnsw.Graph(x, [np.where(np.arange(32)[None, :] < 2, graph.levels[0], -1), *graph.levels[1:]], graph.entry)
+    missed = set(zip(*(v.tolist() for v in hnsw.search_links(broken, x, 0.93, 4, none))))
+    audited = set(zip(*(v.tolist() for v in hnsw.search_links(broken, x, 0.93, 4, np.arange(len(x))))))
+    assert len(missed) < len(truth) and audited == truth
+
+
+def test_repeated_vector_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [0.0, 1.0], 1), (3, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)], VECTORS)
+    found = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in hnsw.near_vectors(df).collect()), key=str)
+    assert found == [(0, 0, None), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (3, 2, 1)]
+
+
 def test_graph_recall_without_audits():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 32))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, mix, shingles, slices, strings, text_key
+from .common import checkpoint, components, mix, named, shingles, slices, strings, text_key
 
 SPREAD = np.uint64(0xD1B54A32D192ED03)
 
@@ -57,8 +57,8 @@ def sketches(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            texts = strings(batch.column(text))
+        for batch in slices(batches, "text"):
+            texts = strings(batch.column("text"))
             owner, shingle, times = shingles(texts, k)
             out = bands_of(sketch(owner, shingle, np.ones_like(times), len(texts), bands * rows), bands)
             some = np.flatnonzero(np.bincount(owner, minlength=len(texts)))
@@ -72,8 +72,8 @@ def sketches(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
             listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[np.argsort(of, kind="stable")].view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in ("h1", "h2")), listed], ["id", "h1", "h2", "bands"])
 
-    keyed = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("k", text_key(F.col(text)))
-    return keyed.select("id", text, "k.h1", "k.h2").mapInArrow(run, f"id {kind}, h1 long, h2 long, bands array<long>")
+    keyed = df.select(named(key).alias("id"), F.coalesce(named(text), F.lit("")).alias("text")).withColumn("k", text_key(F.col("text")))
+    return keyed.select("id", "text", "k.h1", "k.h2").mapInArrow(run, f"id {kind}, h1 long, h2 long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
@@ -99,6 +99,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return full.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, s) of (id, text): the hashes of the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            owner, values, _ = shingles(strings(batch.column("text")), k)
+            bounds = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(values.view(np.int64)))], ["id", "s"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, s array<long>")
+
+
 def reaches(same: np.ndarray, whole: np.ndarray, least: float) -> np.ndarray:
     """same / whole >= least without rounding of the quotient; `least` has six digits at most."""
     return (same > 0) & (same * 10**6 >= round(least * 10**6) * whole)
@@ -106,8 +118,8 @@ def reaches(same: np.ndarray, whole: np.ndarray, least: float) -> np.ndarray:
 
 def settled(met: DataFrame, group: DataFrame, texts: DataFrame, k: int, least: float, block: int = 512) -> DataFrame:
     """Links (a, b) that the leaders (lead, id) of `met` leave open: of documents that aren't in their leader's class with all that
-    have met this leader. Both sides are dealt into blocks of a fixed size; a pair of blocks is a task's group, which returns at
-    most one link of a document to each other class.
+    have met this leader. Both sides, as sets of shingle hashes, are dealt into blocks of a fixed size; a pair of blocks is a task's group, which
+    returns at most one link of a document to each other class.
     """
     kind = dict(met.dtypes)["id"]
     both = met.union(met.select("lead", F.col("lead").alias("id"))).distinct()
@@ -116,18 +128,20 @@ def settled(met: DataFrame, group: DataFrame, texts: DataFrame, k: int, least: f
     placed = both.join(own, "id", "left").join(above, "lead", "left").select("lead", "id", F.coalesce("c", "id").alias("c"), F.coalesce("lc", "lead").alias("lc"))
     placed = checkpoint(placed)
     sizes = placed.groupBy("lead").agg(F.ceil(F.count_if(F.col("c") != F.col("lc")) / block).alias("nu"), F.ceil(F.count("*") / block).alias("nm"))
-    rows = checkpoint(placed.join(checkpoint(sizes.where("nu > 0")), "lead").join(texts, "id"))
+    rows = placed.join(checkpoint(sizes.where("nu > 0")), "lead")
+    sets = checkpoint(shingle_sets(texts.join(rows.select("id").distinct(), "id", "left_semi"), k))
+    rows = checkpoint(rows.join(sets, "id"))
     span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    open_ = rows.where("c <> lc").select("lead", place("nu").alias("u"), span("nm").alias("m"), F.lit(True).alias("open"), "id", "c", "text")
-    all_ = rows.select("lead", span("nu").alias("u"), place("nm").alias("m"), F.lit(False).alias("open"), "id", "c", "text")
+    open_ = rows.where("c <> lc").select("lead", place("nu").alias("u"), span("nm").alias("m"), F.lit(True).alias("open"), "id", "c", "s")
+    all_ = rows.select("lead", span("nu").alias("u"), place("nm").alias("m"), F.lit(False).alias("open"), "id", "c", "s")
 
     def compare(part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
         opened, ids, classes = (part.column(c).to_numpy() for c in ("open", "id", "c"))
-        owner, values, _ = shingles(strings(part.column("text")), k)
-        values = np.unique(values, return_inverse=True)[1]
-        bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
+        listed = part.column("s").combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(np.diff(listed.offsets.to_numpy()))])
+        values = np.unique(listed.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
         others = np.flatnonzero(~opened & (np.diff(bounds) > 0))
         starts = np.concatenate([[0], np.cumsum(np.diff(bounds)[others])[:-1]]) if len(others) else np.zeros(0, np.int64)
         flat = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in others]) if len(others) else values[:0]
@@ -152,28 +166,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", k: i
     """(id, class_id) per row of `df`; class_id is the smallest id of the documents joined by links, links being pairs of
     texts whose sets of `k`-word shingles (lower-cased, a shorter text being one shingle) have a Jaccard similarity of `least`
     or more, and equal texts. Null texts count as empty; empty texts are equal to each other. A pair at the threshold meets in
-    some band of equal rates with probability 1 - (1 - least**rows)**bands, over 0.999996 by default, however often shingles repeat. Rows that share an id are one node; rows
-    with a null id keep a null id. Other columns don't pass.
+    some band of equal rates with probability 1 - (1 - least**rows)**bands, over 0.999996 by default, however often shingles repeat. Rows that share an id are one
+    document; if their texts differ, one of them counts, that of the smallest hash. Rows with a null id have no class. Other columns don't pass.
     """
     drawn = checkpoint(sketches(df, key, text, k, bands, rows))
+    every = drawn.select("id")
+    hashes = drawn.where("id is not null").select("id", F.struct("h1", "h2").alias("h"))
+    several = checkpoint(hashes.groupBy("id").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first <> last").select("id", "first"))
+    if several.limit(1).count():
+        drawn = checkpoint(drawn.join(several, "id", "left").where("first is null or (first.h1 = h1 and first.h2 = h2)").drop("first"))
     # equal texts: the smallest id stands for all
     same = checkpoint(drawn.where("id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
-    member = drawn.select("id", "h1", "h2").join(same, ["h1", "h2"], "left")
+    member = drawn.select("id", "h1", "h2").distinct().join(same, ["h1", "h2"]).select(F.col("id").alias("of"), "rep")
     reps = drawn.join(same.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
     bucket = reps.select("id", F.explode("bands").alias("bucket")).distinct()
     lead = checkpoint(bucket.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead"))
     shared = checkpoint(bucket.join(lead, "bucket"))
     pairs = shared.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     wanted = shared.select("id").union(shared.select(F.col("lead").alias("id"))).distinct()
-    texts = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = checkpoint(texts.join(wanted, "id").dropDuplicates(["id"]))
+    texts = df.select(named(key).alias("id"), F.coalesce(named(text), F.lit("")).alias("text")).join(wanted, "id")
+    if several.limit(1).count():
+        texts = texts.withColumn("k", text_key(F.col("text"))).join(several, "id", "left").where("first is null or (first.h1 = k.h1 and first.h2 = k.h2)").select("id", "text")
+    texts = checkpoint(texts.dropDuplicates(["id"]))
     links = checkpoint(verified(pairs, texts, k, least))
     group = components(links)
     more = checkpoint(settled(shared.select("lead", "id"), group, texts, k, least))
     if more.limit(1).count():
         group = components(links.union(more))
-    found = member.join(group, member["rep"] == group["node"], "left")
-    return found.select("id", F.coalesce("component", "rep").alias("class_id"))
+    found = member.join(group, member["rep"] == group["node"], "left").select("of", F.coalesce("component", "rep").alias("class_id"))
+    return every.join(found, every["id"] == found["of"], "left").select("id", "class_id")
 
 
 def classes(df: DataFrame) -> DataFrame:

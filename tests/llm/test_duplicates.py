@@ -108,6 +108,36 @@ def test_near_duplicates_with_repeated_passages(spark):
     assert {r["id"]: r["class_id"] for r in found.collect()} == want
 
 
+def test_near_duplicates_whose_passages_repeat_in_turn(spark):
+    """P repeats in one copy and Q in the other: the sets of shingles are nearly equal, the weights are not."""
+    rng, rows = random.Random(9), []
+    section = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    for i, r in enumerate([4, 8, 32, 256] * 8):
+        base, p, q = section(), section(), section()
+        rows += [(2 * i, " ".join(base + p * r + q)), (2 * i + 1, " ".join(base + p + q * r))]
+    found = probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: r["class_id"] for r in found.collect()} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_duplicates_of_different_texts_under_one_id(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (1, other), (2, one), (3, other), (None, one), (4, None), (5, "")]
+    for _ in range(2):
+        found = sorted(((r["id"] or 0, r["class_id"]) for r in probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        same = 2 if [f for f in found if f[0] == 2][0][1] == 1 else 3
+        assert found == sorted([(0, None), (1, 1), (1, 1), (2, 1 if same == 2 else 2), (3, 1 if same == 3 else 3), (4, 4), (5, 4)], key=str)
+
+
+def test_word_hashes_of_texts_longer_than_a_piece(monkeypatch):
+    from folioscope.llm import common
+
+    texts = ["a bb " * 300, "", "x" * 500, "é " * 200 + "y", " lead and trail ", "\n"]
+    want = [common.word_hashes([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(common, "PIECE", 64)
+    hashes, owner = common.word_hashes(texts)
+    assert [hashes[owner == i].tolist() for i in range(len(texts))] == want and [len(w) for w in want] == [len(t.split()) for t in texts]
+
+
 def test_op6(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = queries.op6_minhash(spark, sf_dir).collect()

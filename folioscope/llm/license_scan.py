@@ -131,17 +131,23 @@ def similarities(df: DataFrame, text: str = "text") -> DataFrame:
     some = df.select(named(text).alias("text")).where(F.lower("text").rlike(rf"(?<![a-z0-9])(?:{anchor})(?![a-z0-9])"))
     # copies of a text are scored once
     distinct = checkpoint(some.withColumn("k", text_key(F.col("text"))).groupBy("k.h1", "k.h2").agg(F.first("text").alias("text")))
-    segment = F.split(F.regexp_replace(F.lower("text"), r"([.!?])[ \t]+", "$1\n"), "\n", -1)
-    words = distinct.select("h1", "h2", F.posexplode(segment).alias("pos", "segment")).select("h1", "h2", "pos", F.explode(F.regexp_extract_all("segment", F.lit(f"({TERM})"), 1)).alias("term"))
-    words = words.where(~F.col("term").isin(EMPTY)).groupBy("h1", "h2", "pos", "term").agg(F.count("*").alias("n"))
+    segments = F.split(F.regexp_replace(F.lower("text"), r"([.!?])[ \t]+", "$1\n"), "\n", -1)
+    found = rf"(?<![a-z0-9])(?:{anchor})(?![a-z0-9])"
+    # the segments come out of a generator, so that they are made once; windows without an anchor can't reach the threshold
+    cut = distinct.select("h1", "h2", F.explode(F.array(segments)).alias("segments"))
+    hit = cut.withColumn("hit", F.filter(F.sequence(F.lit(0), F.size("segments") - 1), lambda i: F.get("segments", i).rlike(found)))
+    starts = [(back, size) for size in range(1, WINDOW + 1) for back in range(size)]
+    around = lambda i: F.array(*[F.struct((i - back).alias("at"), F.lit(size).alias("size")) for back, size in starts])
+    windows = hit.select("h1", "h2", "segments", F.explode(F.array_distinct(F.flatten(F.transform("hit", around)))).alias("w")).where((F.col("w.at") >= 0) & (F.col("w.at") < F.size("segments")))
+    part = F.array_join(F.slice("segments", F.col("w.at") + 1, F.col("w.size")), "\n")
+    windows = windows.select("h1", "h2", F.col("w.at").alias("at"), F.col("w.size").alias("segments"), part.alias("part"))
+    whole = distinct.select("h1", "h2", F.lit(-1).alias("at"), F.lit(0).alias("segments"), F.lower("text").alias("part"))
+    unit = ["h1", "h2", "at", "segments"]
+    words = windows.unionByName(whole).select(*unit, F.explode(F.regexp_extract_all("part", F.lit(f"({TERM})"), 1)).alias("term"))
+    words = checkpoint(words.where(~F.col("term").isin(EMPTY)).groupBy(*unit, "term").agg(F.count("*").alias("n")))
     # the words of the few texts with an anchor, not all documents' words, meet the frequencies
     used = checkpoint(words.select("term").distinct().join(frequencies, "term"))
-    words = checkpoint(words.join(used, "term"))
-    starts = [(F.col("pos") - back, size) for size in range(1, WINDOW + 1) for back in range(size)]
-    placed = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("segments")), *[F.struct(at.cast("int").alias("at"), F.lit(size).alias("segments")) for at, size in starts])
-    units = words.withColumn("w", F.explode(placed)).select("h1", "h2", "w.at", "w.segments", "term", "n", "idf").groupBy("h1", "h2", "at", "segments", "term").agg(F.sum("n").alias("n"), F.first("idf").alias("idf"))
-    unit, weight = ["h1", "h2", "at", "segments"], F.col("n") * F.col("idf")
-    units = checkpoint(units.where((F.col("segments") == 0) | (F.col("at") >= 0)).select(*unit, "term", weight.alias("w"), "idf"))
+    units = checkpoint(words.join(used, "term").select(*unit, "term", (F.col("n") * F.col("idf")).alias("w"), "idf"))
     norm = units.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     lengths = {k: math.sqrt(sum((n * idf[w]) ** 2 for w, n in count.items())) for k, _, count in known}
     rows = [f"'{k}', '{name}', '{w}', {n}L, {lengths[k]!r}D" for k, name, count in known for w, n in count.items()]

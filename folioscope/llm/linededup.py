@@ -12,13 +12,12 @@ one candidate pair for each of its lines; every candidate pair is verified on it
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, named, shared_folder, unused
 
 ENDS = ("first", "last", "step_first", "step_last")
 BITS = 32_768  # of one bitmap row
@@ -28,8 +27,7 @@ MOST_BITMAPS = 4_096
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as a table to the shared checkpoint folder and read again: smaller than a checkpoint, and read by column."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/lines-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -158,27 +156,31 @@ def fuzzy_repeats(df: DataFrame, key: str, text: str, earliest: DataFrame, fuzzy
     return pairs.where(within_one_word(F.col("x"), F.col("y"))).select("doc", "pos").distinct()
 
 
-def with_drops(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """`df` with _drop, the positions of the lines to drop; null where there are none."""
-    drop = repeated(df, key, text, **options).groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
-    drop = checkpoint(drop.select(F.col("doc").alias("_doc"), "_drop"))
-    return df.join(drop, df[key] == drop["_doc"], "left").drop("_doc")
-
-
-def reduced(text: str) -> Column:
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
-    return F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+def reduced(df: DataFrame, key: str, text: str, **options) -> tuple[DataFrame, str, str]:
+    """`df` with two more columns, which are named too: the positions of the lines that each text loses and the text without them; nulls where it loses none."""
+    drop, kept = unused(df, "_drop"), unused(df, "_kept")
+    own = df.select(named(key).alias("doc"), named(text).alias("text"))
+    drops = checkpoint(repeated(own, "doc", "text", **options).groupBy(F.col("doc").alias("_of")).agg(F.collect_set("pos").alias("_gone")))
+    row = F.struct(*map(named, df.columns)).alias("row")  # as one column, so that no name can clash
+    met = df.select(row, named(key).alias("_key")).join(drops, F.col("_key") == F.col("_of"), "left")
+    # the lines come out of a generator, which nothing moves into the function over the positions: a text is split once
+    lines = F.when(F.col("_gone").isNotNull(), F.split(F.col("row").getField(text), "\n", -1))
+    split = met.select("row", "_gone", F.explode(F.array(lines)).alias("_lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    joined = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
+    return split.select(*[F.col("row").getField(c).alias(c) for c in df.columns], F.col("_gone").alias(drop), joined.alias(kept)), drop, kept
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`df` with its columns, each text without its repeated lines (see `repeated`). Texts that lose nothing stay as they
-    are, null too; a text that loses all its lines becomes empty. Rows with a null key stay as they are.
+    are, null too; a text that loses all its lines becomes empty. Rows with a null key stay as they are. Columns may have any name.
     """
-    return with_drops(df, key, text, **options).withColumn(text, reduced(text)).select(*df.columns)
+    out, _, kept = reduced(df, key, text, **options)
+    return out.select(*[F.coalesce(named(kept), named(c)).alias(c) if c == text else named(c) for c in df.columns])
 
 
 def report(df: DataFrame) -> DataFrame:
     """The result of op7: per document its lines, those that stay, and a digest of what stays."""
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out, drop, kept = reduced(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
     n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    return with_drops(rows, "doc_id", "text").select("doc_id", n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("_drop"), F.lit(0))).alias("n_kept"), F.md5(reduced("text")).alias("text_md5"))
+    return out.select("doc_id", n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size(drop), F.lit(0))).alias("n_kept"), F.md5(F.coalesce(kept, "text")).alias("text_md5"))

@@ -61,6 +61,25 @@ def test_line_dedup_of_odd_rows(odd, empty):
     assert linededup.dedup(empty).count() == 0 and linededup.report(odd).count() == odd.count()
 
 
+def test_line_dedup_of_columns_with_names_of_its_own(spark):
+    line = "one two three four five six seven eight nine"
+    df = spark.createDataFrame([(1, f"{line}\na b c", 7, 8, 9), (2, f"{line}\nx y z\n{line}", 7, 8, 9)], "doc_id long, text string, _drop int, _doc int, `a.b` int")
+    out = linededup.dedup(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, f"{line}\na b c", 7, 8, 9), (2, "x y z", 7, 8, 9)]
+
+
+def test_a_shared_folder_is_required_beyond_one_machine(monkeypatch):
+    from types import SimpleNamespace
+
+    from folioscope.llm import common
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    assert common.shared_folder(session("local[4]"))
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_folder(session(master))
+
+
 def brute_classes(rows, k=5, least=0.8):
     sets, parent, same = {}, {}, {}
     for doc, text in rows:

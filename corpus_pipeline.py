@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm import cotrain, linededup, packing, probminhash, toxicity
-from folioscope.llm.common import table
+from folioscope.llm.common import shared_folder, table
 from folioscope.llm.queries import tokenizer
 
 
 def kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id `verdict` names, with all their columns; null ids are never judged and stay out."""
-    return docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of `docs` whose id `verdict` names, with all their columns; rows with a null id, which nothing judges, stay."""
+    judged = docs.join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return judged.unionByName(docs.where("doc_id is null"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages from `documents`, each written as Parquet to the shared checkpoint folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         at = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"

@@ -1,19 +1,22 @@
 """Operator 3: toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer turns words into symbols with weights: insults and threats (given seeds, and stems learned from labelled
-rows), targets, negations and reporting verbs. Four pattern transducers read the symbols: attack (emits the weight of an insult
-or threat), target (raises it if somebody is addressed within a few words), negation (lowers what follows closely)
-and reported speech (lowers the rest of the clause). Their composition is one deterministic table of product states. A
-clause's score is what the table emits along it; a text's features come from its matched clauses, and a logistic model maps
-them to a score. The labels are used only for the stems and for that model.
+A lexicon turns words into symbols with weights: insults and acts of violence (given seeds, and stems learned from labelled rows, as
+insults), targets, words of intent, negations and reporting verbs. Four pattern transducers read the symbols. The insult transducer emits
+an insult's weight, more if somebody is addressed a few words before. The threat transducer follows intent, act and target: an act
+alone emits little, one behind a word of intent all, and a target behind that emits again. Their union adds what both emit. The
+negation transducer lowers what follows a negation closely, the one of reported speech the rest of the clause; these are composed with
+the union, so that their factors multiply. The result is one deterministic table of product states. A clause's score is
+what the table emits along it; a text's features come from its matched clauses, and a logistic model maps them to a score. The labels are
+used only for the stems and for that model, which sees each labelled row through stems learned without its half of the rows.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import ahocorasick
@@ -23,78 +26,101 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, strings
+from .common import checkpoint, named, slices, strings, through
 from .logistic import fit, predict
 
-ATTACK, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+INSULT, ACT, TARGET, INTENT, NEGATION, REPORT, OTHER = SYMBOLS = range(7)
 #: Seeds of the lexicon; labelled rows add stems.
 SEEDS = {
-    ATTACK: "idiot moron stupid loser clown scum trash worthless pathetic disgusting imbecile dumb".split(),
-    THREAT: "kill hurt destroy murder punish beat".split(),
-    TARGET: "you your yours he she they them tu toi vous du dich ihr sie usted ustedes te".split(),
+    INSULT: "idiot idiots moron morons stupid loser losers clown scum trash garbage filth vermin worthless pathetic disgusting imbecile dumb fool bastard idiota estúpido imbécil basura idiotin dummkopf abschaum widerlich crétin ordure débile".split(),
+    ACT: "kill hurt destroy murder punish beat strangle stab shoot burn töten umbringen vernichten tuer détruire frapper matar destruir golpear".split(),
+    TARGET: "you your yours he she they them him her tu toi vous du dich ihr sie usted ustedes te".split(),
+    INTENT: "will shall gonna going should must want wants deserve deserves werde werden sollte muss vais allons dois voy vamos debe".split(),
     NEGATION: "not never no nobody nicht kein keine nie pas jamais nunca jamás".split(),
     REPORT: "said says claimed wrote quoted reported sagte schrieb dit écrit dijo escribió".split(),
 }
-SEED_WEIGHT, WINDOW, NEGATED, REPORTED, AIMED, THREATENED = 4.0, 4, 0.6, 0.7, 1.3, 1.2
+SEED_WEIGHT, WINDOW, NEAR = 4.0, 4, 3
+AIMED, BARE, INTENDED, AT_TARGET, NEGATED, REPORTED = 1.3, 0.6, 1.2, 0.4, 0.6, 0.7
 TOKEN = re.compile(r"[^\W\d_]+")
 CLOSE = re.compile(r"[.!?;:\n]")
 STEMS = (4, 5, 6)
 
 
-def target_machine() -> dict:
-    """States count the words since a target was named; an attack within the window is aimed."""
+def insult_machine() -> dict:
+    """States count down from the last target; an insult within the window is aimed."""
     arcs = {}
-    for state, symbol in product(range(WINDOW + 1), range(6)):
-        arcs[state, symbol] = (WINDOW if symbol == TARGET else max(0, state - 1), AIMED if symbol in (ATTACK, THREAT) and state else 1.0)
+    for state, symbol in product(range(WINDOW + 1), SYMBOLS):
+        arcs[state, symbol] = (WINDOW if symbol == TARGET else max(0, state - 1), (AIMED if state else 1.0) if symbol == INSULT else 0.0)
     return arcs
 
 
-def negation_machine() -> dict:
+def threat_machine() -> dict:
+    """States: 0; 1 to NEAR, words left behind intent; above, words left behind an intended act, whose target is still to come."""
     arcs = {}
-    for state, symbol in product(range(WINDOW), range(6)):
-        arcs[state, symbol] = (WINDOW - 1 if symbol == NEGATION else max(0, state - 1), NEGATED if symbol in (ATTACK, THREAT) and state else 1.0)
+    for state, symbol in product(range(2 * NEAR + 1), SYMBOLS):
+        acted, follow = state > NEAR, 0 if state in (0, NEAR + 1) else state - 1
+        if symbol == ACT:
+            arcs[state, symbol] = (2 * NEAR, INTENDED) if state else (0, BARE)
+        elif symbol == TARGET and acted:
+            arcs[state, symbol] = (0, AT_TARGET)
+        elif symbol == INTENT and not acted:
+            arcs[state, symbol] = (NEAR, 0.0)
+        else:
+            arcs[state, symbol] = (follow, 0.0)
     return arcs
 
 
-def report_machine() -> dict:
-    return {(state, symbol): (1 if symbol == REPORT else state, REPORTED if symbol in (ATTACK, THREAT) and state else 1.0) for state, symbol in product(range(2), range(6))}
+def negation_machine() -> dict:
+    arcs = {}
+    for state, symbol in product(range(WINDOW), SYMBOLS):
+        arcs[state, symbol] = (WINDOW - 1 if symbol == NEGATION else max(0, state - 1), NEGATED if state else 1.0)
+    return arcs
 
 
-def attack_machine() -> dict:
-    """One state; only attacks and threats emit."""
-    return {(0, symbol): (0, {ATTACK: 1.0, THREAT: THREATENED}.get(symbol, 0.0)) for symbol in range(6)}
+def report_machine() -> dict:
+    return {(state, symbol): (1 if symbol == REPORT else state, REPORTED if state else 1.0) for state, symbol in product(range(2), SYMBOLS)}
 
 
-def compose(first: dict, second: dict) -> dict:
-    """Both machines on the same symbols: pairs of states, products of weights, numbered as they are reached from (0, 0)."""
+def joined(first: dict, second: dict, out: Callable[[float, float], float]) -> dict:
+    """Both machines on the same symbols: pairs of states, numbered as they are reached from (0, 0), with `out` of what the two emit."""
     number, todo, arcs = {(0, 0): 0}, [(0, 0)], {}
     while todo:
         a, b = todo.pop()
-        for symbol in range(6):
+        for symbol in SYMBOLS:
             (na, wa), (nb, wb) = first[a, symbol], second[b, symbol]
             if (na, nb) not in number:
                 number[na, nb] = len(number)
                 todo.append((na, nb))
-            arcs[number[a, b], symbol] = (number[na, nb], wa * wb)
+            arcs[number[a, b], symbol] = (number[na, nb], out(wa, wb))
     return arcs
 
 
-GRAMMAR = compose(compose(attack_machine(), target_machine()), compose(negation_machine(), report_machine()))
+def union(first: dict, second: dict) -> dict:
+    return joined(first, second, operator.add)
+
+
+def compose(first: dict, second: dict) -> dict:
+    return joined(first, second, operator.mul)
+
+
+GRAMMAR = compose(union(insult_machine(), threat_machine()), compose(negation_machine(), report_machine()))
 
 
 class Lexicon:
     """Symbols and weights of words: seeds by whole word, learned entries by stem; the heaviest entry of a word counts."""
 
     def __init__(self, learned: dict[str, float]):
-        self.words = {w: (s, SEED_WEIGHT if s in (ATTACK, THREAT) else 0.0) for s, ws in SEEDS.items() for w in ws}
+        self.words = {w: (s, SEED_WEIGHT if s in (INSULT, ACT, TARGET) else 0.0) for s, ws in SEEDS.items() for w in ws}
         self.stems = learned
         # a word that begins like no entry is no attack
-        self.heads, self.finder = {w.removesuffix("-") for w in learned} | {w for s in (ATTACK, THREAT) for w in SEEDS[s]}, None
+        self.heads, self.finder = {w.removesuffix("-") for w in learned} | {w for s in (INSULT, ACT) for w in SEEDS[s]}, None
 
     def symbol(self, word: str) -> tuple[int, float]:
         found = self.words.get(word, (OTHER, 0.0))
         learned = max((self.stems.get(s, 0.0) for s in stems_of(word)), default=0.0)
-        return (ATTACK if found[0] not in (ATTACK, THREAT) else found[0], max(found[1], learned)) if learned else found
+        if not learned:
+            return found
+        return (found[0], max(found[1], learned)) if found[0] in (INSULT, ACT) else (INSULT, learned)
 
     def starts(self, low: str) -> list[int]:
         """Where words begin that may be attacks; one pass over the text for all of them."""
@@ -134,32 +160,44 @@ def stems_of(word: str) -> list[str]:
 
 
 def labelled(df: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int) -> DataFrame:
-    """(text, y) of at most `rows` labelled rows for fitting (crc32 of the id mod 5 is not 0), picked by a hash of the id."""
-    ids = labels.where(F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0)).groupBy(key).agg(F.max(label).alias("y"))
-    ids = ids.orderBy(F.xxhash64(key), key).limit(rows)  # a bounded sample, so that it can be broadcast
-    return df.select(key, text).join(F.broadcast(ids), key).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "y")
+    """(text, y, half) of at most `rows` labelled ids for fitting (crc32 of the id mod 5 is not 0), picked by a hash of the id. Labels other than 0 and 1
+    are none; an id has one row, its greatest text.
+    """
+    ids = labels.where(named(label).isin(0, 1) & (F.crc32(named(key).cast("string")) % 5 != 0)).groupBy(named(key).alias("key")).agg(F.max(named(label)).cast("int").alias("y"))
+    ids = ids.orderBy(F.xxhash64("key"), "key").limit(rows)  # a bounded sample, so that it can be broadcast
+    met = df.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text")).join(F.broadcast(ids), "key")
+    return met.groupBy("key").agg(F.max("text").alias("text"), F.first("y").alias("y")).select("text", "y", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(2)).cast("int").alias("half"))
 
 
-def learn_stems(sample: DataFrame, most: int = 5000) -> dict[str, float]:
-    """Stems and words that many more toxic rows than others hold, with their log odds."""
+def learn_stems(sample: DataFrame, most: int = 5000) -> list[dict[str, float]]:
+    """Stems and words that many more toxic rows than others hold, with their log odds: by the rows of half 0, by those of half 1, by all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen = [Counter() for _ in range(4)]
         for batch in batches:
-            for text, y in zip(strings(batch.column("text")), batch.column("y").to_pylist()):
+            for text, y, half in zip(strings(batch.column("text")), batch.column("y").to_pylist(), batch.column("half").to_pylist()):
                 words = {t for t in TOKEN.findall(text.lower()) if len(t) > 3}
-                seen[int(y)].update({s for w in words for s in stems_of(w)} | {""})
-        names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in seen)], ["stem", "no", "yes"])
+                seen[2 * half + y].update({s for w in words for s in stems_of(w)} | {""})
+        names = list(set().union(*seen))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in seen)], ["stem", "no0", "yes0", "no1", "yes1"])
 
-    counts = sample.mapInArrow(count, "stem string, no long, yes long").groupBy("stem").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    columns = ["no0", "yes0", "no1", "yes1"]
+    counts = sample.mapInArrow(count, "stem string, no0 long, yes0 long, no1 long, yes1 long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in columns])
     total = counts.where("stem = ''").first()
-    if total is None or not total["yes"] or not total["no"]:
-        return {}
-    least = max(3, total["yes"] // 500)
-    odds = F.log((F.col("yes") + 0.5) / (total["yes"] + 1.0)) - F.log((F.col("no") + 0.5) / (total["no"] + 1.0))
-    rows = counts.where((F.col("stem") != "") & (F.col("yes") >= least)).withColumn("odds", odds).where("odds >= 3").orderBy(F.desc("yes"), "stem").limit(most).collect()
-    return {r["stem"]: float(r["odds"]) for r in rows}
+    if total is None:
+        return [{}, {}, {}]
+    sides = {0: ("no0", "yes0"), 1: ("no1", "yes1"), 2: ("no0 + no1", "yes0 + yes1")}
+    whole = {k: tuple(total[no] if k < 2 else total["no0"] + total["no1"] if i == 0 else total["yes0"] + total["yes1"] for i, no in enumerate(side)) for k, side in sides.items()}
+    found = []
+    for k, (no, yes) in sides.items():
+        n_no, n_yes = whole[k]
+        if not n_no or not n_yes:
+            found.append({})
+            continue
+        odds = F.log((F.expr(yes) + 0.5) / (n_yes + 1.0)) - F.log((F.expr(no) + 0.5) / (n_no + 1.0))
+        rows = counts.where((F.col("stem") != "") & (F.expr(yes) >= max(3, n_yes // 500))).select("stem", F.expr(yes).alias("yes"), odds.alias("odds")).where("odds >= 3").orderBy(F.desc("yes"), "stem").limit(most).collect()
+        found.append({r["stem"]: float(r["odds"]) for r in rows})
+    return found
 
 
 def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 20_000, score: str = "_score") -> DataFrame:
@@ -168,15 +206,16 @@ def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     clauses and get the score of texts without any. Without labels of both kinds the seeds alone count. Only the text is
     read for a score. Rows that repeat are scored each; a column named `score` is replaced.
     """
-    sample = labelled(df, labels, label, key, text, rows)
-    lexicon = Lexicon(learn_stems(sample))
+    sample = checkpoint(labelled(df, labels, label, key, text, rows))
+    by_half_0, by_half_1, learned = learn_stems(sample)
+    lexicon, halves = Lexicon(learned), [Lexicon(by_half_1), Lexicon(by_half_0)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [lexicon.features(t) for t in strings(batch.column("text"))]
+            found = [halves[h].features(t) for t, h in zip(strings(batch.column("text")), batch.column("half").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-    known = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(measure, "x array<double>, y int").collect()
+    known = sample.mapInArrow(measure, "x array<double>, y int").collect()
     x, y = np.array([r["x"] for r in known], float).reshape(-1, 4), np.array([r["y"] for r in known], float)
     beta = fit(x, y) if len(set(y)) == 2 else np.array([4.0, 0.5, 0.5, 0.5, -3.0])
     kept = [c for c in df.columns if c != score]
@@ -186,7 +225,7 @@ def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             found = np.array([lexicon.features(t) for t in strings(batch.column(text))], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(predict(found, beta))], [*kept, score])
 
-    return df.select(*kept).mapInArrow(judge, T.StructType([*(df.schema[c] for c in kept), T.StructField(score, T.DoubleType())]))
+    return through(df.select(*map(named, kept)), judge, T.StructType([*(df.schema[c] for c in kept), T.StructField(score, T.DoubleType())]))
 
 
 def scores(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, load
-from .common import checkpoint, slices, strings
+from .common import checkpoint, named, slices, strings
 
 MARGIN = 16
 
@@ -42,12 +42,25 @@ def boundaries(library, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     return starts[at], at, len(words)
 
 
+def chunks(df: DataFrame, chunk: int, overlap: int, at_once: int = 64) -> DataFrame:
+    """(key, i, start, text, last) of (key, text): pieces of `chunk` characters with `overlap` more on both sides, each text in one pass."""
+    kind = df.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1):
+            text = batch.column("text")[0].as_py()
+            n = -(-len(text) // chunk)
+            for first in range(0, n, at_once):
+                number = range(first, min(n, first + at_once))
+                starts = [max(0, i * chunk - overlap) for i in number]
+                parts = [text[s : (i + 1) * chunk + overlap] for s, i in zip(starts, number)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array([0] * len(parts))), pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(parts, pa.string()), pa.array([i == n - 1 for i in number])], ["key", "i", "start", "text", "last"])
+
+    return df.select("key", "text").mapInArrow(run, f"key {kind}, i int, start long, text string, last boolean")
+
+
 def spliced(df: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """(key, n_tokens) of (key, text) by chunks of `chunk` characters, each with `overlap` more on both sides; null where some seam has no common boundary."""
-    cut = df.withColumn("n", F.length("text")).select("key", "n", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / chunk).cast("int") - 1)).alias("i"))
-    start = F.greatest(F.lit(0), F.col("i") * chunk - overlap)
-    end = F.least(F.col("n"), (F.col("i") + 1) * chunk + overlap)
-    cut = cut.select("key", "i", start.alias("start"), F.substring("text", start + 1, end - start).alias("text"), ((F.col("i") + 1) * chunk >= F.col("n")).alias("last"))
     kind = df.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +76,7 @@ def spliced(df: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
             found = pa.Table.from_pylist(rows, pa.schema([("n", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("left", "left_n", "right", "right_n"))])).combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("i"), batch.column("last"), *found.columns], ["key", "i", "last", *found.schema.names])
 
-    found = cut.repartition("key", "i").mapInArrow(run, f"key {kind}, i int, last boolean, n long, left array<long>, left_n array<long>, right array<long>, right_n array<long>")
+    found = chunks(df, chunk, overlap).repartition("key", "i").mapInArrow(run, f"key {kind}, i int, last boolean, n long, left array<long>, left_n array<long>, right array<long>, right_n array<long>")
     before = Window.partitionBy("key").orderBy("i")
     seam = found.withColumn("prior", F.lag("right").over(before)).withColumn("prior_n", F.lag("right_n").over(before))
     seam = seam.withColumn("p", F.get(F.array_intersect("prior", "left"), F.lit(0)))
@@ -80,7 +93,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     that no overlap below `chunk` aligns (one without any boundary) is encoded in one call. Rows that repeat are counted each;
     other columns don't pass.
     """
-    base = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = df.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long")
     short = counts(base.where(F.length("text") <= 2 * chunk).select(F.struct("key", size.alias("n_bytes")).alias("key"), "text"), path).select("key.key", "key.n_bytes", "n_tokens")
     # the same text needs one count: copies of a huge document are counted once and joined by its hash

@@ -2,7 +2,8 @@
 
 Vectors are compared within their label; equal ones are one vector that counts as often as it occurs. A label is dealt by a hash into shards of about `shard` vectors; each shard gets a
 graph. Every shard's vectors are searched in every shard of the label, for a pair of shards in both directions. A vector
-whose beam is full of links searches again with a beam of twice the width, the shard's size at most. An audit compares vectors picked by a hash with
+whose beam is full of links searches again with a beam of twice the width; one that fills its beam and whose next is an eighth of
+the shard or more is compared with all of it. An audit compares vectors picked by a hash with
 all vectors of the other shard; as long as it finds a link that the search has missed, all beams start from twice the width. Links are checked by their exact cosine. A task returns link counts and, for the components, a pair for each linked vector instead of all links.
 """
 
@@ -145,11 +146,12 @@ def search_links(graph: Graph, queries: np.ndarray, least: float, width: int, au
     n, slack = len(graph.x), 1e-9
     truth = (queries[audit] @ graph.x.T >= least).sum(axis=1)
     while True:
-        pairs, todo, wide = [], np.arange(len(queries)), min(width, n)
+        pairs, todo, wide, full_before = [], np.arange(len(queries)), min(width, n), False
         while len(todo):
             again = []
             for part in np.array_split(todo, max(1, len(todo) * max(n, 64 * wide) // 8_000_000)):
-                if wide >= n:  # a beam of the shard's size holds all of it
+                # a vector that fills its beam and whose next one is an eighth of the shard has so many links that all of the shard costs less
+                if wide >= n or (full_before and 8 * wide >= n):
                     a, b = np.nonzero(queries[part] @ graph.x.T >= least - slack)
                     pairs.append((part[a], b))
                     continue
@@ -158,7 +160,7 @@ def search_links(graph: Graph, queries: np.ndarray, least: float, width: int, au
                 a, b = np.nonzero((near >= least - slack) & ~full[:, None])
                 pairs.append((part[a], who[a, b]))
                 again.append(part[full])
-            todo, wide = np.concatenate([np.zeros(0, np.int64), *again]), min(2 * wide, n)
+            todo, wide, full_before = np.concatenate([np.zeros(0, np.int64), *again]), min(2 * wide, n), True
         a, b = (np.concatenate(p) for p in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         if (np.bincount(a, minlength=len(queries))[audit] >= truth).all() or width >= n:
             return a, b

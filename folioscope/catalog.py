@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import history, pages, probes, stats, store, streams, tables
+from folioscope.plans import history, made, pages, probes, stats, store, streams, tables
 
-MODULES = (pages, probes, store, history, stats, tables, streams)
+MODULES = (pages, made, probes, store, history, stats, tables, streams)
 
 
 def queries() -> dict:

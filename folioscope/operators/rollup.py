@@ -23,6 +23,11 @@ def rollup_checks(rows: DataFrame, keys: list[str], examples: int = 25) -> DataF
     return counted.join(found, [*keys, "check"], "left").withColumn("findings", F.transform("f", lambda f: f.dropFields("rank"))).drop("f")
 
 
+def placed(checks: DataFrame, keys: list[str]) -> DataFrame:
+    """Checks with their place within a key: fewest points first, unevaluated ones as full, ties as defined. A key has a handful of checks."""
+    return checks.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("points", F.lit(1.0)), "ord")))
+
+
 def product_scores(checks: DataFrame, keys: list[str]) -> DataFrame:
     """Score of each key: the weighted mean of the rounded points of the checks that were evaluated, in percent."""
     has = F.col("points").isNotNull()

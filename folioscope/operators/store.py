@@ -9,6 +9,8 @@ from folioscope.functions.num import band, half_up, ratio
 
 #: The columns of the page index, and the legal changes of a run's status.
 INDEX_FIELDS = ["page_key", "url", "title", "score", "band", "fidelity", "mode", "run_id", "at"]
+#: The parts of a protocol, in order, and what a change of each is called.
+PROTOCOL = {"grader_model": "grader", "probe_model": "probe model", "probe_effort": "effort", "mode": "mode", "grader_prompt_sha": "grader prompt"}
 TRANSITIONS = {"queued": ["running", "cancelled"], "running": ["complete", "partial", "cancelled", "interrupted"], "complete": [], "partial": [], "cancelled": [], "interrupted": ["running"]}
 
 
@@ -44,9 +46,11 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def trend_points(runs: DataFrame) -> DataFrame:
-    """Points of complete runs only, with target label and whether the protocol is known."""
-    known = F.col("grader_model").isNotNull() & F.col("probe_effort").isNotNull()
-    return runs.where("status = 'complete'").select("run_id", "at", F.concat_ws(":", "target_type", "target_name").alias("target"), "score", "fidelity", fingerprint(F.col("grader_model"), F.col("probe_effort")).alias("fingerprint"), known.alias("protocol_known"))
+    """Points of complete runs only, with target label, the fingerprint of the whole protocol, and whether all its parts are known."""
+    known = F.lit(True)
+    for part in PROTOCOL:
+        known = known & F.col(part).isNotNull()
+    return runs.where("status = 'complete'").select("run_id", "at", F.concat_ws(":", "target_type", "target_name").alias("target"), "score", "fidelity", fingerprint(*map(F.col, PROTOCOL)).alias("fingerprint"), known.alias("protocol_known"))
 
 
 def segment_key() -> Column:
@@ -66,7 +70,9 @@ def discontinuities(points: DataFrame) -> DataFrame:
     """Where a target's protocol changes, and what changes."""
     order = Window.partitionBy("target").orderBy("at", "run_id")
     rows = points.withColumn("key", segment_key()).withColumn("prior", F.lag("key").over(order)).withColumn("prior_known", F.lag("protocol_known").over(order)).withColumn("prior_fingerprint", F.lag("fingerprint").over(order))
-    reason = F.when(~F.col("protocol_known") | ~F.col("prior_known"), "protocol unknown").when(F.get(F.split("fingerprint", r"\|"), F.lit(0)) != F.get(F.split("prior_fingerprint", r"\|"), F.lit(0)), "grader changed").otherwise("effort changed")
+    now, prior = F.split("fingerprint", r"\|"), F.split("prior_fingerprint", r"\|")
+    changed = F.concat_ws(", ", *[F.when(F.get(now, F.lit(i)) != F.get(prior, F.lit(i)), f"{name} changed") for i, name in enumerate(PROTOCOL.values())])
+    reason = F.when(~F.col("protocol_known") | ~F.col("prior_known"), "protocol unknown").otherwise(changed)
     return rows.where("prior is not null and prior <> key").select("target", "run_id", "at", reason.alias("reason"))
 
 
@@ -102,11 +108,17 @@ def reconcile(runs: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def reusable(pages: DataFrame, artifacts: DataFrame, protocol: list[str]) -> DataFrame:
-    """Each page with the newest earlier artifact of the same content hash and protocol, or with none."""
-    prior = artifacts.where("complete").select("page_key", "content_hash", *protocol, F.col("run_id").alias("_run"), F.col("at").alias("_at"))
-    met = pages.join(prior, ["page_key", "content_hash", *protocol], "left")
-    best = met.groupBy(*pages.columns).agg(F.max_by("_run", F.when(F.col("_at") < F.col("at"), F.struct("_at", "_run"))).alias("reused_run"))
-    return best
+    """Each page with the newest earlier artifact of the same content hash and protocol, or with none: one ordered pass over both, no join of a hot hash's pairs."""
+    on = ["page_key", "content_hash", *protocol]
+    asked = pages.select(*on, "at", "run_id", F.lit(None).cast(dict(artifacts.dtypes)["run_id"]).alias("_run"), F.lit(0).alias("_held"))
+    held = artifacts.where("complete").select(*on, "at", "run_id", F.col("run_id").alias("_run"), F.lit(1).alias("_held"))
+    # of one time the questions come first, so that only earlier artifacts answer; unknown hashes and protocols answer nothing
+    before = Window.partitionBy(*on).orderBy("at", "_held", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    met = asked.unionByName(held).withColumn("reused_run", F.when(known, F.last("_run", ignorenulls=True).over(before)))
+    return met.where("_held = 0").select(*pages.columns, "reused_run")
 
 
 def coverage(pages: DataFrame, by: list[str]) -> DataFrame:
@@ -118,5 +130,21 @@ def page_index(latest: DataFrame, columns: list[str]) -> DataFrame:
     return latest.select(*columns).orderBy(F.coalesce("score", F.lit(0)), "page_key")
 
 
-def protocol_fingerprint(model: Column, grader: Column, effort: Column, mode: Column, prompt: Column) -> Column:
-    return fingerprint(model, grader, effort, mode, prompt)
+def page_details(pages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Latest artifacts with the run of each (audit, closed, web; missing ones have no entry) and the fidelity of each mode as maps."""
+    found = latest_artifacts(pages, keys, order)
+    entries = lambda *pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).alias("value")) for k, c in pairs]), lambda e: e["value"].isNotNull()))
+    return found.withColumn("provenance", entries(("audit", "audit_run"), ("closed", "run_closed"), ("web", "run_web"))).withColumn("fidelity_by_mode", entries(("closed", "fidelity_closed"), ("web", "fidelity_web")))
+
+
+def product_aggregates(pages: DataFrame, by: list[str]) -> DataFrame:
+    """Rollups of targets with an audit that are no single pages, with the pages of each band as a map, and their place, weakest first. There are as many rows as targets."""
+    names = ("excellent", "strong", "good", "fair", "poor")
+    found = target_rollup(pages.where("target_type <> 'page'"), by).where("audited > 0")
+    bands = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"band_{n}"))])
+    return found.withColumn("bands", bands).withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("mean_score", F.lit(999.0)), *by)))
+
+
+def run_list(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Per target its runs, the complete ones, their cost and the newest."""
+    return runs.groupBy(F.concat_ws(":", *by).alias("target")).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "complete").alias("complete"), F.sum("cost_cents").alias("cost_cents"), F.max_by("run_id", F.struct("at", "run_id")).alias("newest"))

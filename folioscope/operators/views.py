@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.num import half_up, ratio
+from folioscope.functions.urls import slug
 
 
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -72,10 +73,47 @@ def shares(df: DataFrame, by: str) -> DataFrame:
 
 
 def uniqueness_violations(df: DataFrame, key: str, value: str, shown: int = 5) -> DataFrame:
-    """Keys that several values share, with their number and the first ones."""
+    """Keys that several values share, with their number, the first and the last one, and the first `shown`."""
     pairs = df.select(key, value).distinct()
-    counted = pairs.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
-    return counted.where("n > 1")
+    counted = pairs.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last")).where("n > 1")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    some = pairs.withColumn("_r", place).where(F.col("_r") <= shown).groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    return counted.join(some, key)
+
+
+def require_unique(df: DataFrame, key: str, value: str) -> DataFrame:
+    """`df`, whose use fails with the names of the values if several share a key."""
+    found = uniqueness_violations(df, key, value).select(F.col(key).alias("_key"), F.concat(F.lit("key "), F.col(key).cast("string"), F.lit(" is shared by "), F.col("n").cast("string"), F.lit(": "), F.array_join(F.transform("values", lambda v: v.cast("string")), ", ")).alias("_problem"))
+    met = df.join(found, F.col(key) == F.col("_key"), "left")
+    return met.where(F.when(F.col("_problem").isNull(), True).otherwise(F.raise_error(F.coalesce("_problem", F.lit(""))).cast("boolean"))).select(*df.columns)
+
+
+def top_of(df: DataFrame, by: list[str], keys: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each key with their place."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).where(F.col("place") <= most)
+
+
+def by_opportunity(dims: DataFrame, by: list[str], weight: str, score: str, keys: list[str], most: int) -> DataFrame:
+    """The dimensions that could bring most, weaker ones first where two could bring the same; unknown scores bring nothing."""
+    rows = dims.withColumn("gain", recoverable(F.col(weight), F.col(score)))
+    return top_of(rows, by, [F.desc("gain"), F.asc_nulls_last(score), *map(F.asc, keys)], most)
+
+
+def aligned(rows: DataFrame, url: str, dims: DataFrame, key: str) -> DataFrame:
+    """Rows with the dimension scores of their URL's short name; rows and scores without the other are left out."""
+    return rows.withColumn(key, slug(F.col(url))).join(dims, key)
+
+
+def focus(df: DataFrame, by: str, group: str) -> DataFrame:
+    """The rows of one group."""
+    return df.where(F.col(by) == group)
+
+
+def page_of_groups(df: DataFrame, by: str, keys: list[Column], number: int, size: int) -> DataFrame:
+    """All rows of the groups of page `number` (from 1), `size` groups a page: the groups' names are sorted, not their rows."""
+    names = page_of(df.select(by).distinct(), keys, number, size)
+    place = F.row_number().over(Window.orderBy(*keys)) + (number - 1) * size  # of one page of names
+    return df.join(names.withColumn("place", place), by)
 
 
 def group_summary(pages: DataFrame, by: str) -> DataFrame:

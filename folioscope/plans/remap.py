@@ -43,6 +43,8 @@ RUN_COLUMNS = {
     "status": "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'partial' ELSE 'cancelled' END",
     "grader_model": "substring(o_orderpriority, 1, 1)",
     "probe_effort": "CASE WHEN o_custkey % 10 > 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'high' ELSE 'low' END END",
+    "probe_model": "CASE WHEN o_custkey % 20 <> 3 THEN concat('m', CAST(o_orderkey % 11 % 2 AS STRING)) END",
+    "grader_prompt_sha": "CASE WHEN o_custkey % 20 <> 7 THEN substring(sha2(concat('prompt', CAST(o_orderkey % 13 % 3 AS STRING)), 256), 1, 12) END",
     "page_key": "o_custkey % 300",
     "mode": "CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'web' END",
     "score": "CASE WHEN o_orderkey % 4 > 0 THEN CAST((o_orderkey * 13 + o_custkey) % 101 AS BIGINT) END",
@@ -87,7 +89,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_of(columns: dict[str, str], table: str) -> str:
     """The same mapping for DuckDB, in which `at` is a reserved word."""
-    rows = ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR')} AS {'run_at' if n == 'at' else n}" for n, e in columns.items())
+    rows = ", ".join(f"{e.replace('AS STRING', 'AS VARCHAR').replace('sha2(', 'sha256(').replace(", 256)", ")")} AS {'run_at' if n == 'at' else n}" for n, e in columns.items())
     return f"SELECT {rows} FROM {table}"
 
 

@@ -59,7 +59,7 @@ def reconcile_runs(spark, sf_dir):
 
 def reusable_artifacts(spark, sf_dir):
     rows = runs(spark, sf_dir).select("page_key", "run_id", "at", (F.col("run_id") % 3).alias("content_hash"), "grader_model", (F.col("status") == "complete").alias("complete"))
-    return store.reusable(rows.where("run_id % 10 = 0").select("page_key", "content_hash", "grader_model", "at", "run_id"), rows, ["grader_model"]).select("page_key", "run_id", "reused_run")
+    return store.reusable(rows.select("page_key", "content_hash", "grader_model", "at", "run_id"), rows, ["grader_model"]).select("page_key", "run_id", "reused_run")
 
 
 def coverage_by_target(spark, sf_dir):
@@ -124,8 +124,9 @@ def regrade_means(spark, sf_dir):
 
 BAND = lambda x: f"CASE WHEN {x} >= 85 THEN 'excellent' WHEN {x} >= 70 THEN 'strong' WHEN {x} >= 55 THEN 'good' WHEN {x} >= 40 THEN 'fair' WHEN {x} >= 0 THEN 'poor' END"
 NEWEST = lambda value, when: f"(max_by({value}, (run_at, run_id)) FILTER ({when}))"
-POINTS = f"""WITH {RUNS}, points AS (SELECT run_id, run_at, target_type || ':' || target_name AS target, score, fidelity, grader_model || '|' || coalesce(probe_effort, 'unknown') AS fingerprint, grader_model IS NOT NULL AND probe_effort IS NOT NULL AS protocol_known
+POINTS = f"""WITH {RUNS}, points AS (SELECT run_id, run_at, target_type || ':' || target_name AS target, score, fidelity, concat_ws('|', grader_model, coalesce(probe_model, 'unknown'), coalesce(probe_effort, 'unknown'), mode, coalesce(grader_prompt_sha, 'unknown')) AS fingerprint, probe_model IS NOT NULL AND probe_effort IS NOT NULL AND grader_prompt_sha IS NOT NULL AS protocol_known
   FROM runs WHERE status = 'complete'), keyed AS (SELECT *, CASE WHEN protocol_known THEN fingerprint ELSE 'unknown:' || run_id END AS key FROM points)"""
+CHANGED = ", ".join(f"CASE WHEN string_split(fingerprint, '|')[{i}] <> string_split(prior_fingerprint, '|')[{i}] THEN '{name} changed' END" for i, name in enumerate(("grader", "probe model", "effort", "mode", "grader prompt"), 1))
 LINE = lambda total: half_up(total, 2)
 UNITS = {"audit": "n * 0.1748::DOUBLE", "probe_generation": "n * 6 * 0.0583::DOUBLE", "probe_test": "n * 6 * 0.2737::DOUBLE"}
 SQL = {
@@ -139,7 +140,7 @@ SQL = {
     "trend_segments": f"""{POINTS}, f AS (SELECT *, CASE WHEN key IS NOT DISTINCT FROM lag(key) OVER w THEN 0 ELSE 1 END AS new FROM keyed WHERE score IS NOT NULL WINDOW w AS (PARTITION BY target ORDER BY run_at, run_id))
       SELECT target, run_id, score, CAST(sum(new) OVER (PARTITION BY target ORDER BY run_at, run_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM f""",
     "trend_discontinuities": f"""{POINTS}, p AS (SELECT *, lag(key) OVER w AS prior, lag(protocol_known) OVER w AS prior_known, lag(fingerprint) OVER w AS prior_fingerprint FROM keyed WINDOW w AS (PARTITION BY target ORDER BY run_at, run_id))
-      SELECT target, run_id, {AT} AS "at", CASE WHEN NOT protocol_known OR NOT prior_known THEN 'protocol unknown' WHEN string_split(fingerprint, '|')[1] <> string_split(prior_fingerprint, '|')[1] THEN 'grader changed' ELSE 'effort changed' END AS reason FROM p WHERE prior IS NOT NULL AND prior <> key""",
+      SELECT target, run_id, {AT} AS "at", CASE WHEN NOT protocol_known OR NOT prior_known THEN 'protocol unknown' ELSE concat_ws(', ', {CHANGED}) END AS reason FROM p WHERE prior IS NOT NULL AND prior <> key""",
     "trend_delta": f"""{POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY run_at DESC, run_id DESC) AS r FROM keyed WHERE score IS NOT NULL)
       SELECT a.target, a.score AS last, CASE WHEN a.key = b.key THEN a.score - b.score END AS delta FROM r a LEFT JOIN r b ON a.target = b.target AND b.r = 2 WHERE a.r = 1""",
     "status_transitions": f"""WITH {RUNS}, e AS (SELECT page_key AS run_id, run_id AS ord, (['queued', 'running', 'complete', 'interrupted', 'running'])[run_id % 5 + 1] AS status FROM runs), p AS (SELECT *, lag(status) OVER (PARTITION BY run_id ORDER BY ord) AS prior FROM e)
@@ -148,7 +149,7 @@ SQL = {
       a AS (SELECT 'host' || (i % 5) AS host, i % 50 AS pid, i % 3 > 0 AS alive FROM range(100) t(i))
       SELECT run_id, host, pid, CASE WHEN status = 'running' AND host IN (SELECT host FROM a) AND NOT EXISTS (SELECT 1 FROM a WHERE a.host = r.host AND a.pid = r.pid AND alive) THEN 'interrupted' ELSE status END AS status FROM r""",
     "reusable_artifacts": f"""WITH {RUNS} SELECT a.page_key, a.run_id, max_by(b.run_id, (b.run_at, b.run_id)) FILTER (b.run_at < a.run_at) AS reused_run FROM runs a LEFT JOIN runs b
-      ON a.page_key = b.page_key AND a.run_id % 3 = b.run_id % 3 AND a.grader_model = b.grader_model AND b.status = 'complete' WHERE a.run_id % 10 = 0 GROUP BY a.page_key, a.run_id""",
+      ON a.page_key = b.page_key AND a.run_id % 3 = b.run_id % 3 AND a.grader_model = b.grader_model AND b.status = 'complete' GROUP BY a.page_key, a.run_id""",
     "coverage_by_target": f"WITH {RUNS} SELECT target_name, count(*) AS pages, {ratio('count(score)', 'count(*)', 2)} AS scored, {ratio('count(fidelity)', 'count(*)', 2)} AS probed FROM runs GROUP BY target_name",
     "append_points": f"""{POINTS} SELECT run_id, target, CASE WHEN run_id % 5 = 0 THEN score + 1 ELSE score END AS score FROM points WHERE run_id % 7 > 0 OR run_id % 5 = 0""",
     "run_groups": f"WITH {RUNS} SELECT target_name, count(*) AS runs, strftime(max(run_at), '%Y-%m-%d %H:%M:%S') AS last_at, CAST(sum(cost_cents) AS BIGINT) AS cost_cents, count(*) FILTER (status <> 'complete') AS incomplete FROM runs GROUP BY target_name",

@@ -44,7 +44,7 @@ def probe_matrix(spark, sf_dir):
 
 def uniqueness_violations(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    return views.uniqueness_violations(pages.select(urls.page_key(F.col("url")).alias("page_key"), "url"), "page_key", "url")
+    return views.uniqueness_violations(pages.select(urls.page_key(F.col("url")).alias("page_key"), "url"), "page_key", "url").withColumn("values", F.array_join("values", " "))
 
 
 def url_normalize(spark, sf_dir):
@@ -138,7 +138,7 @@ SQL = {
     "probe_matrix": f"""WITH {RESULTS}, r AS (SELECT run_id, mode, 'm' || (run_id % 3) AS model, probe_id % 500 AS probe_id, fidelity FROM results), n AS (SELECT model, mode, max_by(run_id, (run_id * 7 % 101, run_id)) AS run_id FROM r GROUP BY ALL)
       SELECT p.probe_id, {", ".join(f"max(fidelity) FILTER (model = 'm{i}' AND mode = '{m}') AS m{i}_{m}" for i in range(3) for m in ("closed", "web"))}
       FROM (SELECT DISTINCT probe_id FROM r) p LEFT JOIN (SELECT r.probe_id, n.model, n.mode, r.fidelity FROM r JOIN n ON r.run_id = n.run_id) c ON p.probe_id = c.probe_id GROUP BY p.probe_id""",
-    "uniqueness_violations": f"WITH k AS (SELECT DISTINCT {KEY} AS page_key, url FROM pages) SELECT page_key, count(*) AS n, min(url) AS first, max(url) AS last FROM k GROUP BY page_key HAVING count(*) > 1",
+    "uniqueness_violations": f"WITH k AS (SELECT DISTINCT {KEY} AS page_key, url FROM pages) SELECT page_key, count(*) AS n, min(url) AS first, max(url) AS last, array_to_string(list_sort(list(url))[1:5], ' ') AS \"values\" FROM k GROUP BY page_key HAVING count(*) > 1",
     "url_normalize": f"""SELECT page_id, {HOST} || lower(regexp_replace(regexp_replace({PATH}, '/+$', ''), '\\.[mM][dD]$', '')) AS key, {HOST} AS host, {KEY} AS page_key, {DASHED(f"CASE WHEN len({SEGMENTS}) > 0 THEN array_to_string({SEGMENTS}[-2:], '-') ELSE {HOST} END")} AS slug,
       CASE WHEN len({SEGMENTS}) = 0 THEN '(site root)' ELSE regexp_replace({SEGMENTS}[1], '\\.md$', '') END AS product FROM pages""",
     "ledger_full_outer": f"WITH {LEDGER} SELECT * FROM ledger",

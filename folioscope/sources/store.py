@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,15 @@ def append_runs(new: DataFrame, path: str, key: str = "run_id") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         held = None
+    before = None if held is None else f"{path.rstrip('/')}-held-{uuid.uuid4().hex}"
+    if held is not None:
+        held.write.parquet(before)  # the names before this import, for the answer after it
+        held = spark.read.parquet(before)
     fresh = new if held is None else new.join(held, key, "left_anti")
-    names = [r[key] for r in fresh.select(key).distinct().collect()]  # names of the runs of one import
-    if names:
-        fresh.write.mode("append").partitionBy(key).parquet(path)
-    return spark.createDataFrame([(n,) for n in names], f"{key} string")
+    # one file for each run of a hash partition: the rows of a run are dealt to one writer
+    fresh.repartition(key).write.mode("append").partitionBy(key).parquet(path)
+    after = spark.read.parquet(path).select(F.col(key).cast("string").alias(key)).distinct()
+    return after if held is None else after.join(held.select(F.col(key).cast("string").alias(key)), key, "left_anti")
 
 
 def write_csv(table: DataFrame, path: str, order: list[str]) -> None:

@@ -109,11 +109,11 @@ def cotrain(x: list[np.ndarray], y: np.ndarray, calibration: np.ndarray, pool: l
     return Model(betas, scale, fit(half.logits([v[held] for v in x]), y[held], ridge=0.5))
 
 
-def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 20_000, pool_rows: int = 5_000, rounds: int = 4, share: float = 0.05, score: str = "_score") -> DataFrame:
+def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = 20_000, pool_rows: int = 3_000, rounds: int = 4, share: float = 0.05, score: str = "_score") -> DataFrame:
     """`df` (text, lang, source, n_chars; columns that it lacks count as null) with the probability of quality 1 of each row:
     rows pass once through the workers and are not shuffled. The models are fitted on at most `rows` labelled ids whose
     crc32(key as text) mod 5 is not 0 (of these, remainder 1 calibrates) and a pool of ids without a label that grows by at most `pool_rows` each
-    round, all picked by a hash of the key; an id has one row there, its greatest. Every row is scored on its whole text. Null texts count as empty, nulls in
+    round, all picked by a hash of the key; an id has one row there, that of the greatest measures. Every row is scored on its whole text. Null texts count as empty, nulls in
     the metadata as no value (a missing n_chars is counted from the text); labels other than 0 and 1 are none. Where every id has a label there is no pool and nothing is exchanged. Without labels of
     both kinds every row scores the labels' mean, or 0.5. Rows that repeat are scored each; a column named `score` is replaced.
     """
@@ -126,23 +126,27 @@ def with_score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     chosen = known.where(fold != 0).orderBy(F.xxhash64("key"), "key").limit(rows)
     unlabelled = base.select("key").join(known, "key", "left_anti").where("key is not null").distinct().orderBy(F.xxhash64("key"), "key").limit(pool_rows * rounds)
     picked = chosen.select("key", "y", (fold == 1).alias("calibration")).union(unlabelled.select("key", F.lit(None).cast("double"), F.lit(False)))
-    # at most rows + rounds * pool_rows ids, so that they can be broadcast
-    sample = base.join(F.broadcast(picked), "key").groupBy("key").agg(F.max("row").alias("row"), F.first("y").alias("y"), F.first("calibration").alias("calibration"))
+    kind = dict(base.dtypes)["key"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t"):
-            parts = [pa.array(v.tolist(), pa.list_(pa.float32())) for v in views(strings(batch.column("t")), *(batch.column(c).to_pylist() for c in none))]
-            yield pa.RecordBatch.from_arrays([*parts, batch.column("y"), batch.column("calibration"), batch.column("place")], ["a", "b", "y", "calibration", "place"])
-
-    # short vectors of the bounded sample come to the driver, however large the table is
-    found = sample.select(*[F.col("row").getField(c).alias(c) for c in fields], "y", "calibration", F.xxhash64("key").alias("place")).mapInArrow(measure, "a array<float>, b array<float>, y double, calibration boolean, place long").toPandas()
-    found = found.sort_values(["place"], kind="stable")
-    x = [np.array(found[c].tolist(), float).reshape(-1, n) for c, n in (("a", CONTENT), ("b", META))]
-    y = found["y"].to_numpy(float)
+            seen = views(strings(batch.column("t")), *(batch.column(c).to_pylist() for c in none))
+            parts = [pa.array([row.tobytes() for row in v.astype("<f4")], pa.binary()) for v in seen]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *parts, batch.column("y"), batch.column("calibration")], ["key", "a", "b", "y", "calibration"])
+
+    # at most rows + rounds * pool_rows ids, so that they can be broadcast; short vectors of them come to the driver, however large the table is
+    met = base.join(F.broadcast(picked), "key").select("key", *[F.col("row").getField(c).alias(c) for c in fields], "y", "calibration")
+    measured = met.mapInArrow(measure, f"key {kind}, a binary, b binary, y double, calibration boolean")
+    one = measured.groupBy("key").agg(F.max(F.struct("a", "b", "y", "calibration")).alias("m")).select(F.xxhash64("key").alias("place"), "m.*")
+    found = one.toArrow().sort_by("place")
+    x = [np.frombuffer(b"".join(found.column(c).to_pylist()), "<f4").reshape(-1, n) for c, n in (("a", CONTENT), ("b", META))]
+    y = np.array([np.nan if v is None else v for v in found.column("y").to_pylist()], float)
+    calibration = np.array(found.column("calibration").to_pylist(), bool)
+    del found
     has = ~np.isnan(y)
     if len(set(y[has])) == 2:
         part = np.arange((~has).sum()) // max(1, pool_rows)
-        model = cotrain([v[has] for v in x], y[has], found["calibration"].to_numpy(bool)[has], [v[~has] for v in x], part, rounds, share)
+        model = cotrain([v[has] for v in x], y[has], calibration[has], [v[~has] for v in x], part, rounds, share)
     else:
         mean = float(y[has].mean()) if has.any() else 0.5
         model = Model([np.zeros(CONTENT + 1), np.zeros(META + 1)], [np.zeros(2)] * 2, np.array([0, 0, np.log((mean + 1e-9) / (1 - mean + 1e-9))]))

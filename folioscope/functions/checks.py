@@ -41,7 +41,7 @@ def registry() -> list[Check]:
         ("canonical", 4, True, one_of((F.coalesce(m("canonical"), F.lit("")) != "", "pass", None), (always, "warn", "no canonical link"))),
         ("freshness", 3, True, one_of((m("datePublished").isNull() & m("dateModified").isNull(), "warn", "no dates"), (m("datesIdentical"), "warn", "published and modified are the same"), (always, "pass", None))),
         ("code-fence-validity", 5, False, one_of((s("codeFences") == 0, None, None), (F.size(s("unclosedFences")) > 0, "fail", said("unclosed fence at line ", F.get(s("unclosedFences"), F.lit(0)))), (s("untaggedFences") > 0, "warn", said(s("untaggedFences"), " untagged fence(s)")), (always, "pass", None))),
-        ("heading-structure", 4, False, one_of((s("headingCount") == 0, None, None), (s("h1Count") != 1, "warn", said(s("h1Count"), " H1 headings")), (s("headingLevelSkips") > 0, "warn", said(s("headingLevelSkips"), " level skip(s)")), (always, "pass", None))),
+        ("heading-structure", 4, False, one_of((s("headingCount") == 0, None, None), (s("h1Count") != 1, "warn", said(s("h1Count"), " H1 headings")), (F.size(s("headingLevelSkips")) > 0, "warn", said(F.size(s("headingLevelSkips")), " level skip(s)")), (always, "pass", None))),
         ("code-runnability", 8, False, one_of((c("blocksNeedingImports") == 0, None, None), (c("blocksMissingImports") > 0, "warn", said(c("blocksMissingImports"), "/", c("blocksNeedingImports"), " blocks without imports")), (always, "pass", None))),
         ("external-citations", 6, False, one_of((k("totalLinks") == 0, None, None), (k("externalLinks") == 0, "warn", "no external links"), (k("primarySourceLinks") > 0, "pass", None), (always, "warn", "no primary source among external links"))),
         ("prose-specifics", 5, False, one_of((p("proseWordCount") < 100, None, None), ((p("numeralCount") == 0) & (p("codeNumeralCount") > 0), "warn", "numbers in code only"), (p("numeralCount") > 0, "pass", None), (always, "warn", "no numerals in prose"))),

@@ -1,204 +1,208 @@
-"""Facts of markdown pages: fences, headings, sections, links, code and specifics. Measurements only, no verdicts.
+"""Facts of markdown pages: fences, headings, sections, links, code, specifics, metadata. Measurements only, no verdicts.
 
-The fence state machine needs a pass over lines, so these run as one Arrow function over pages; each page is independent.
+Which lines are fenced depends on all lines before them, so that one small Arrow function marks them; all facts are expressions over the
+lines of a row and their marks, and over JSON-LD as variants. Each page is independent: nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections import Counter
-from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
-#: Words and hosts that the facts count.
-STOPWORDS = frozenset("a an and are as at be but by for from how in is it of on or that the to was what when where which with you your".split())
+from folioscope.functions.urls import host_of
+
+#: Words, hosts, languages and patterns that the facts count.
+STOPWORDS = "a an and are as at be but by for from how in is it of on or that the to was what when where which with you your".split()
 VAGUE = ["many", "several", "various", "numerous", "a number of", "some", "most", "broad set of", "wide range", "significant", "substantial", "considerable", "high performance", "low latency", "fast", "quickly", "robust", "scalable"]
 PRIMARY_HOSTS = ["ietf.org", "rfc-editor.org", "w3.org", "iso.org", "nist.gov", "github.com", "eips.ethereum.org", "ethereum.org", "arxiv.org", "developer.mozilla.org", "go.dev", "pkg.go.dev", "docs.soliditylang.org", "typescriptlang.org", "python.org", "rust-lang.org"]
-NEEDS_IMPORTS = frozenset("ts tsx typescript js jsx javascript go golang python py rust rs solidity sol java".split())
-ACRONYMS = frozenset("HTTP HTTPS JSON URL URI API UTF ABI EVM SDK TODO NOTE FIXME XML HTML CSV UUID CLI RPC REST GRPC".split())
-BUILTINS = frozenset("MAX_SAFE_INTEGER MIN_SAFE_INTEGER MAX_VALUE MIN_VALUE POSITIVE_INFINITY NEGATIVE_INFINITY EPSILON NEGATIVE MAX_UINT256 MAX_INT256 STDOUT STDERR STDIN".split())
+NEEDS_IMPORTS = "ts tsx typescript js jsx javascript go golang python py rust rs solidity sol java".split()
+ACRONYMS = "HTTP HTTPS JSON URL URI API UTF ABI EVM SDK TODO NOTE FIXME XML HTML CSV UUID CLI RPC REST GRPC".split()
+BUILTINS = "MAX_SAFE_INTEGER MIN_SAFE_INTEGER MAX_VALUE MIN_VALUE POSITIVE_INFINITY NEGATIVE_INFINITY EPSILON NEGATIVE MAX_UINT256 MAX_INT256 STDOUT STDERR STDIN".split()
 LANGUAGE_ALIASES = {"typescript": ["ts", "tsx", "typescript"], "javascript": ["js", "jsx", "javascript", "node"], "solidity": ["solidity", "sol"], "python": ["python", "py"], "golang": ["go", "golang"], "go": ["go", "golang"], "rust": ["rust", "rs"], "shell": ["sh", "bash", "shell", "zsh"], "json": ["json", "jsonc"]}
-IMPORTS = re.compile(r"^\s*(?:import\s|from\s+\S+\s+import|(?:const|let|var)\s+\{?[\w\s,]+\}?\s*=\s*require\(|#include\s|use\s+\w|pragma\s+solidity)", re.M)
-PLACEHOLDER = re.compile(r"(?:/\*|//|#)\s*(?:your|replace|todo|placeholder|base64-encoded|insert|add your|<[A-Z_]{3,}>)", re.I)
-FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*(.*)$")
-HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
-NUMERAL = re.compile(r"(?<![A-Za-z0-9_.])\d[\d,]*(?:\.\d+)?", re.A)
-MEASURE = re.compile(r"\b\d[\d,.]*\s?(?:ms|s|sec|seconds?|minutes?|hours?|days?|gwei|wei|eth|gb|mb|kb|bytes?|%|x)\b", re.I | re.A)
-VERSION = re.compile(r"\bv?\d+\.\d+(?:\.\d+)?\b", re.A)
-HEX = re.compile(r"\b0x[a-fA-F0-9]{6,}\b", re.A)
-LINK = re.compile(r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)')
-OPAQUE = re.compile(r"(?:here|this|link|click here|read more|docs?)", re.I)
-
-
-class Fences:
-    """Fenced blocks of a text: a fence closes by the same character, at least as long, with nothing behind it."""
-
-    def __init__(self, text: str):
-        self.lines, self.inside, self.blocks, self.unclosed, self.untagged = text.split("\n"), [], [], [], 0
-        opened = None
-        for number, line in enumerate(self.lines):
-            found = FENCE.match(line)
-            self.inside.append(opened is not None or bool(found))
-            if not found:
-                continue
-            marker, info = found[1], found[2].strip()
-            if opened is None:
-                tag = info.split()[0].lower() if info else ""
-                opened = (marker, tag, number)
-                self.untagged += not tag
-            elif marker[0] == opened[0][0] and len(marker) >= len(opened[0]) and not info:
-                self.blocks.append((opened[1], "\n".join(self.lines[opened[2] + 1 : number])))
-                opened = None
-        if opened is not None:
-            self.unclosed.append(opened[2] + 1)
-            self.blocks.append((opened[1], "\n".join(self.lines[opened[2] + 1 :])))
-
-    def prose(self) -> str:
-        outside = "\n".join(line for line, inside in zip(self.lines, self.inside) if not inside)
-        return re.sub(r"`[^`]*`", "", outside)
-
-    def headings(self) -> list[tuple[int, int]]:
-        """(line, level) of the headings outside of fences."""
-        return [(i, len(m[1])) for i, (line, inside) in enumerate(zip(self.lines, self.inside)) if not inside and (m := HEADING.match(line))]
-
-
-def structure(fences: Fences) -> dict:
-    heads = fences.headings()
-    ends = [h[0] for h in heads[1:]] + [len(fences.lines)]
-    words = sorted(len(" ".join(fences.lines[start + 1 : end]).split()) for (start, _), end in zip(heads, ends))
-    middle = len(words) // 2
-    median = 0 if not words else words[middle] if len(words) % 2 else int((words[middle - 1] + words[middle]) / 2 + 0.5)
-    skips = [(a[1], b[1], b[0] + 1) for a, b in zip(heads, heads[1:]) if b[1] > a[1] + 1]
-    outside = [line for line, inside in zip(fences.lines, fences.inside) if not inside]
-    return {
-        "headingCount": len(heads), "h1Count": sum(level == 1 for _, level in heads), "headingLevelSkips": len(skips), "maxHeadingDepth": max((h[1] for h in heads), default=0),
-        "sectionCount": len(words), "medianSectionWords": median, "maxSectionWords": max(words, default=0), "oversizedSections": sum(w > 600 for w in words),
-        "tableCount": sum(bool(re.match(r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$", line)) for line in outside), "bulletCount": sum(bool(re.match(r"^\s*(?:[-*+]|\d+[.)])\s+", line)) for line in outside),
-        "wordCount": len(" ".join(fences.lines).split()), "codeFences": len(fences.blocks), "unclosedFences": fences.unclosed, "untaggedFences": fences.untagged,
-    }
-
-
-def code(fences: Fences) -> dict:
-    solid = [b for b in fences.blocks if len(b[1].strip().split("\n")) >= 3]
-    importable = [b for b in solid if b[0] in NEEDS_IMPORTS]
-    missing = sum(not IMPORTS.search(body) for _, body in importable)
-    undefined: dict[str, None] = {}
-    for _, body in importable:
-        assigned = set(re.findall(r"(?:const|let|var|=)\s*([A-Z][A-Z0-9_]{2,})\s*[=:]", body))
-        undefined |= dict.fromkeys(n for n in re.findall(r"\b([A-Z][A-Z0-9_]{3,})\b", body, re.A) if n not in assigned | ACRONYMS | BUILTINS)
-    return {
-        "codeBlocks": len(fences.blocks), "substantiveBlocks": len(solid), "languages": list(dict.fromkeys(tag for tag, _ in fences.blocks if tag)), "blocksNeedingImports": len(importable),
-        "blocksWithImports": len(importable) - missing, "blocksMissingImports": missing, "placeholderBlocks": sum(bool(PLACEHOLDER.search(body)) for _, body in fences.blocks), "undefinedConstants": list(undefined)[:12],
-    }
-
-
-def host(url: str) -> str | None:
-    try:
-        return re.sub(r"^www\.", "", (urlsplit(url).hostname or "").lower()) or None
-    except ValueError:
-        return None
-
-
-def links(text: str, url: str | None) -> dict:
-    own, inner, outer = host(url) if url else None, 0, []
-    found = LINK.findall(text)
-    for _, href in found:
-        if re.match("https?://", href, re.I):
-            target = host(href)
-            if target and target == own:
-                inner += 1
+FENCE = r"^ {0,3}(`{3,}|~{3,})[ \t]*(.*)$"
+HEADING = r"^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
+TABLE = r"(?m)^\s*\|.+\|\s*\n\s*\|[\s:|-]+\|\s*$"
+BULLET = r"(?m)^\s*[-*+]\s+"
+LINK = r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
+OPAQUE = r"(?i)^(?:here|this|link|click here|read more|docs?)$"
+IMPORTS = [r"(?m)^\s*import\s", r"(?m)^\s*from\s+\S+\s+import", r"(?m)^\s*(?:const|let|var)\s+\{?[\w\s,]+\}?\s*=\s*require\(", r"(?m)^\s*#include\s", r"(?m)^\s*use\s+\w", r"(?m)^\s*pragma\s+solidity"]
+PLACEHOLDER = r"(?i)(?:/\*|//|#)\s*(?:your|replace|todo|placeholder|base64-encoded|insert|add your|<[A-Z_]{3,}>)"
+ASSIGNED = r"(?:const|let|var|=)\s*([A-Z][A-Z0-9_]{2,})\s*[=:]"
+CONSTANT = r"\b([A-Z][A-Z0-9_]{3,})\b"
+NUMERAL = r"(?<![\w.])[0-9][0-9,]*(?:\.[0-9]+)?"
+MEASURE = r"(?i)\b[0-9][0-9,.]*\s?(?:ms|s|sec|seconds?|minutes?|hours?|days?|gwei|wei|eth|gb|mb|kb|bytes?|%|x)\b"
+VERSION = r"\b(v?[0-9]+\.[0-9]+(?:\.[0-9]+)?)\b"
+HEX = r"\b0x[a-fA-F0-9]{6,}\b"
+FENCE_LANGUAGE = r"(?m)^ {0,3}(?:```|~~~)([A-Za-z][\w+-]*)"
+ARTICLE = "(?i)Article|BlogPosting|LearningResource|WebPage"
+TEMPLATE_ABOUT = "(?i)^Content about "
+LANGUAGE_PROPERTY = "(?i)programming language"
+
+TEXT, OPENS, BODY, CLOSES = range(4)
+LONG_SECTION, MOST_CONSTANTS, MOST_VERSIONS, PREVIEW = 600, 12, 10, 120
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def line_marks(text: pd.Series) -> pd.Series:
+    """Of each line whether it is text, opens a fenced block, is inside or closes one. Only the same character closes, at least as often, and nothing behind it."""
+    fence = re.compile(FENCE)
+
+    def marks(value: str) -> list[int]:
+        out, opener = [], None
+        for line in (value or "").split("\n"):
+            found = fence.match(line)
+            if opener is None:
+                out.append(OPENS if found else TEXT)
+                opener = found[1] if found else None
+            elif found and found[1].startswith(opener) and not found[2].strip():
+                out.append(CLOSES)
+                opener = None
             else:
-                outer.append(target)
-        elif not re.match("(?:mailto|tel):", href, re.I):
-            inner += 1
-    primary = [h for h in outer if h and any(h == p or h.endswith("." + p) for p in PRIMARY_HOSTS)]
-    return {
-        "totalLinks": len(found), "internalLinks": inner, "externalLinks": len(outer), "primarySourceLinks": len(primary), "primarySourceHosts": list(dict.fromkeys(primary)),
-        "externalHosts": list(dict.fromkeys(h for h in outer if h)), "opaqueLinkTexts": sum(bool(OPAQUE.fullmatch(label.strip())) for label, _ in found),
-    }
-
-
-def specifics(fences: Fences) -> dict:
-    prose = fences.prose()
-    words, numerals, low = len(prose.split()), len(NUMERAL.findall(prose)), prose.lower()
-    vague = [v for v in VAGUE if v in low]
-    return {
-        "proseWordCount": words, "numeralCount": numerals, "codeNumeralCount": sum(len(NUMERAL.findall(body)) for _, body in fences.blocks), "numeralDensityPer1kWords": int(numerals / words * 1000 + 0.5) if words else 0,
-        "measurementCount": len(MEASURE.findall(prose)), "versionStrings": list(dict.fromkeys(VERSION.findall(prose)))[:10], "hexIdentifierCount": len(HEX.findall(prose)), "vagueQuantifiers": vague, "vagueQuantifierCount": len(vague),
-    }
-
-
-def first_type(node: dict) -> str | None:
-    kind = node.get("@type")
-    kind = kind[0] if isinstance(kind, list) and kind else kind
-    return kind if isinstance(kind, str) else None
-
-
-def metadata(head: str | None, json_ld: list[str], text: str) -> dict:
-    """Facts of JSON-LD blocks and of the head; a block that doesn't parse is an error, not a loss."""
-    nodes, errors = [], []
-    for i, raw in enumerate(json_ld):
-        try:
-            block = json.loads(raw)
-        except ValueError as error:
-            errors.append({"index": i, "message": str(error), "preview": raw[:120]})
-        else:
-            graph = block.get("@graph") if isinstance(block, dict) else None
-            nodes += [n for n in (graph if isinstance(graph, list) else [block]) if isinstance(n, dict)]
-    types = [t for n in nodes if (t := first_type(n))]
-    article = next((n for n in nodes if re.search("Article|BlogPosting|LearningResource|WebPage", first_type(n) or "", re.I)), {})
-    fences = Counter(m.lower() for m in re.findall(r"^ {0,3}(?:```|~~~)([A-Za-z][\w+-]*)", text, re.M))
-    extra = article.get("additionalProperty")
-    declared = article.get("programmingLanguage")
-    if declared is None and isinstance(extra, list):
-        declared = next((p.get("value") for p in extra if isinstance(p, dict) and re.search("programming language", str(p.get("name") or ""), re.I)), None)
-    declared = str(declared) if declared else None
-    wanted = declared.lower().strip() if declared else ""
-    mismatch = not set(LANGUAGE_ALIASES.get(wanted, [wanted])) & set(fences) if fences and declared else None
-    words = article.get("keywords")
-    words = [str(w) for w in words] if isinstance(words, list) else [w.strip() for w in words.split(",") if w.strip()] if isinstance(words, str) else []
-    stops = [w for w in words if re.sub("[.,]", "", w.lower()) in STOPWORDS]
-    about = [a if isinstance(a, dict) else {} for a in article["about"]] if isinstance(article.get("about"), list) else []
-    names = [str(a["name"]) for a in about if a.get("name")]
-    published, modified = (None if article.get(k) is None else str(article[k]) for k in ("datePublished", "dateModified"))
-    tag = lambda pattern: (m[1] if head and (m := re.search(pattern, head, re.I)) else None)
-    return {
-        "jsonLdBlocks": len(json_ld), "parseErrors": errors, "types": types, "hasArticleType": bool(article), "canonical": tag(r"""<link[^>]+rel=["']?canonical["']?[^>]+href=["']([^"']+)["']"""),
-        "ogTags": len(re.findall(r"""property=["']og:""", head or "", re.I)), "twitterTags": len(re.findall(r"""name=["']twitter:""", head or "", re.I)), "description": tag(r"""<meta[^>]+name=["']description["'][^>]+content=["']([^"']*)["']"""),
-        "inLanguage": None if article.get("inLanguage") is None else str(article["inLanguage"]), "datePublished": published, "dateModified": modified, "datesIdentical": bool(published and modified and published == modified),
-        "declaredProgrammingLanguage": declared, "codeFenceLanguages": dict(fences), "programmingLanguageMismatch": mismatch, "keywordCount": len(words), "keywordStopwordCount": len(stops), "keywordStopwords": stops,
-        "aboutEntries": len(about), "aboutTemplateArtifacts": sum(bool(re.match("Content about ", str(a.get("description") or ""), re.I)) for a in about), "aboutDuplicateNames": len(names) - len(set(names)),
-    }
-
-
-FACTS = """
- metadata struct<jsonLdBlocks:int,parseErrors:array<struct<index:int,message:string,preview:string>>,types:array<string>,hasArticleType:boolean,canonical:string,ogTags:int,twitterTags:int,description:string,
-  inLanguage:string,datePublished:string,dateModified:string,datesIdentical:boolean,declaredProgrammingLanguage:string,codeFenceLanguages:map<string,int>,programmingLanguageMismatch:boolean,keywordCount:int,
-  keywordStopwordCount:int,keywordStopwords:array<string>,aboutEntries:int,aboutTemplateArtifacts:int,aboutDuplicateNames:int>,
- structure struct<headingCount:int,h1Count:int,headingLevelSkips:int,maxHeadingDepth:int,sectionCount:int,medianSectionWords:int,maxSectionWords:int,oversizedSections:int,tableCount:int,bulletCount:int,wordCount:int,
-  codeFences:int,unclosedFences:array<int>,untaggedFences:int>,
- links struct<totalLinks:int,internalLinks:int,externalLinks:int,primarySourceLinks:int,primarySourceHosts:array<string>,externalHosts:array<string>,opaqueLinkTexts:int>,
- code struct<codeBlocks:int,substantiveBlocks:int,languages:array<string>,blocksNeedingImports:int,blocksWithImports:int,blocksMissingImports:int,placeholderBlocks:int,undefinedConstants:array<string>>,
- specifics struct<proseWordCount:int,numeralCount:int,codeNumeralCount:int,numeralDensityPer1kWords:int,measurementCount:int,versionStrings:array<string>,hexIdentifierCount:int,vagueQuantifiers:array<string>,vagueQuantifierCount:int>
-""".replace("\n", "")
-
-
-def page_facts(pages: DataFrame) -> DataFrame:
-    """(url, format, metadata, structure, links, code, specifics) of (url, format, head_html, json_ld, markdown); a missing format is html."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for page in part.itertuples(index=False):
-                text, blocks = page.markdown or "", [] if page.json_ld is None else list(page.json_ld)
-                fences = Fences(text)
-                rows.append((page.url, page.format, metadata(page.head_html, blocks, text), structure(fences), links(text, page.url), code(fences), specifics(fences)))
-            yield pd.DataFrame(rows, columns=["url", "format", "metadata", "structure", "links", "code", "specifics"])
-
-    shaped = pages.select("url", F.coalesce("format", F.lit("html")).alias("format"), "head_html", "json_ld", "markdown")
-    return shaped.mapInPandas(run, f"url string, format string, {FACTS}")
+                out.append(BODY)
+        return out
+
+    return text.map(marks)
+
+
+def words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def listed(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+
+
+def some(column: str, wanted) -> Column:
+    return F.filter(column, wanted)
+
+
+def with_lines(pages: DataFrame) -> DataFrame:
+    """`pages` with the lines of the text, the headings (line from 0, level) and the blocks (line from 1, tag, whether closed, body) of each."""
+    rows = pages.withColumn("marks", line_marks("text")).withColumn("lines", F.split("text", "\n", -1))
+    at = lambda kind: F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("marks", i) == kind)
+    rows = rows.withColumn("opens", at(OPENS)).withColumn("closes", at(CLOSES)).withColumn("outside", at(TEXT))
+    level = lambda i: F.length(F.regexp_extract(F.get("lines", i), HEADING, 1))
+    rows = rows.withColumn("heads", F.filter(F.transform("outside", lambda i: F.struct(i.alias("at"), level(i).alias("level"))), lambda h: h["level"] > 0))
+    # blocks follow one another, so that the n-th opening line belongs to the n-th closing one
+    tag = lambda i: F.lower(F.get(F.split(F.trim(F.regexp_extract(F.get("lines", i), FENCE, 2)), r"\s+"), F.lit(0)))
+    body = lambda i, n: F.array_join(F.slice("lines", i + 2, F.coalesce(F.get("closes", n), F.size("lines")) - i - 1), "\n")
+    blocks = F.transform("opens", lambda i, n: F.struct((i + 1).alias("line"), tag(i).alias("tag"), F.get("closes", n).isNotNull().alias("closed"), body(i, n).alias("body")))
+    prose = F.regexp_replace(F.array_join(F.transform("outside", lambda i: F.get("lines", i)), "\n"), "`[^`]*`", "")
+    return rows.withColumn("blocks", blocks).withColumn("prose", prose)
+
+
+def structure() -> Column:
+    level_before = lambda n: F.get("heads", n - 1)["level"]
+    skips = F.filter(F.transform("heads", lambda h, n: F.struct(F.when(n > 0, level_before(n)).alias("from"), h["level"].alias("to"), (h["at"] + 1).alias("line"))), lambda s: s["to"] > s["from"] + 1)
+    per_line = F.transform("lines", words)
+    end = lambda n: F.coalesce(F.get("heads", n + 1)["at"], F.size("lines"))
+    sizes = F.array_sort(F.transform("heads", lambda h, n: total(F.slice("line_words", h["at"] + 2, end(n) - h["at"] - 1))))
+    middle = lambda of: F.floor(F.size(of) / 2).cast("int")
+    median = F.when(F.size("sections") == 0, 0).when(F.size("sections") % 2 == 1, F.get("sections", middle("sections"))).otherwise(F.floor((F.get("sections", middle("sections") - 1) + F.get("sections", middle("sections"))) / 2 + 0.5))
+    most = lambda values: F.coalesce(F.array_max(values), F.lit(0))
+    return {"line_words": per_line, "sections": sizes}, F.struct(
+        F.size("heads").alias("headingCount"), F.size(some("heads", lambda h: h["level"] == 1)).alias("h1Count"), skips.alias("headingLevelSkips"), most(F.transform("heads", lambda h: h["level"])).alias("maxHeadingDepth"),
+        F.size("sections").alias("sectionCount"), median.cast("int").alias("medianSectionWords"), most(F.col("sections")).alias("maxSectionWords"), F.size(some("sections", lambda w: w > LONG_SECTION)).alias("oversizedSections"),
+        F.regexp_count("text", F.lit(TABLE)).alias("tableCount"), F.regexp_count("text", F.lit(BULLET)).alias("bulletCount"), words(F.col("text")).alias("wordCount"), F.size("blocks").alias("codeFences"),
+        F.transform(some("blocks", lambda b: ~b["closed"]), lambda b: b["line"]).alias("unclosedFences"), F.size(some("blocks", lambda b: b["tag"] == "")).alias("untaggedFences"),
+    )
+
+
+def links() -> tuple[dict[str, Column], Column]:
+    """The links as (label, href, host), and facts of them. A host counts as primary if it is a listed one or below it."""
+    label, href = (F.regexp_extract_all("text", F.lit(LINK), n) for n in (1, 2))
+    absolute = lambda h: h.rlike("(?i)^https?://")
+    found = F.zip_with(label, href, lambda a, h: F.struct(F.trim(a).alias("label"), h.alias("href"), F.when(absolute(h), F.coalesce(host_of(h), F.lit(""))).alias("host")))
+    outer = F.filter("found_links", lambda x: x["host"].isNotNull() & ((x["host"] == "") | ~F.coalesce(x["host"] == host_of(F.col("url")), F.lit(False))))
+    inner = F.filter("found_links", lambda x: F.when(x["host"].isNull(), ~x["href"].rlike("(?i)^(?:mailto|tel):")).otherwise((x["host"] != "") & F.coalesce(x["host"] == host_of(F.col("url")), F.lit(False))))
+    primary = F.filter("outer_hosts", lambda h: F.exists(listed(PRIMARY_HOSTS), lambda p: (h == p) | h.endswith(F.concat(F.lit("."), p))))
+    return {"found_links": found, "outer_hosts": F.transform(outer, lambda x: x["host"])}, F.struct(
+        F.size("found_links").alias("totalLinks"), F.size(inner).alias("internalLinks"), F.size("outer_hosts").alias("externalLinks"), F.size(primary).alias("primarySourceLinks"), F.array_distinct(primary).alias("primarySourceHosts"),
+        F.array_distinct(F.filter("outer_hosts", lambda h: h != "")).alias("externalHosts"), F.size(F.filter("found_links", lambda x: x["label"].rlike(OPAQUE))).alias("opaqueLinkTexts"),
+    )
+
+
+def code(acronyms: list[str]) -> tuple[dict[str, Column], Column]:
+    """The blocks of three lines or more in a language that imports, and facts of the code. Constants are those that a block uses and doesn't assign."""
+    solid = F.filter("blocks", lambda b: F.size(F.split(F.regexp_replace(b["body"], r"^\s+|\s+$", ""), "\n", -1)) >= 3)
+    imports = lambda b: b["body"].rlike(IMPORTS[0]) | b["body"].rlike(IMPORTS[1]) | b["body"].rlike(IMPORTS[2]) | b["body"].rlike(IMPORTS[3]) | b["body"].rlike(IMPORTS[4]) | b["body"].rlike(IMPORTS[5])
+    having = F.size(F.filter("importable", imports))
+    unknown = lambda b: F.array_except(F.array_except(F.regexp_extract_all(b["body"], F.lit(CONSTANT), 1), F.regexp_extract_all(b["body"], F.lit(ASSIGNED), 1)), listed([*acronyms, *BUILTINS]))
+    return {"solid": solid, "importable": F.filter("solid", lambda b: b["tag"].isin(NEEDS_IMPORTS))}, F.struct(
+        F.size("blocks").alias("codeBlocks"), F.size("solid").alias("substantiveBlocks"), F.array_distinct(F.filter(F.transform("blocks", lambda b: b["tag"]), lambda t: t != "")).alias("languages"),
+        F.size("importable").alias("blocksNeedingImports"), having.alias("blocksWithImports"), (F.size("importable") - having).alias("blocksMissingImports"),
+        F.size(F.filter("blocks", lambda b: b["body"].rlike(PLACEHOLDER))).alias("placeholderBlocks"), F.slice(F.array_distinct(F.flatten(F.transform("importable", unknown))), 1, MOST_CONSTANTS).alias("undefinedConstants"),
+    )
+
+
+def specifics() -> Column:
+    n, numerals = words(F.col("prose")), F.regexp_count("prose", F.lit(NUMERAL))
+    vague = F.filter(listed(VAGUE), lambda v: F.contains(F.lower("prose"), v))
+    return F.struct(
+        n.alias("proseWordCount"), numerals.alias("numeralCount"), total(F.transform("blocks", lambda b: F.regexp_count(b["body"], F.lit(NUMERAL)))).alias("codeNumeralCount"), F.when(n > 0, F.floor(numerals / n * 1000 + 0.5)).otherwise(0).cast("int").alias("numeralDensityPer1kWords"),
+        F.regexp_count("prose", F.lit(MEASURE)).alias("measurementCount"), F.slice(F.array_distinct(F.regexp_extract_all("prose", F.lit(VERSION), 1)), 1, MOST_VERSIONS).alias("versionStrings"), F.regexp_count("prose", F.lit(HEX)).alias("hexIdentifierCount"),
+        vague.alias("vagueQuantifiers"), F.size(vague).alias("vagueQuantifierCount"),
+    )
+
+
+def field(node: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(node, path, kind)
+
+
+def metadata() -> tuple[dict[str, Column], Column]:
+    """The nodes of the JSON-LD blocks as variants, the one that describes the article, and facts of them and of the head, whose tags stand one in a line.
+    A block that doesn't parse is an error, not a loss.
+    """
+    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    opened = lambda v: F.coalesce(field(v, "$['@graph']", "array<variant>"), F.array(v))
+    kind = lambda v: F.coalesce(field(v, "$['@type'][0]"), field(v, "$['@type']"))
+    steps = {
+        "parsed": F.transform("json_ld", F.try_parse_json),
+        "nodes": F.filter(F.flatten(F.transform(F.filter("parsed", lambda v: v.isNotNull()), opened)), lambda v: v.isNotNull() & is_object(v)),
+        "article": F.get(F.filter("nodes", lambda v: F.coalesce(kind(v).rlike(ARTICLE), F.lit(False))), F.lit(0)),
+        "fence_languages": F.transform(F.regexp_extract_all("text", F.lit(FENCE_LANGUAGE), 1), F.lower),
+        "declared": F.coalesce(field(F.col("article"), "$.programmingLanguage"), F.get(F.transform(F.filter(field(F.col("article"), "$.additionalProperty", "array<variant>"), lambda p: F.coalesce(field(p, "$.name").rlike(LANGUAGE_PROPERTY), F.lit(False))), lambda p: field(p, "$.value")), F.lit(0))),
+        "keywords": F.coalesce(field(F.col("article"), "$.keywords", "array<string>"), F.filter(F.transform(F.split(field(F.col("article"), "$.keywords"), ","), lambda w: F.trim(w)), lambda w: w != ""), F.array().cast("array<string>")),
+        "about": F.coalesce(field(F.col("article"), "$.about", "array<variant>"), F.array().cast("array<variant>")),
+        "head_lines": F.split(F.coalesce("head_html", F.lit("")), "\n"),
+    }
+    errors = F.filter(F.transform("json_ld", lambda raw, n: F.struct(n.alias("index"), F.when(F.get("parsed", n).isNull(), "not JSON").alias("message"), F.left(raw, F.lit(PREVIEW)).alias("preview"))), lambda e: e["message"].isNotNull())
+    said = lambda path: field(F.col("article"), path)
+    declared = F.lower(F.trim("declared"))
+    aliases = F.create_map(*[x for name, known in LANGUAGE_ALIASES.items() for x in (F.lit(name), listed(known))])
+    accepted = F.coalesce(F.try_element_at(aliases, declared), F.array(declared))
+    mismatch = F.when((F.size("fence_languages") > 0) & F.col("declared").isNotNull(), ~F.arrays_overlap(accepted, "fence_languages"))
+    counts = F.map_from_entries(F.transform(F.array_distinct("fence_languages"), lambda t: F.struct(t, F.size(F.filter("fence_languages", lambda u: u == t)))))
+    stops = F.filter("keywords", lambda w: F.regexp_replace(F.lower(w), "[.,]", "").isin(STOPWORDS))
+    names = F.filter(F.transform("about", lambda a: field(a, "$.name")), lambda n: n.isNotNull())
+    line = lambda pattern: F.regexp_extract(F.get(F.filter("head_lines", lambda t: t.rlike(pattern)), F.lit(0)), pattern, 1)
+    tagged = lambda start: F.size(F.filter("head_lines", lambda t: F.startswith(t, F.lit(start))))
+    return steps, F.struct(
+        F.size("json_ld").alias("jsonLdBlocks"), errors.alias("parseErrors"), F.filter(F.transform("nodes", kind), lambda t: t.isNotNull()).alias("types"), F.col("article").isNotNull().alias("hasArticleType"),
+        line('^<link rel="canonical" href="(.*)">$').alias("canonical"), tagged('<meta property="og:').alias("ogTags"), tagged('<meta name="twitter:').alias("twitterTags"), line('^<meta name="description" content="(.*)">$').alias("description"),
+        said("$.inLanguage").alias("inLanguage"), said("$.datePublished").alias("datePublished"), said("$.dateModified").alias("dateModified"), F.coalesce(said("$.datePublished") == said("$.dateModified"), F.lit(False)).alias("datesIdentical"),
+        F.col("declared").alias("declaredProgrammingLanguage"), counts.alias("codeFenceLanguages"), mismatch.alias("programmingLanguageMismatch"), F.size("keywords").alias("keywordCount"), F.size(stops).alias("keywordStopwordCount"), stops.alias("keywordStopwords"),
+        F.size("about").alias("aboutEntries"), F.size(F.filter("about", lambda a: F.coalesce(field(a, "$.description").rlike(TEMPLATE_ABOUT), F.lit(False)))).alias("aboutTemplateArtifacts"), (F.size(names) - F.size(F.array_distinct(names))).alias("aboutDuplicateNames"),
+    )
+
+
+def page_facts(pages: DataFrame, acronyms: list[str] = ACRONYMS) -> DataFrame:
+    """(url, format, metadata, structure, links, code, specifics) of (url, format, head_html, json_ld, markdown); a missing format is html, a missing text
+    empty. `acronyms` are words in capitals that are no constants; a documentation set adds its own.
+    """
+    rows = with_lines(pages.select("url", F.coalesce("format", F.lit("html")).alias("format"), "head_html", F.coalesce("json_ld", F.array().cast("array<string>")).alias("json_ld"), F.coalesce("markdown", F.lit("")).alias("text")))
+    facts = {"specifics": specifics()}
+    for name, (steps, found) in {"structure": structure(), "links": links(), "code": code(acronyms), "metadata": metadata()}.items():
+        for step, column in steps.items():
+            rows = rows.withColumn(step, column)
+        facts[name] = found
+    return rows.select("url", "format", *[facts[n].alias(n) for n in ("metadata", "structure", "links", "code", "specifics")])

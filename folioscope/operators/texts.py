@@ -15,6 +15,8 @@ FACT_LINES = {
     "Code": ["code.codeBlocks", "code.blocksNeedingImports", "code.blocksMissingImports", "code.placeholderBlocks"],
     "Specifics": ["specifics.proseWordCount", "specifics.numeralCount", "specifics.codeNumeralCount", "specifics.measurementCount", "specifics.vagueQuantifierCount"],
 }
+#: Facts that are lists; the text tells their length.
+LISTS = {"structure.headingLevelSkips"}
 
 
 def facts_text(facts: DataFrame) -> DataFrame:
@@ -22,7 +24,7 @@ def facts_text(facts: DataFrame) -> DataFrame:
     lines: list[Column] = []
     for section, names in FACT_LINES.items():
         lines.append(F.lit(f"### {section}"))
-        lines += [F.concat(F.lit(f"- {n.split('.')[1]}: "), F.coalesce(F.col(n).cast("string"), F.lit("unknown"))) for n in names]
+        lines += [F.concat(F.lit(f"- {n.split('.')[1]}: "), F.coalesce((F.size(n) if n in LISTS else F.col(n)).cast("string"), F.lit("unknown"))) for n in names]
     return facts.select("url", F.concat_ws("\n", *lines).alias("text"))
 
 

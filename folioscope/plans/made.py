@@ -185,7 +185,7 @@ def answer_tiers(spark, sf_dir):
 
 #: Reports of `orders`: a dimension row may be missing, weights may be wrong, analysis entries come in three forms, the whole may be fenced.
 REPORT = """concat(CASE WHEN o_orderkey % 6 = 0 THEN '```markdown\n' ELSE '' END, '# Audit: Page ', CAST(o_orderkey AS STRING), '\n\n- **URL:** https://docs.example/', CAST(o_orderkey AS STRING), '\n- **Analyzed:** 2026-01-02\n**Content type:** guide\n\n## ABC Score: ', CAST(o_orderkey % 100 AS STRING), '.5/100 — Band ', CAST(o_custkey % 5 AS STRING),
- '\n\n| Dimension | Weight | Score | Weighted |\n|---|---|---|---|\n', {rows}, '| **Total** | **100** | | **', CAST(o_custkey % 90 AS STRING), '.5** |\n\n## Dimension analysis\n\n1. **Dimension a:** first\n   goes on\n- **Dimension b** — second\n**Dimension c:** third\n- **Dim d:** no such\n**Dimension e and more:** longest\n\n## Prioritized recommendations\n\n### Tier 1\n\n',
+ '\n\n| Dimension | Weight | Score | Weighted |\n|---|---|---|---|\n', {rows}, '| **Total** | **100** | | **', CAST(o_custkey % 90 AS STRING), '.5** |\n\n## Dimension analysis\n\n1. **Dimension a:** first\n   goes on\n- **Dimension b** — second\n**Dimension c:** third\n- **Other d:** no such\n**Dimension e and more:** longest\n\n## Prioritized recommendations\n\n### Tier 1\n\n',
  '- **[P1] Say it plainly** — *Maps to: Dimension a*\n  - **Where:** top\n  - **Issue:** long\n    line\n', CASE WHEN o_orderkey % 3 = 0 THEN '- **[P2] Another**\n  - **Change:** it\n  - **Why:** so\n' ELSE '' END, '\n## Anti-patterns found\n\n- one\n- two\n  more\n\n## Off-page notes\n\n- a note\n', CASE WHEN o_orderkey % 6 = 0 THEN '\n```\n' ELSE '' END)"""
 DIMENSION = "CASE WHEN o_orderkey % 10 = 7 AND {i} = 2 THEN '' ELSE concat('| Dimension {c} | ', CASE WHEN {i} = 8 THEN CASE WHEN o_orderkey % 10 = 8 THEN '13' ELSE '12' END ELSE '11' END, ' | ', CAST((o_orderkey + {i}) % 11 AS STRING), '/10 | ', CAST(o_orderkey % 9 AS STRING), '.{i} |\n') END"
 

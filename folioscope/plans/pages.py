@@ -41,7 +41,7 @@ def potential_fixes(spark, sf_dir):
 
 
 def page_structure(spark, sf_dir):
-    return facts(spark, sf_dir).select("url", "structure.*").drop("unclosedFences")
+    return facts(spark, sf_dir).select("url", "structure.*").withColumn("headingLevelSkips", F.size("headingLevelSkips")).drop("unclosedFences")
 
 
 def page_links(spark, sf_dir):

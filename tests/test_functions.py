@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import num, urls
-from folioscope.functions.markdown import Fences, code, links, metadata, specifics, structure
+from folioscope.functions.markdown import page_facts
 from folioscope.sources.html import extract
 
 
@@ -82,32 +82,49 @@ z = 3
 """
 
 
-def test_structure_and_code():
-    fences = Fences(PAGE)
-    facts = structure(fences)
-    assert facts["headingCount"] == 2 and facts["h1Count"] == 1 and facts["headingLevelSkips"] == 1
-    assert facts["codeFences"] == 4 and len(facts["unclosedFences"]) == 1 and facts["untaggedFences"] == 0
-    found = code(fences)
-    assert found["blocksNeedingImports"] == 1 and found["blocksMissingImports"] == 1 and found["undefinedConstants"] == ["MISSING_NAME"]
-    found = specifics(fences)
-    assert found["numeralCount"] == 2 and found["measurementCount"] == 1 and found["versionStrings"] == ["v1.2"]
-    assert specifics(Fences("some awesome\n\n```sh\n1 2\n```"))["codeNumeralCount"] == 2
+def facts(spark, text, url="https://docs.example/p", head=None, blocks=()):
+    row = page_facts(spark.createDataFrame([(url, "html", head, list(blocks), text)], "url string, format string, head_html string, json_ld array<string>, markdown string")).first()
+    return row.asDict(recursive=True)
 
 
-def test_links():
+def test_structure_and_code(spark):
+    found = facts(spark, PAGE)
+    s, c, p = found["structure"], found["code"], found["specifics"]
+    assert s["headingCount"] == 2 and s["h1Count"] == 1 and s["headingLevelSkips"] == [{"from": 1, "to": 3, "line": 11}] and s["maxHeadingDepth"] == 3
+    assert s["codeFences"] == 4 and s["unclosedFences"] == [23] and s["untaggedFences"] == 0
+    assert c["blocksNeedingImports"] == 1 and c["blocksMissingImports"] == 1 and c["undefinedConstants"] == ["MISSING_NAME"] and c["languages"] == ["md", "sh", "python", "js"]
+    assert p["numeralCount"] == 2 and p["measurementCount"] == 1 and p["versionStrings"] == ["v1.2"]
+    assert facts(spark, "some awesome\n\n```sh\n1 2\n```")["specifics"]["codeNumeralCount"] == 2
+
+
+def test_runnable_code(spark):
+    text = "```ts\nconst tx = { to: CHAIN_SELECTOR };\nconst n = Number.MAX_SAFE_INTEGER;\nuse(tx, n, HTTP);\n```\n```js\nimport a from 'a';\nconst LIMIT = 3\n// your key\nLIMIT\n```\n````\n```\nnot closed by the shorter one\n```\n````"
+    c = facts(spark, text)["code"]
+    assert (c["codeBlocks"], c["substantiveBlocks"], c["blocksNeedingImports"], c["blocksWithImports"], c["placeholderBlocks"], c["undefinedConstants"]) == (3, 3, 2, 1, 1, ["CHAIN_SELECTOR"])
+
+
+def test_tables_bullets_and_sections(spark):
+    text = "# A\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- x\n* y\n1. z\n\n## B\none two three\n```\n- in code\n```\n## C\n" + "w " * 700
+    s = facts(spark, text)["structure"]
+    assert (s["tableCount"], s["bulletCount"], s["sectionCount"], s["maxSectionWords"], s["oversizedSections"], s["untaggedFences"]) == (1, 3, 3, 700, 1, 1)
+
+
+def test_links(spark):
     text = "[here](/a) [rfc](https://www.rfc-editor.org/x) [x](https://docs.example/b) [fake](https://notgithub.com/) [m](mailto:a@b)"
-    found = links(text, "https://docs.example/p")
+    found = facts(spark, text)["links"]
     assert (found["totalLinks"], found["internalLinks"], found["externalLinks"], found["primarySourceLinks"], found["opaqueLinkTexts"]) == (5, 2, 2, 1, 1)
 
 
-def test_metadata():
+def test_metadata(spark):
     good = '{"@graph": [{"@type": ["TechArticle"], "keywords": "chain, the, data", "about": [{"name": "A", "description": "Content about a"}, {"name": "A"}], "datePublished": "2026", "dateModified": "2026", "additionalProperty": [{"name": "Programming Language", "value": "TypeScript"}]}]}'
-    found = metadata('<link rel="canonical" href="https://x.example/">', ["{oops", good], "```ts\nx\n```")
-    assert len(found["parseErrors"]) == 1 and found["hasArticleType"] and found["keywordStopwords"] == ["the"]
-    assert found["aboutTemplateArtifacts"] == 1 and found["aboutDuplicateNames"] == 1 and found["datesIdentical"]
-    assert found["programmingLanguageMismatch"] is False and found["canonical"] == "https://x.example/"
-    assert metadata(None, [], "")["programmingLanguageMismatch"] is None
-    assert metadata(None, ["[1, null]", '"x"', '{"@type": "Article", "additionalProperty": 3, "about": [1]}'], "")["aboutEntries"] == 1
+    head = extract("https://x.example/p", '<head><link href="https://x.example/" rel="canonical"><meta content="d" name="description"><meta property="og:title" content="t"><meta name="twitter:card" content="c"></head>')["head_html"]
+    found = facts(spark, "```ts\nx\n```", head=head, blocks=["{oops", good])["metadata"]
+    assert [(e["index"], e["preview"]) for e in found["parseErrors"]] == [(0, "{oops")] and found["hasArticleType"] and found["types"] == ["TechArticle"] and found["keywordStopwords"] == ["the"]
+    assert found["aboutTemplateArtifacts"] == 1 and found["aboutDuplicateNames"] == 1 and found["datesIdentical"] and found["codeFenceLanguages"] == {"ts": 1}
+    assert found["programmingLanguageMismatch"] is False and (found["canonical"], found["description"], found["ogTags"], found["twitterTags"]) == ("https://x.example/", "d", 1, 1)
+    assert facts(spark, "")["metadata"]["programmingLanguageMismatch"] is None
+    odd = facts(spark, "", blocks=["[1, null]", '"x"', '{"@type": "Article", "additionalProperty": 3, "about": [1], "keywords": ["a", 2]}'])["metadata"]
+    assert odd["aboutEntries"] == 1 and odd["keywordCount"] == 2 and odd["types"] == ["Article"]
 
 
 def test_extract():

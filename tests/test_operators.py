@@ -4,14 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.checks import assessments, registry
-from folioscope.functions.markdown import FACTS, page_facts
+from folioscope.functions.markdown import page_facts
 from folioscope.operators import cost, probes, rollup, stats, store, views
 from folioscope.sources import ledger, reports
 from folioscope.sources import store as files
 
 
-def test_facts_hold_no_verdict():
-    names = FACTS.lower()
+def test_facts_hold_no_verdict(spark):
+    names = page_facts(spark.createDataFrame([], "url string, format string, head_html string, json_ld array<string>, markdown string")).schema.simpleString().lower()
     assert not any(word in names for word in ("score", "grade", "severity", "verdict", "pass", "fail", "status"))
 
 
@@ -56,8 +56,9 @@ def test_latest_artifacts_keep_what_later_runs_lack(spark):
 def test_trend(spark):
     schema = "run_id string, at string, target_type string, target_name string, status string, grader_model string, probe_effort string, score double, fidelity double"
     rows = [("1", "a", "product", "x", "complete", "g", "low", 50.0, None), ("2", "b", "product", "y", "complete", "g", "low", 10.0, None), ("3", "c", "product", "x", "complete", "g", "low", 60.0, None), ("4", "d", "product", "x", "complete", "h", "low", 70.0, None), ("5", "e", "product", "x", "complete", None, None, 75.0, None), ("6", "f", "product", "x", "partial", "h", "low", 99.0, None)]
-    points = store.trend_points(spark.createDataFrame(rows, schema)).cache()
-    assert points.count() == 5
+    whole = spark.createDataFrame(rows, schema).selectExpr("*", "'m' AS probe_model", "'web' AS mode", "'sha' AS grader_prompt_sha")
+    points = store.trend_points(whole).cache()
+    assert points.count() == 5 and points.where("run_id = '1'").first()["fingerprint"] == "g|m|low|web|sha"
     segments = {r["run_id"]: (r["target"], r["segment"]) for r in store.trend_segments(points).collect()}
     assert segments["1"] == segments["3"] and len({segments[i] for i in "1345"}) == 3 and segments["2"][0] == "product:y"
     assert sorted((r["run_id"], r["reason"]) for r in store.discontinuities(points).collect()) == [("4", "grader changed"), ("5", "protocol unknown")]
@@ -67,6 +68,26 @@ def test_trend(spark):
     assert again.count() == 5 and again.where("run_id = '1'").first()["score"] == 51.0
 
 
+def test_points_of_other_prompts_or_models_are_not_joined(spark):
+    rows = [("1", "a", "g", "m", "p"), ("2", "b", "g", "m", "q"), ("3", "c", "g", "n", "q"), ("4", "d", "g", "n", None), ("5", "e", "g", "n", "q"), ("6", "f", "g", "n", "q")]
+    points = store.trend_points(spark.createDataFrame(rows, "run_id string, at string, grader_model string, probe_model string, grader_prompt_sha string").selectExpr("*", "'product' AS target_type", "'x' AS target_name", "'complete' AS status", "'low' AS probe_effort", "'web' AS mode", "1D AS score", "1D AS fidelity"))
+    assert [r["segment"] for r in store.trend_segments(points).orderBy("at").collect()] == [1, 2, 3, 4, 5, 5]
+    assert [r["reason"] for r in store.discontinuities(points).orderBy("at").collect()] == ["grader prompt changed", "probe model changed", "protocol unknown", "protocol unknown"]
+
+
+def test_a_shared_key_fails_with_the_names(spark):
+    df = spark.createDataFrame([("k", "a"), ("k", "b"), ("j", "c"), ("j", "c")], "key string, value string")
+    assert views.require_unique(df.where("key = 'j'"), "key", "value").count() == 2
+    with pytest.raises(Exception, match="key k is shared by 2: a, b"):
+        views.require_unique(df, "key", "value").collect()
+
+
+def test_reusable_artifacts(spark):
+    held = spark.createDataFrame([("p", "h", "g", 1, 1, True), ("p", "h", "g", 2, 3, True), ("p", "h", "g", 3, 2, False), ("p", "x", "g", 1, 4, True), ("p", None, "g", 1, 5, True)], "page_key string, content_hash string, grader string, at int, run_id int, complete boolean")
+    asked = spark.createDataFrame([("p", "h", "g", 1, 10), ("p", "h", "g", 2, 11), ("p", "h", "g", 9, 12), ("p", None, "g", 9, 13), ("q", "h", "g", 9, 14)], "page_key string, content_hash string, grader string, at int, run_id int")
+    assert {r["run_id"]: r["reused_run"] for r in store.reusable(asked, held, ["grader"]).collect()} == {10: None, 11: 1, 12: 3, 13: None, 14: None}
+
+
 def test_transitions_and_reconcile(spark):
     events = spark.createDataFrame([("a", 1, "queued"), ("a", 2, "running"), ("a", 3, "complete"), ("a", 4, "running"), ("b", 1, "interrupted"), ("b", 2, "running"), ("c", 1, "odd"), ("c", 2, "running")], "run_id string, ord int, status string")
     assert sorted((r["run_id"], r["ord"]) for r in store.illegal_transitions(events).collect()) == [("a", 4), ("c", 2)]

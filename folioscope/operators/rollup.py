@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.num import half_up, ratio
@@ -15,12 +15,12 @@ def rollup_checks(rows: DataFrame, keys: list[str], examples: int = 25) -> DataF
     n = {v: F.count_if(F.col("verdict") == v) for v in ("pass", "warn", "fail")}
     evaluated = F.count("verdict")
     rank = F.when(F.col("verdict") == "fail", 0).when(F.col("verdict") == "warn", 1)
-    place = F.row_number().over(Window.partitionBy(*keys, "check", "sub").orderBy("rank", "url"))
-    # findings of a hot product are cut to the first ones by parts before they meet
-    parts = rows.withColumn("rank", rank).where("rank is not null").withColumn("sub", F.pmod(F.xxhash64("url"), F.lit(64))).withColumn("place", place).where(F.col("place") <= examples)
-    found = parts.groupBy(*keys, "check").agg(F.slice(F.array_sort(F.collect_list(F.struct("rank", "url", "verdict", "detail"))), 1, examples).alias("f"))
-    counted = rows.groupBy(*keys, "check", "ord", "weight").agg(*[x.alias(v) for v, x in n.items()], evaluated.alias("evaluated"), (F.count("*") - evaluated).alias("not_applicable"), half_up(ratio(n["pass"] + 0.5 * n["warn"], evaluated), 3).alias("points"))
-    return counted.join(found, [*keys, "check"], "left").withColumn("findings", F.transform("f", lambda f: f.dropFields("rank"))).drop("f")
+    # of a hot product only the first findings of each part are listed; one pass over the rows gives counts and findings
+    part = Window.partitionBy(*keys, "check", "sub").orderBy(F.asc_nulls_last("rank"), "url")
+    rows = rows.withColumn("rank", rank).withColumn("sub", F.pmod(F.xxhash64("url"), F.lit(64))).withColumn("place", F.row_number().over(part))
+    listed = F.collect_list(F.when(F.col("rank").isNotNull() & (F.col("place") <= examples), F.struct("rank", "url", "verdict", "detail")))
+    found = rows.groupBy(*keys, "check", "ord", "weight").agg(*[x.alias(v) for v, x in n.items()], evaluated.alias("evaluated"), (F.count("*") - evaluated).alias("not_applicable"), half_up(ratio(n["pass"] + 0.5 * n["warn"], evaluated), 3).alias("points"), F.slice(F.array_sort(listed), 1, examples).alias("f"))
+    return found.withColumn("findings", F.when(F.size("f") > 0, F.transform("f", lambda f: f.dropFields("rank")))).drop("f")
 
 
 def placed(checks: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,12 +28,12 @@ def placed(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("points", F.lit(1.0)), "ord")))
 
 
-def product_scores(checks: DataFrame, keys: list[str]) -> DataFrame:
-    """Score of each key: the weighted mean of the rounded points of the checks that were evaluated, in percent."""
+def product_scores(checks: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Score of each key: the weighted mean of the rounded points of the checks that were evaluated, in percent; `more` aggregates ride along."""
     has = F.col("points").isNotNull()
     weight = F.sum(F.when(has, F.col("weight")))
     score = half_up(ratio(F.sum(F.when(has, F.round(F.col("points") * 1000).cast("long") * F.col("weight"))) / 1000.0, weight) * 100, 1)
-    return checks.groupBy(*keys).agg(score.alias("score"), F.coalesce(weight, F.lit(0)).alias("scored_weight"))
+    return checks.groupBy(*keys).agg(score.alias("score"), F.coalesce(weight, F.lit(0)).alias("scored_weight"), *more)
 
 
 def potential_fixes(checks: DataFrame, keys: list[str]) -> DataFrame:

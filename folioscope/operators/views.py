@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from folioscope.functions.num import half_up, ratio
 from folioscope.functions.urls import slug
@@ -159,14 +161,22 @@ def budget_fill(pages: DataFrame, by: list[str], size: str, cost: str, keys: lis
     first = rows.where("cost > 0").withColumn("_r", F.row_number().over(Window.partitionBy(*by, "cost").orderBy(size, *keys)))
     first = first.where((F.col("_r") <= budget) & (F.col("_r") * F.col("cost") <= budget))
     listed = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(size).alias("size"), *keys, "cost"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<boolean>").alias("taken"))
 
-    def step(acc: Column, row: Column) -> Column:
-        fits = acc["total"] + row["cost"] <= budget
-        return F.struct((acc["total"] + F.when(fits, row["cost"]).otherwise(0)).cast("long").alias("total"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+    @F.pandas_udf(ArrayType(BooleanType()))
+    def fits(costs: pd.Series) -> pd.Series:
+        """Whether each cost fits what those before it leave: a fold whose state is one number."""
 
-    filled = listed.withColumn("acc", F.aggregate("rows", start, step))
-    used = filled.select(*by, F.explode(F.arrays_zip(F.col("rows"), F.col("acc.taken").alias("taken"))).alias("x")).where("x.taken").select(*by, *[F.col(f"x.rows.{k}").alias(k) for k in keys], F.lit(True).alias("_used"))
+        def fold(values: list[int]) -> list[bool]:
+            left, out = budget, []
+            for cost in values:
+                out.append(cost <= left)
+                left -= cost if cost <= left else 0
+            return out
+
+        return costs.map(fold)
+
+    filled = listed.withColumn("taken", fits(F.transform("rows", lambda r: r["cost"])))
+    used = filled.select(*by, F.explode(F.arrays_zip(F.col("rows"), F.col("taken"))).alias("x")).where("x.taken").select(*by, *[F.col(f"x.rows.{k}").alias(k) for k in keys], F.lit(True).alias("_used"))
     out = rows.join(used, [*by, *keys], "left")
     return out.select(*by, *keys, "cost", (F.coalesce("_used", F.lit(False)) | (F.col("cost") <= 0)).alias("used"))
 

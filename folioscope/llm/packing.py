@@ -93,8 +93,30 @@ def best_fit(bins: list[list[int]], room: list[int], items: list[int], size: np.
     return Packing(bins, room)
 
 
+def swapped(bins: list[list[int]], room: list[int], items: list[int], size: np.ndarray, tries: int = 256) -> list[int]:
+    """Trade displaced items for smaller ones of bins, which get fuller by it; the smaller ones are displaced instead. Small items are easier to place."""
+    if not bins or not items:
+        return items
+    held = np.array([i for b in bins for i in b])
+    owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    sizes, left = size[held], np.array(room, np.int64)
+    out = sorted(items, key=lambda i: (-size[i], i))
+    for k in range(min(tries, len(out))):
+        gain = int(size[out[k]]) - sizes
+        gain[gain > left[owner]] = 0
+        at = int(gain.argmax())
+        if gain[at] <= 0:
+            continue
+        b, other = int(owner[at]), int(held[at])
+        bins[b][bins[b].index(other)] = out[k]
+        left[b] -= gain[at]
+        held[at], sizes[at], out[k] = out[k], size[out[k]], other
+    room[:] = left.tolist()
+    return out
+
+
 def crossover(first: Packing, second: Packing, size: np.ndarray, most: int, rng: np.random.Generator) -> Packing:
-    """A child: a random share of `second`'s well-filled bins, `first`'s bins that share nothing with them, the rest placed by best fit."""
+    """A child: a random share of `second`'s well-filled bins, `first`'s bins that share nothing with them; of the rest, the largest are traded for smaller ones, and all are placed by best fit."""
     room = np.array(second.room)
     full = np.flatnonzero(room <= np.quantile(room, 0.8))
     chosen = full[rng.random(len(full)) < rng.uniform(0.2, 0.7)]
@@ -108,7 +130,7 @@ def crossover(first: Packing, second: Packing, size: np.ndarray, most: int, rng:
         else:
             bins.append(list(b))
             rooms.append(int(first.room[k]))
-    return best_fit(bins, rooms, displaced, size, most)
+    return best_fit(bins, rooms, swapped(bins, rooms, displaced, size), size, most)
 
 
 def evolve(size: np.ndarray, most: int, seed: int, given: list[Packing], population: int, generations: int) -> Packing:

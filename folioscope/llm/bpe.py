@@ -83,9 +83,10 @@ def token_table(path: str) -> list[bytes]:
 #: A space beside other white space, or at an end; white space is any that Python or Unicode know.
 UNEVEN_SPACE = r" [\s\v\x1c-\x1f\x85\pZ]|[\s\v\x1c-\x1f\x85\pZ] | $"
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Letters with one mark behind them at most, and perhaps a line of such behind a line feed: by any pattern of this kind the
-#: letters are one pre-token, with the space before them if there is one, the mark is one, and the line feed is one.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:?!]?)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:?!]?))?")
+#: Letters with ASCII marks behind them at most, and perhaps such behind a line feed: by any pattern of this kind the letters are one
+#: pre-token, with the space before them if there is one, the marks are one, and the line feed is one. Apostrophes may open others.
+MARKS = r"([!-&(-/:-@\[-`{-~]*)"
+PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+){MARKS}(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+){MARKS})?")
 CALL_CHARS, CALL_BYTES, LONG_CHUNK = 50_000, 4_000_000, 64
 
 
@@ -107,12 +108,20 @@ class Encoder:
         self.model = self.library.model
         self.chunked = by_bytes(self.library)
         self.char = {i: "".join(byte_to_char()[b] for b in chr(i).encode()) for i in range(256)}
-        self.marks = {"": b""} | {m: self._word(self.char[ord(m)]) for m in ".,;:?!\n"} if self.chunked else {}
+        self.marks = {"": b"", "\n": self._word(self.char[10])} if self.chunked else {}
 
     def _word(self, mapped: str) -> bytes:
         """The ids of one pre-token, in the characters of the byte table, by the library's model."""
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
+    def _mark(self, run: str) -> bytes:
+        ids = self.marks.get(run)
+        if ids is None:
+            ids = self._word(run)
+            if len(self.marks) < 5000:
+                self.marks[run] = ids
+        return ids
+
     def _by_library(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
         while at < len(texts):
@@ -136,9 +145,9 @@ class Encoder:
             if ids is None:
                 ids = out[word] = self._word(space + (word if word.isascii() else word.translate(self.char)))
             if mark:
-                ids += self.marks[mark]
+                ids += self._mark(mark)
             if below:
-                ids += self.marks["\n"] + self._word(below.translate(self.char)) + self.marks[last]
+                ids += self.marks["\n"] + self._word(below.translate(self.char)) + self._mark(last)
             if mark or below:
                 out[w] = ids
         out.update(zip(other, self._by_library([" " + w for w in other])))

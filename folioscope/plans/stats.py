@@ -50,6 +50,16 @@ def resampled_correlation(spark, sf_dir):
     return stats.resampled(study(spark), "score", "lift", ["study"])
 
 
+def sign_flips(spark, sf_dir):
+    """Whether scores differ from fidelity, by target."""
+    rows = runs(spark, sf_dir).select("target_name", "run_id", (F.col("score") - F.col("fidelity")).alias("d"))
+    return stats.sign_flips(rows, "d", ["target_name"], "run_id")
+
+
+def permuted_correlation(spark, sf_dir):
+    return stats.permutations(runs(spark, sf_dir), "score", "fidelity", ["target_name"], "run_id")
+
+
 def signed_rank(spark, sf_dir):
     return stats.sign_test(study(spark), "lift", ["study"])
 
@@ -66,6 +76,18 @@ COV = lambda x, y: f"(count(*) * sum({x} * {y}) - sum({x}) * sum({y}))"  # noqa:
 PEARSON = lambda x, y: f"CASE WHEN count(*) > 1 AND {VAR(x)} > 0 AND {VAR(y)} > 0 THEN {COV(x, y)} / sqrt({VAR(x)} * {VAR(y)}) END"
 ROWS = ", ".join(f"({s}, {w!r}::DOUBLE, {c!r}::DOUBLE, {q!r}::DOUBLE)" for s, w, c, q in STUDY)
 SQL = {
+    "sign_flips": f"""WITH {RUNS}, d AS (SELECT target_name, run_id, score - fidelity AS d FROM runs WHERE score IS NOT NULL AND fidelity IS NOT NULL),
+      w AS (SELECT target_name, count(*) AS n, {half_up('avg(d)', 4)} AS mean FROM d GROUP BY ALL),
+      r AS (SELECT target_name, run_id, sign(d) AS sign, rank() OVER (PARTITION BY target_name ORDER BY abs(d)) + (count(*) OVER (PARTITION BY target_name, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0),
+      o AS (SELECT target_name, abs(sum(sign * r)) AS observed FROM r GROUP BY ALL),
+      s AS (SELECT target_name, draw, abs(sum(CASE WHEN md5(draw || ':' || run_id)[1] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN r ELSE -r END)) AS s FROM r, range(1, 201) t(draw) GROUP BY ALL)
+      SELECT w.*, p FROM w LEFT JOIN (SELECT target_name, {half_up('(count(*) FILTER (s >= observed - 1e-9) + 1) / 201.0::DOUBLE', 4)} AS p FROM s JOIN o USING (target_name) GROUP BY target_name) USING (target_name)""",
+    "permuted_correlation": f"""WITH {RUNS}, v AS (SELECT target_name, run_id, score, fidelity FROM runs WHERE score IS NOT NULL AND fidelity IS NOT NULL),
+      r AS (SELECT target_name, run_id, {", ".join(f"rank() OVER (PARTITION BY target_name ORDER BY {c}) + (count(*) OVER (PARTITION BY target_name, {c}) - 1) / 2.0::DOUBLE - (count(*) OVER (PARTITION BY target_name) + 1) / 2.0::DOUBLE AS {n}" for c, n in (("score", "rx"), ("fidelity", "ry")))} FROM v),
+      o AS (SELECT target_name, count(*) AS n, {half_up('sum(rx * ry) / sqrt(sum(rx * rx) * sum(ry * ry))', 3)} AS rho, abs(sum(rx * ry)) AS observed FROM r GROUP BY ALL),
+      d AS (SELECT target_name, draw, rx, ry, row_number() OVER (PARTITION BY target_name, draw ORDER BY run_id) AS i, row_number() OVER (PARTITION BY target_name, draw ORDER BY md5(draw || ':' || run_id), run_id) AS j FROM r, range(1, 201) t(draw)),
+      s AS (SELECT a.target_name, a.draw, abs(sum(a.rx * b.ry)) AS s FROM d a JOIN d b ON a.target_name = b.target_name AND a.draw = b.draw AND a.i = b.j GROUP BY ALL)
+      SELECT target_name, any_value(n) AS n, any_value(rho) AS rho, {half_up('(count(*) FILTER (s >= observed - 1e-9) + 1) / 201.0::DOUBLE', 4)} AS p FROM s JOIN o USING (target_name) GROUP BY target_name""",
     "spearman_by_group": f"WITH {RUNS}, r AS (SELECT target_name, ({RANK('score')})::DOUBLE AS rx, ({RANK('fidelity')})::DOUBLE AS ry FROM runs WHERE score IS NOT NULL AND fidelity IS NOT NULL) SELECT target_name, count(*) AS n, {half_up(PEARSON('rx', 'ry'), 3)} AS rho FROM r GROUP BY target_name",
     "ols_slope": f"WITH {RUNS}, r AS (SELECT target_name, score::DOUBLE AS x, fidelity::DOUBLE AS y FROM runs WHERE score IS NOT NULL AND fidelity IS NOT NULL), n AS (SELECT DISTINCT target_name FROM runs) SELECT target_name, {half_up(f'CASE WHEN {VAR('x')} > 0 THEN {COV('x', 'y')} / {VAR('x')} END', 3)} AS slope FROM n LEFT JOIN r USING (target_name) GROUP BY target_name",
     "partial_spearman": f"""WITH {RUNS}, r AS (SELECT target_name, ({RANK('score')})::DOUBLE AS a, ({RANK('fidelity')})::DOUBLE AS b, ({RANK('cost_cents')})::DOUBLE AS c FROM runs WHERE score IS NOT NULL AND fidelity IS NOT NULL),
@@ -77,4 +99,4 @@ SQL = {
       r AS (SELECT *, ({RANK('score')})::DOUBLE AS rx, ({RANK('y')})::DOUBLE AS ry, score::DOUBLE AS x FROM l)
       SELECT target_name AS study, count(*) AS n, {half_up(PEARSON('rx', 'ry'), 3)} AS rho, {half_up(f"{COV('x', 'y')} / {VAR('x')}", 3)} AS slope FROM r GROUP BY target_name""",
 }
-QUERIES = [spearman_by_group, ols_slope, partial_spearman, repeat_spread, label_reliability, study_hypotheses, resampled_correlation, signed_rank, priority_shares]
+QUERIES = [sign_flips, permuted_correlation, spearman_by_group, ols_slope, partial_spearman, repeat_spread, label_reliability, study_hypotheses, resampled_correlation, signed_rank, priority_shares]

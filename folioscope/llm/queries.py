@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotrain, hnsw, license_scan, linededup, packing, probminhash, tokencount, topk, toxicity
+from . import bpe, cotrain, fim, hnsw, license_scan, linededup, packing, periodic, probminhash, radix, tokencount, topk, toxicity
 from .common import table
 
 
@@ -56,15 +56,27 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_bpe, op2_token_counts, op3_toxicity, op4_quality, op5_licenses, op6_minhash, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_topk)
+    own = (op1_bpe, op2_token_counts, op3_toxicity, op4_quality, op5_licenses, op6_minhash, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_topk, op11_exact_dedup, op12_fim, op13_periodic_runs)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op5_licenses": license_scan.sql(), "op9_embedding_dedup": hnsw.SQL, "op10_topk": topk.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op5_licenses": license_scan.sql(), "op9_embedding_dedup": hnsw.SQL, "op10_topk": topk.SQL, "op11_exact_dedup": radix.SQL, "op12_fim": fim.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}

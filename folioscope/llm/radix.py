@@ -3,7 +3,8 @@
 A round splits every open group by its documents' next bytes: rows are counted by (group, bytes) with partial sums in each
 task, and the groups that two rows or more share go on to the next round with what is left of their texts. A group is done if one
 row is left, or if its bytes have ended. The bytes of a round grow from 64 sixteenfold, so that five rounds reach 4 MB, and most documents
-differ in the first. Rows learn their group by a join of stored tables, in which adaptive execution splits a hot group; equality is that of bytes, no digest is compared.
+differ in the first. Rows learn their group by a join of stored tables, in which adaptive execution splits a hot group; the join is one by
+sorting at every size, so that what is true of a small corpus is true of a large one. Equality is that of bytes, no digest is compared.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def partitioned(ids_and_texts: DataFrame) -> DataFrame:
     groups = stored(groups.select("digit", F.monotonically_increasing_id().alias("grp")), "groups-0")
     id_type = ids_and_texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("grp", T.LongType()), T.StructField("rest", T.BinaryType())])
-    met = rows.join(groups, "digit", "left").select("id", "grp", "text").mapInArrow(lambda batches: with_rest(batches, FIRST), schema)
+    met = rows.join(groups.hint("merge"), "digit", "left").select("id", "grp", "text").mapInArrow(lambda batches: with_rest(batches, FIRST), schema)
     # the first round ends no group: rows have numbers only once they are stored
     level = stored(met.withColumn("row", F.monotonically_increasing_id()), "rows-0")
     parts = [level.where("grp is null").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"))]
@@ -68,7 +69,7 @@ def partitioned(ids_and_texts: DataFrame) -> DataFrame:
         groups = shared.groupBy("grp", digit.alias("digit")).agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top")).where("size > 1")
         groups = stored(groups.select(F.col("grp").alias("of"), "digit", "size", "top", F.monotonically_increasing_id().alias("next")), f"groups-{nth}")
         goes_on = F.length("digit") == width
-        met = shared.join(groups, (F.col("grp") == F.col("of")) & (digit == F.col("digit")), "left").select(
+        met = shared.join(groups.hint("merge"), (F.col("grp") == F.col("of")) & (digit == F.col("digit")), "left").select(
             "id", "sha", "row", F.when(goes_on, F.col("next")).alias("grp"), F.when(goes_on, F.substring("rest", F.lit(width + 1), F.length("rest"))).alias("rest"),
             F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("top.id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("size"),
             (F.col("size").isNull() | (F.col("row") == F.col("top.row"))).alias("kept"),

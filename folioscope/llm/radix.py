@@ -4,7 +4,8 @@ A round splits every open group by its documents' next bytes: rows are counted b
 task, and the groups that two rows or more share go on to the next round with what is left of their texts. A group is done if one
 row is left, or if its bytes have ended. The bytes of a round grow from 64 sixteenfold, so that five rounds reach 4 MB, and most documents
 differ in the first. Rows learn their group by a join of stored tables, in which adaptive execution splits a hot group; the join is one by
-sorting at every size, so that what is true of a small corpus is true of a large one. Equality is that of bytes, no digest is compared.
+sorting at every size, so that what is true of a small corpus is true of a large one. In the first round, rows whose bytes a bitmap
+shows to be no group's don't go there at all. Equality is that of bytes, no digest is compared.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from .common import named, shared_folder, slices
 
 FIRST, GROWTH, WIDEST = 64, 16, 1 << 30
+BITS = 1 << 27
 
 
 def normal(text: Column) -> Column:
@@ -34,6 +36,18 @@ def first_bytes(text: Column, width: int) -> Column:
     return F.substring(normal(F.left(text, F.lit(width))).cast("binary"), 1, width)
 
 
+def may_share(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rows` with `near`: whether their first bytes may be those of a group. A bitmap of BITS bits of hashes, 16 MB at most, is broadcast; it only spares
+    rows the way to the join, which compares bytes.
+    """
+    slot = F.pmod(F.xxhash64("digit"), F.lit(BITS))
+    held = groups.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bit = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = rows.withColumn("slot", slot).join(F.broadcast(held), F.bitmap_bucket_number("slot") == F.col("bucket"), "left")
+    return met.withColumn("near", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("slot", "bucket", "bits")
+
+
 def with_rest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(id, group, text) to (id, sha256, group, rest): the digest of the normal text and, in groups, its bytes behind the first ones."""
     for batch in slices(batches, "text"):
@@ -57,7 +71,10 @@ def partitioned(ids_and_texts: DataFrame) -> DataFrame:
     groups = stored(groups.select("digit", F.monotonically_increasing_id().alias("grp")), "groups-0")
     id_type = ids_and_texts.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("sha", T.StringType()), T.StructField("grp", T.LongType()), T.StructField("rest", T.BinaryType())])
-    met = rows.join(groups.hint("merge"), "digit", "left").select("id", "grp", "text").mapInArrow(lambda batches: with_rest(batches, FIRST), schema)
+    rows = may_share(rows, groups)
+    alone = rows.where("not near").select("id", F.lit(None).cast("long").alias("grp"), "text")
+    met = alone.unionByName(rows.where("near").join(groups.hint("merge"), "digit", "left").select("id", "grp", "text"))
+    met = met.mapInArrow(lambda batches: with_rest(batches, FIRST), schema)
     # the first round ends no group: rows have numbers only once they are stored
     level = stored(met.withColumn("row", F.monotonically_increasing_id()), "rows-0")
     parts = [level.where("grp is null").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"))]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import history, made, pages, probes, stats, store, streams, tables, texts
+from folioscope.plans import history, made, pages, probes, resampling, stats, store, streams, tables, texts
 
-MODULES = (pages, made, texts, probes, store, history, stats, tables, streams)
+MODULES = (pages, made, texts, probes, store, history, stats, resampling, tables, streams)
 
 
 def queries() -> dict:

@@ -34,10 +34,6 @@ def repeat_spread(spark, sf_dir):
     return stats.spread(runs(spark, sf_dir), "score", ["target_name", "page_key"])
 
 
-def label_reliability(spark, sf_dir):
-    return stats.reliability(runs(spark, sf_dir).where("score is not null"), "score", "page_key", ["target_type"])
-
-
 def study_hypotheses(spark, sf_dir):
     """The study's rank correlations and slopes of four outcomes on score."""
     rows = study(spark)
@@ -46,10 +42,6 @@ def study_hypotheses(spark, sf_dir):
     return stats.spearman(long, "score", "y", ["study"]).join(stats.slopes(long, "score", "y", ["study"]), "study")
 
 
-def resampled_correlation(spark, sf_dir):
-    return stats.resampled(study(spark), "score", "lift", ["study"])
-
-
 def sign_flips(spark, sf_dir):
     """Whether scores differ from fidelity, by target."""
     rows = runs(spark, sf_dir).select("target_name", "run_id", (F.col("score") - F.col("fidelity")).alias("d"))
@@ -60,10 +52,6 @@ def permuted_correlation(spark, sf_dir):
     return stats.permutations(runs(spark, sf_dir), "score", "fidelity", ["target_name"], "run_id")
 
 
-def signed_rank(spark, sf_dir):
-    return stats.sign_test(study(spark), "lift", ["study"])
-
-
 def priority_shares(spark, sf_dir):
     from folioscope.operators.views import shares
 
@@ -99,4 +87,4 @@ SQL = {
       r AS (SELECT *, ({RANK('score')})::DOUBLE AS rx, ({RANK('y')})::DOUBLE AS ry, score::DOUBLE AS x FROM l)
       SELECT target_name AS study, count(*) AS n, {half_up(PEARSON('rx', 'ry'), 3)} AS rho, {half_up(f"{COV('x', 'y')} / {VAR('x')}", 3)} AS slope FROM r GROUP BY target_name""",
 }
-QUERIES = [sign_flips, permuted_correlation, spearman_by_group, ols_slope, partial_spearman, repeat_spread, label_reliability, study_hypotheses, resampled_correlation, signed_rank, priority_shares]
+QUERIES = [sign_flips, permuted_correlation, spearman_by_group, ols_slope, partial_spearman, repeat_spread, study_hypotheses, priority_shares]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,10 @@ def spread(df: DataFrame) -> DataFrame:
     """A table of fewer files than there are cores dealt out to all of them, before work that costs far more than the shuffle; others as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """`df` written as a table to the shared folder and read again: lineage ends there, and rows that were numbered or dealt out keep their places."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,17 +6,6 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import stats
 from folioscope.plans.remap import RUNS, half_up, read, runs
-from folioscope.session import workers_find_library
-
-STUDY = [(41, 51.1667, 39.8333, 4.0), (56, 46.0, 57.8333, 0.5), (58, 42.6667, 21.0, 3.0), (61, 63.1667, 37.1667, 4.8333), (63, 65.5, 70.6667, 2.8333), (64, 36.8333, 17.1667, 4.0), (64, 46.5, 30.6667, 5.0), (67, 35.6667, 22.0, 3.5), (73, 63.3333, 63.8333, 0.0), (77, 66.6667, 60.1667, 3.5)]
-
-
-def study(spark):
-    """Ten units of a published study: quality score, fidelity with and without search, searches for each probe."""
-    workers_find_library(spark)
-    rows = spark.createDataFrame(STUDY, "score int, web double, closed double, searches double")
-    return rows.withColumn("lift", F.col("web") - F.col("closed")).withColumn("study", F.lit("units"))
-
 
 def spearman_by_group(spark, sf_dir):
     return stats.spearman(runs(spark, sf_dir), "score", "fidelity", ["target_name"])
@@ -34,14 +23,6 @@ def repeat_spread(spark, sf_dir):
     return stats.spread(runs(spark, sf_dir), "score", ["target_name", "page_key"])
 
 
-def study_hypotheses(spark, sf_dir):
-    """The study's rank correlations and slopes of four outcomes on score."""
-    rows = study(spark)
-    parts = [rows.select(F.lit(y).alias("study"), "score", F.col(y).alias("y")) for y in ("web", "closed", "lift", "searches")]
-    long = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    return stats.spearman(long, "score", "y", ["study"]).join(stats.slopes(long, "score", "y", ["study"]), "study")
-
-
 def sign_flips(spark, sf_dir):
     """Whether scores differ from fidelity, by target."""
     rows = runs(spark, sf_dir).select("target_name", "run_id", (F.col("score") - F.col("fidelity")).alias("d"))
@@ -62,7 +43,6 @@ RANK = lambda x: f"rank() OVER (PARTITION BY target_name ORDER BY {x}) + (count(
 VAR = lambda x: f"(count(*) * sum({x} * {x}) - sum({x}) * sum({x}))"
 COV = lambda x, y: f"(count(*) * sum({x} * {y}) - sum({x}) * sum({y}))"
 PEARSON = lambda x, y: f"CASE WHEN count(*) > 1 AND {VAR(x)} > 0 AND {VAR(y)} > 0 THEN {COV(x, y)} / sqrt({VAR(x)} * {VAR(y)}) END"
-ROWS = ", ".join(f"({s}, {w!r}::DOUBLE, {c!r}::DOUBLE, {q!r}::DOUBLE)" for s, w, c, q in STUDY)
 SQL = {
     "sign_flips": f"""WITH {RUNS}, d AS (SELECT target_name, run_id, score - fidelity AS d FROM runs WHERE score IS NOT NULL AND fidelity IS NOT NULL),
       w AS (SELECT target_name, count(*) AS n, {half_up('avg(d)', 4)} AS mean FROM d GROUP BY ALL),
@@ -83,8 +63,5 @@ SQL = {
       SELECT target_name, {half_up('CASE WHEN (1 - xz * xz) * (1 - yz * yz) > 1e-12 THEN (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) END', 3)} AS rho FROM p""",
     "repeat_spread": f"WITH {RUNS} SELECT target_name, page_key, count(score) AS n, {half_up('avg(score)', 4)} AS mean, {half_up('CASE WHEN count(score) > 1 THEN stddev_samp(score) END', 4)} AS sd, max(score) - min(score) AS range FROM runs GROUP BY target_name, page_key",
     "priority_shares": f"SELECT o_orderpriority, count(*) AS n, {half_up('count(*)::DOUBLE / sum(count(*)) OVER ()', 4)} AS share FROM orders GROUP BY o_orderpriority",
-    "study_hypotheses": f"""WITH s(score, web, closed, searches) AS (VALUES {ROWS}), l AS (SELECT 'web' AS target_name, score, web AS y FROM s UNION ALL SELECT 'closed', score, closed FROM s UNION ALL SELECT 'lift', score, web - closed FROM s UNION ALL SELECT 'searches', score, searches FROM s),
-      r AS (SELECT *, ({RANK('score')})::DOUBLE AS rx, ({RANK('y')})::DOUBLE AS ry, score::DOUBLE AS x FROM l)
-      SELECT target_name AS study, count(*) AS n, {half_up(PEARSON('rx', 'ry'), 3)} AS rho, {half_up(f"{COV('x', 'y')} / {VAR('x')}", 3)} AS slope FROM r GROUP BY target_name""",
 }
-QUERIES = [sign_flips, permuted_correlation, spearman_by_group, ols_slope, partial_spearman, repeat_spread, study_hypotheses, priority_shares]
+QUERIES = [sign_flips, permuted_correlation, spearman_by_group, ols_slope, partial_spearman, repeat_spread, priority_shares]

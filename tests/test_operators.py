@@ -114,13 +114,6 @@ def test_statistics(spark):
     assert {r["k"]: r["rho"] for r in stats.spearman(rows, "x", "y", ["k"]).collect()} == {"g": 0.949, "h": None}
 
 
-def test_published_coefficients(spark, sf_dir):
-    from folioscope.plans.stats import study_hypotheses
-
-    found = {r["study"]: (r["rho"], r["slope"]) for r in study_hypotheses(spark, sf_dir).collect()}
-    assert found["web"] == (0.231, 0.362) and found["closed"] == (0.134, 0.468) and found["lift"] == (-0.073, -0.106)
-
-
 def test_views(spark):
     rows = spark.createDataFrame([(1, "Alpha", 3), (2, None, None), (3, "beta", 1), (4, "ALPS", 2)], "id int, name string, score int")
     assert [r["id"] for r in views.search(rows, "alp", ["name"]).orderBy("id").collect()] == [1, 4]

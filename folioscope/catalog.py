@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import history, made, pages, probes, resampling, stats, store, streams, study, tables, texts
+from folioscope.plans import artifacts, history, made, pages, probes, resampling, stats, store, streams, study, tables, texts
 
-MODULES = (pages, made, texts, probes, store, history, stats, resampling, study, tables, streams)
+MODULES = (pages, made, artifacts, texts, probes, store, history, stats, resampling, study, tables, streams)
 
 
 def queries() -> dict:

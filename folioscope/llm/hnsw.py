@@ -272,7 +272,7 @@ def set_of_links(sides: list[tuple], own: bool, least: float, width: int, audit_
         a, b = code // max(1, len(ids_t)), code % max(1, len(ids_t))
     keep = []
     for part in np.array_split(np.arange(len(a)), max(1, len(a) // 200_000)):
-        p, q = raw_s[a[part]], raw_t[b[part]]
+        p, q = (x / np.abs(x).max(axis=1, keepdims=True) for x in (raw_s[a[part]], raw_t[b[part]]))  # no square leaves the doubles
         keep.append((p * q).sum(axis=1) / (np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))) >= least)
     good = np.concatenate(keep) if len(a) else np.zeros(0, bool)
     return a[good], b[good]

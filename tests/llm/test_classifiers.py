@@ -150,3 +150,14 @@ def test_pipeline_of_odd_rows(odd, empty, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(start.sparkSession, docs, sf_dir)
             docs.count()
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).selectExpr("*", "7.0D AS _score", "doc_id AS `a.b`", "1 AS key", "2 AS row")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r["_score"] == 7.0 and r["a.b"] == r["doc_id"] for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).where("doc_id is not null").count() >= 40

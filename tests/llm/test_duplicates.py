@@ -345,15 +345,43 @@ def test_topk_of_very_low_totals_few_candidates_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "id long, v array<long>")
     found = [(r["id"], r["score"]) for r in topk.top_k(df.where("id = 0"), df, k=3).orderBy("rank").collect()]
     assert found == [(2, 1 << 20), (1, -(1 << 48) - (1 << 53))]
-    # components beyond the bound count as the bound; no product wraps
-    bound = 1 << 29
-    far = spark.createDataFrame([(0, [1, 1 << 62]), (1, [-(1 << 62), 1]), (2, [5]), (3, [0, -(1 << 61)])], "id long, v array<long>")
-    found = [(r["id"], r["score"]) for r in topk.top_k(far.where("id = 0"), far).orderBy("rank").collect()]
-    assert found == [(2, 5), (1, 0), (3, -bound * bound)]
+    # sums beyond 64 bits on the way to a total that isn't
+    far = spark.createDataFrame([(0, [1, 1 << 60]), (1, [-(1 << 60), 1]), (2, [5]), (3, [0, -(1 << 61)])], "id long, v array<long>")
+    found = [(r["id"], r["score"]) for r in topk.top_k(far.where("id = 0"), far, k=2).orderBy("rank").collect()]
+    assert found == [(2, 5), (1, 0)]
+    with pytest.raises(Exception, match="a score leaves 64 bits: -"):
+        topk.top_k(far.where("id = 0"), far).collect()
+    with pytest.raises(OverflowError):
+        topk.top_k(far.selectExpr("id", "transform(v, x -> x * 4) AS v").where("id = 0"), far.selectExpr("id", "transform(v, x -> x * 4) AS v"))
     doubles = spark.createDataFrame([(100, [1e3]), (1, [-1e9]), (2, [1.0])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in topk.nearest(doubles).orderBy("rank").collect()] == [2, 1]
 
 
+def test_topk_of_large_components(spark):
+    pad = [0.0] * 63
+    df = spark.createDataFrame([(100, [200000.0, *pad]), (3, [150000.0, *pad]), (4, [160000.0, *pad])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.nearest(df).orderBy("rank").collect()] == [(4, 33554432000000000), (3, 31457280000000000)]
+    with pytest.raises(Exception, match="a component leaves 64 bits"):
+        topk.nearest(spark.createDataFrame([(100, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+@pytest.mark.parametrize(("bits", "nodes"), [(28, 2), (30, 2), (31, 1)])
+def test_topk_of_large_components_equals_exact_integers(spark, bits, nodes):
+    rng = np.random.default_rng(bits)
+    x = rng.integers(-(1 << bits), 1 << bits, (150, 2))
+    x[100:110] = x[:10]  # ties
+    x[0] = [-(1 << bits), (1 << bits) - 1]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<long>")
+    of = [0, 5, 105, 149]
+    assert found_top(df, of, nodes=nodes, listed=10, block=64, query_block=2) == brute_top(x, of)
+
+
+def test_links_of_very_large_and_small_doubles(spark):
+    rows = [(i + 10 * j, [a * 10.0**e, b * 10.0**e], 1) for j, e in enumerate((200, -200, 0)) for i, (a, b) in enumerate(((1.0, 0.1), (1.0, 0.11), (0.1, 1.0)))]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {i + 10 * j: (5, 0) if i < 2 else (2, 2) for j in range(3) for i in range(3)}
+
+
 #: Prose that makes the frequencies of a corpus.
 PROSE = [" ".join(random.Random(i).choices("the of and to in is it that was for on with as are this be by from at have an not they or which you can all work license free use copy under version".split(), k=80)) for i in range(60)]
 

@@ -75,6 +75,9 @@ EMPTY = "a an and are as at be by file for in is it its of on or our package pro
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 THRESHOLD = 0.75
 WINDOW = 3
+#: Notices longer than WINDOW segments begin with these words; windows of more segments, as many as such a notice has in lines of 60 to 100 characters, begin there.
+STARTS = r"\b(?:permission (?:is|to)|redistribution and|the above copyright)\b"
+LONGER = list(range(4, 25, 2))
 FAMILY = r"(?:mit|apache|bsd|gpl|mpl|cc)"
 #: Paths of files that are named as licences: LICENSE, COPYING.txt, MIT-LICENSE, license-apache-2.0.md.
 FILE_NAME = rf"(?i)(?:^|/)(?:{FAMILY}[-_])?(?:licen[cs]e|copying)(?:[-_.](?:{FAMILY}[0-9.]*|by|nc|clause|v?[0-9.]+))*(?:\.(?:txt|md|rst|html?))?$"
@@ -118,8 +121,9 @@ def document_idf(df: DataFrame, text: str) -> DataFrame:
 
 
 def similarities(df: DataFrame, text: str = "text") -> DataFrame:
-    """(h1, h2, pos, segments, license, similarity) of distinct texts (h1 and h2 are their hash): each window of up to WINDOW segments, and the
+    """(h1, h2, pos, segments, license, similarity, mostly) of distinct texts (h1 and h2 are their hash): each window of up to WINDOW segments, longer ones where a notice begins, and the
     whole text as window of no segments (0) at -1, whose cosine to a template reaches THRESHOLD; the most similar template counts, of equals the smaller licence.
+    `mostly`: half of the words of a whole text, by number and not by weight, are a template's that it is so similar to.
     """
     spark, known = df.sparkSession, templates()
     vocabulary = sorted({w for _, _, count in known for w in count})
@@ -138,7 +142,10 @@ def similarities(df: DataFrame, text: str = "text") -> DataFrame:
     hit = cut.withColumn("hit", F.filter(F.sequence(F.lit(0), F.size("segments") - 1), lambda i: F.get("segments", i).rlike(found)))
     starts = [(back, size) for size in range(1, WINDOW + 1) for back in range(size)]
     around = lambda i: F.array(*[F.struct((i - back).alias("at"), F.lit(size).alias("size")) for back, size in starts])
-    windows = hit.select("h1", "h2", "segments", F.explode(F.array_distinct(F.flatten(F.transform("hit", around)))).alias("w")).where((F.col("w.at") >= 0) & (F.col("w.at") < F.size("segments")))
+    begun = F.filter(F.sequence(F.lit(0), F.size("segments") - 1), lambda i: F.get("segments", i).rlike(STARTS))
+    below = lambda i: F.array(*[F.struct(i.alias("at"), F.lit(size).alias("size")) for size in LONGER])
+    both = F.concat(F.flatten(F.transform("hit", around)), F.flatten(F.transform(begun, below)))
+    windows = hit.select("h1", "h2", "segments", F.explode(F.array_distinct(both)).alias("w")).where((F.col("w.at") >= 0) & (F.col("w.at") < F.size("segments")))
     part = F.array_join(F.slice("segments", F.col("w.at") + 1, F.col("w.size")), "\n")
     windows = windows.select("h1", "h2", F.col("w.at").alias("at"), F.col("w.size").alias("segments"), part.alias("part"))
     whole = distinct.select("h1", "h2", F.lit(-1).alias("at"), F.lit(0).alias("segments"), F.lower("text").alias("part"))
@@ -147,28 +154,29 @@ def similarities(df: DataFrame, text: str = "text") -> DataFrame:
     words = checkpoint(words.where(~F.col("term").isin(EMPTY)).groupBy(*unit, "term").agg(F.count("*").alias("n")))
     # the words of the few texts with an anchor, not all documents' words, meet the frequencies
     used = checkpoint(words.select("term").distinct().join(frequencies, "term"))
-    units = checkpoint(words.join(used, "term").select(*unit, "term", (F.col("n") * F.col("idf")).alias("w"), "idf"))
-    norm = units.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    units = checkpoint(words.join(used, "term").select(*unit, "term", (F.col("n") * F.col("idf")).alias("w"), "idf", "n"))
+    norm = units.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("n").alias("size"))
     lengths = {k: math.sqrt(sum((n * idf[w]) ** 2 for w, n in count.items())) for k, _, count in known}
     rows = [f"'{k}', '{name}', '{w}', {n}L, {lengths[k]!r}D" for k, name, count in known for w, n in count.items()]
     template = F.broadcast(constant(spark, "template, license, term, times, length", rows))  # a constant of a few thousand words
-    dot = units.join(template, "term").groupBy(*unit, "template", "license").agg((F.sum(F.col("w") * F.col("times") * F.col("idf")) / F.first("length")).alias("dot"))
+    dot = units.join(template, "term").groupBy(*unit, "template", "license").agg((F.sum(F.col("w") * F.col("times") * F.col("idf")) / F.first("length")).alias("dot"), F.sum("n").alias("covered"))
     scored = dot.join(norm, unit).withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("similarity") >= THRESHOLD)
-    best = scored.groupBy(*unit).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("m"))
-    return best.select("h1", "h2", F.col("at").alias("pos"), "segments", F.col("m.license").alias("license"), (-F.col("m.s")).alias("similarity"))
+    mostly = F.bool_or((F.col("segments") == 0) & (2 * F.col("covered") >= F.col("size"))).alias("mostly")
+    best = scored.groupBy(*unit).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("m"), mostly)
+    return best.select("h1", "h2", F.col("at").alias("pos"), "segments", F.col("m.license").alias("license"), (-F.col("m.s")).alias("similarity"), "mostly")
 
 
 def scan(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """`df` with license, similarity and origin per row; columns of these names are replaced. A text's own licence is that of its most similar window or of
     itself as a whole, the first of equals, and of these the shortest window: origin "own". A text with an own licence is a licence file of its directory if its path is named as one
-    (FILE_NAME) or if its whole text reaches the threshold, whatever its length; of the files of a directory those named as licences count before others, then the most similar, ties to
+    (FILE_NAME) or if its whole text reaches the threshold and half of its words are that template's, whatever its length (so that a source file below a notice is none); of the files of a directory those named as licences count before others, then the most similar, ties to
     the smaller licence. Any other text takes the licence of the nearest directory above it, the top of relative paths included, that has a licence file:
     origin "inherited", else origin "none" and nulls. Null and empty texts have no licence of their own; a null path inherits nothing; rows that repeat
     have the same result each.
     """
     found = checkpoint(similarities(df, text))
     order = F.min(F.struct((-F.col("similarity")).alias("s"), "pos", "segments", "license")).alias("m")
-    own = found.groupBy("h1", "h2").agg(order, F.bool_or(F.col("segments") == 0).alias("file"))
+    own = found.groupBy("h1", "h2").agg(order, F.bool_or("mostly").alias("file"))
     own = checkpoint(own.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("m.license").alias("own"), (-F.col("m.s")).alias("own_similarity"), "file"))
     kept = [c for c in df.columns if c not in ("license", "similarity", "origin")]
     # all columns ride along as one, so that none can clash
@@ -212,17 +220,19 @@ lengths AS (SELECT template, sqrt(sum((times * idf) ** 2)) AS length FROM templa
 split AS (SELECT doc_id, string_split(regexp_replace(lower(coalesce(text, '')), '([.!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
 segments AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS segment FROM split),
 words AS (SELECT doc_id, pos, term, count(*) AS n FROM (SELECT doc_id, pos, unnest(regexp_extract_all(segment, '{TERM}')) AS term FROM segments) WHERE term NOT IN ({empty}) GROUP BY ALL),
+begun AS (SELECT doc_id, pos, size FROM segments, (VALUES {", ".join(f"({n})" for n in LONGER)}) t(size) WHERE regexp_matches(segment, '{STARTS}')),
 units AS (
   SELECT doc_id, pos - back AS pos, segments, term, sum(n) AS n FROM words, place WHERE pos >= back GROUP BY ALL
-  UNION ALL SELECT doc_id, -1, 0, term, sum(n) FROM words GROUP BY ALL),
-weighted AS (SELECT doc_id, pos, segments, term, n * idf AS w, idf FROM units JOIN idf USING (term)),
-norms AS (SELECT doc_id, pos, segments, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY ALL),
+  UNION ALL SELECT doc_id, -1, 0, term, sum(n) FROM words GROUP BY ALL
+  UNION ALL SELECT w.doc_id, b.pos, size, term, sum(n) FROM begun b JOIN words w ON w.doc_id = b.doc_id AND w.pos >= b.pos AND w.pos < b.pos + size GROUP BY ALL),
+weighted AS (SELECT doc_id, pos, segments, term, n, n * idf AS w, idf FROM units JOIN idf USING (term)),
+norms AS (SELECT doc_id, pos, segments, sqrt(sum(w * w)) AS norm, sum(n) AS size FROM weighted GROUP BY ALL),
 scored AS (
-  SELECT doc_id, pos, segments, license, round(dot / length / norm, 6) AS similarity
-  FROM (SELECT doc_id, pos, segments, template, license, sum(w * times * idf) AS dot FROM weighted JOIN template USING (term) GROUP BY ALL) JOIN lengths USING (template) JOIN norms USING (doc_id, pos, segments)
+  SELECT doc_id, pos, segments, license, round(dot / length / norm, 6) AS similarity, segments = 0 AND 2 * covered >= size AS mostly
+  FROM (SELECT doc_id, pos, segments, template, license, sum(w * times * idf) AS dot, sum(n) AS covered FROM weighted JOIN template USING (term) GROUP BY ALL) JOIN lengths USING (template) JOIN norms USING (doc_id, pos, segments)
   WHERE round(dot / length / norm, 6) >= {THRESHOLD}),
 own AS (SELECT doc_id, license, similarity FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, pos, segments, license) = 1),
-whole AS (SELECT DISTINCT doc_id FROM scored WHERE segments = 0),
+whole AS (SELECT DISTINCT doc_id FROM scored WHERE mostly),
 files AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || (doc_id // 64) AS dir FROM documents),
 local AS (SELECT * FROM files LEFT JOIN own USING (doc_id)),
 named AS (SELECT dir AS above, license, similarity FROM local SEMI JOIN whole USING (doc_id) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, license) = 1),

@@ -484,3 +484,28 @@ def test_licences_of_odd_rows(odd, empty):
     found = license_scan.licences(odd).collect()
     assert len(found) == odd.count() and {r["origin"] for r in found} == {"none"}
     assert license_scan.licences(empty).count() == 0
+
+
+COMMON = "def self return import from in is not for if else value name data list item index count result".split()
+
+
+def test_a_source_file_below_a_notice_is_no_licence_file(spark):
+    notice = "Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"
+    rng = random.Random(5)
+    everywhere = [(f"all/{i}/f", " ".join(COMMON)) for i in range(60)]  # words that all documents hold
+    code = "\n".join(" ".join(rng.choices(COMMON, k=7)) for _ in range(30))
+    found = licences_of(spark, [*everywhere, ("src/a/main.py", notice + code), ("src/a/other.py", "text"), ("src/a/b/deep.py", "text"), ("src/c/notice", notice), ("src/c/other.py", "text")])
+    assert found["src/a/main.py"] == ("Apache-2.0", "own")
+    assert found["src/a/other.py"] == found["src/a/b/deep.py"] == (None, "none") and found["src/c/other.py"] == ("Apache-2.0", "inherited")
+
+
+def test_wrapped_notices_over_code(spark):
+    import textwrap
+
+    notices = {name: next(t for t in license_scan.TEXTS[name] if not t.startswith(("MIT", "ISC"))) for name in ("MIT", "BSD-3-Clause", "ISC")}
+    rng = random.Random(6)
+    code = lambda: "\n".join(f"fn_{rng.randint(0, 10**9):x}(arg_{rng.randint(0, 10**9):x}, {rng.randint(0, 10**9)})" for _ in range(60))
+    wrapped = {(name, columns, i): "\n".join(f"{marker}{line}" for line in ["Copyright (c) 2020 Someone", *textwrap.wrap(notices[name], columns)]) for name in notices for columns in (60, 70, 80) for i, marker in enumerate(("", "# ", " * ", "// "))}
+    rows = [(f"{name}/{columns}/{i}/f.py", f"{text}\n{code()}") for (name, columns, i), text in wrapped.items()]
+    found = licences_of(spark, rows)
+    assert {p: found[p] for p, _ in rows} == {p: (p.split("/")[0], "own") for p, _ in rows}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import artifacts, history, lists, made, pages, probes, resampling, stats, store, streams, study, tables, texts
+from folioscope.plans import artifacts, history, lists, made, pages, probes, products, resampling, stats, store, streams, study, tables, texts
 
-MODULES = (pages, made, artifacts, lists, texts, probes, store, history, stats, resampling, study, tables, streams)
+MODULES = (pages, made, artifacts, products, lists, texts, probes, store, history, stats, resampling, study, tables, streams)
 
 
 def queries() -> dict:

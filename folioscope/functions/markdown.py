@@ -47,26 +47,28 @@ TEXT, OPENS, BODY, CLOSES = range(4)
 LONG_SECTION, MOST_CONSTANTS, MOST_VERSIONS, PREVIEW = 600, 12, 10, 120
 
 
-@pandas_udf(ArrayType(IntegerType()))
-def line_marks(text: pd.Series) -> pd.Series:
+FENCED = re.compile(FENCE)
+
+
+def marks_of(text: str | None) -> list[int]:
     """Of each line whether it is text, opens a fenced block, is inside or closes one. Only the same character closes, at least as often, and nothing behind it."""
-    fence = re.compile(FENCE)
+    out, opener = [], None
+    for line in (text or "").split("\n"):
+        found = FENCED.match(line)
+        if opener is None:
+            out.append(OPENS if found else TEXT)
+            opener = found[1] if found else None
+        elif found and found[1].startswith(opener) and not found[2].strip():
+            out.append(CLOSES)
+            opener = None
+        else:
+            out.append(BODY)
+    return out
 
-    def marks(value: str) -> list[int]:
-        out, opener = [], None
-        for line in (value or "").split("\n"):
-            found = fence.match(line)
-            if opener is None:
-                out.append(OPENS if found else TEXT)
-                opener = found[1] if found else None
-            elif found and found[1].startswith(opener) and not found[2].strip():
-                out.append(CLOSES)
-                opener = None
-            else:
-                out.append(BODY)
-        return out
 
-    return text.map(marks)
+@pandas_udf(ArrayType(IntegerType()))
+def line_marks(text: pd.Series) -> pd.Series:
+    return text.map(marks_of)
 
 
 def words(text: Column) -> Column:
@@ -87,7 +89,7 @@ def some(column: str, wanted) -> Column:
 
 def with_lines(pages: DataFrame) -> DataFrame:
     """`pages` with the lines of the text, the headings (line from 0, level) and the blocks (line from 1, tag, whether closed, body) of each."""
-    rows = pages.withColumn("marks", line_marks("text")).withColumn("lines", F.split("text", "\n", -1))
+    rows = (pages if "marks" in pages.columns else pages.withColumn("marks", line_marks("text"))).withColumn("lines", F.split("text", "\n", -1))
     at = lambda kind: F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("marks", i) == kind)
     rows = rows.withColumn("opens", at(OPENS)).withColumn("closes", at(CLOSES)).withColumn("outside", at(TEXT))
     level = lambda i: F.length(F.regexp_extract(F.get("lines", i), HEADING, 1))
@@ -197,9 +199,10 @@ def metadata() -> tuple[dict[str, Column], Column]:
 
 def page_facts(pages: DataFrame, acronyms: list[str] = ACRONYMS) -> DataFrame:
     """(url, format, metadata, structure, links, code, specifics) of (url, format, head_html, json_ld, markdown); a missing format is html, a missing text
-    empty. `acronyms` are words in capitals that are no constants; a documentation set adds its own.
+    empty. `acronyms` are words in capitals that are no constants; a documentation set adds its own. Pages that come with the `marks` of their lines keep them.
     """
-    rows = with_lines(pages.select("url", F.coalesce("format", F.lit("html")).alias("format"), "head_html", F.coalesce("json_ld", F.array().cast("array<string>")).alias("json_ld"), F.coalesce("markdown", F.lit("")).alias("text")))
+    marked = ["marks"] if "marks" in pages.columns else []
+    rows = with_lines(pages.select(*marked, "url", F.coalesce("format", F.lit("html")).alias("format"), "head_html", F.coalesce("json_ld", F.array().cast("array<string>")).alias("json_ld"), F.coalesce("markdown", F.lit("")).alias("text")))
     facts = {"specifics": specifics()}
     for name, (steps, found) in {"structure": structure(), "links": links(), "code": code(acronyms), "metadata": metadata()}.items():
         for step, column in steps.items():

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 from folioscope.functions import checks, urls
 from folioscope.functions.markdown import VAGUE, page_facts
 from folioscope.functions.num import half_up as half_up_column
-from folioscope.operators import retrieval, rollup, texts
+from folioscope.operators import rollup, texts
 from folioscope.plans.remap import half_up, read
 from folioscope.plans.tables import HOST
 from folioscope.session import spread, workers_find_library
 from folioscope.sources.html import read_pages
-from folioscope.sources.reports import parse_reports
 
 
 def facts(spark, sf_dir):
     workers_find_library(spark)
-    return page_facts(read_pages(spread(read(spark, sf_dir, "pages").select("url", "html"))))
+    return page_facts(read_pages(spread(read(spark, sf_dir, "pages").select("url", "html")), marks=True))
 
 
 def page_checks(spark, sf_dir):
@@ -52,6 +51,11 @@ def facts_texts(spark, sf_dir):
     return texts.facts_text(facts(spark, sf_dir)).select("url", F.length("text").cast("long").alias("length"), F.md5("text").alias("md5"))
 
 
+def facts_reports(spark, sf_dir):
+    """All facts of the given pages as text, up to the specifics."""
+    return texts.facts_report(facts(spark, sf_dir)).select("url", F.substring_index("text", "\n### Specifics", 1).alias("text"))
+
+
 def page_texts(spark, sf_dir):
     workers_find_library(spark)
     found = texts.page_text(read_pages(spread(read(spark, sf_dir, "pages").select("url", "html"))))
@@ -74,63 +78,6 @@ def specifics_density(spark, sf_dir):
     return rows.withColumn("density", F.when(F.col("words") > 0, half_up_column(F.col("numerals") / F.col("words") * 1000)).otherwise(0.0))
 
 
-ANSWERS = [
-    ("a", "See https://docs.example/guide/start.", ["https://www.docs.example/guide/start/"], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
-    ("b", "Read docs.example/guide/start for this", [], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
-    ("c", "Read docs.example/guide/start-v2 for this", [], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
-    ("d", "It is in docs.example/guide/next", ["https://docs.example/guide/next.md?x=1"], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
-    ("e", "Elsewhere: https://other.example/a", ["https://other.example/a"], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
-    ("f", "No link", [], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
-    ("g", "See https://docs.example/guide/start", [], ["https://docs.example/guide/start"], [], "closed"),
-    ("h", None, None, None, None, "web"),
-]
-
-
-def retrieval_tier(spark, sf_dir):
-    rows = spark.createDataFrame(ANSWERS, "id string, answer string, cited_urls array<string>, expected_urls array<string>, scope_urls array<string>, mode string")
-    return retrieval.verdicts(rows).select("id", "hit", "via", "tier")
-
-
-REPORT = """# Audit: Getting started
-
-- **URL:** https://docs.example/guide/start
-- **Analyzed:** 2026-01-02
-
-## ABC Score: 71.5/100 — Strong
-
-| Dimension | Weight | Score | Weighted |
-|---|---|---|---|
-""" + "".join(f"| Dimension {'abcdefghi'[i]} | {12 if i == 8 else 11} | {i} | {i * (1.2 if i == 8 else 1.1):.1f} |\n" for i in range(9)) + """| **Total** | **100** | | **40.4** |
-
-## Dimension analysis
-
-1. **Dimension a:** first
-   goes on
-- **Dimension b** — second
-**Dimension c:** third
-
-## Prioritized recommendations
-
-### Tier 1
-
-- **[P1] Say it plainly** — *Maps to: Dimension a*
-  - **Where:** top
-  - **Issue:** long
-    line
-
-## Anti-patterns found
-
-- one
-- two
-"""
-
-
-def audit_parse(spark, sf_dir):
-    workers_find_library(spark)
-    rows = spark.createDataFrame([("good", REPORT), ("short", REPORT.replace("| Dimension c | 11 | 2 | 2.2 |\n", "")), ("none", None)], "id string, text string")
-    return parse_reports(rows, ["id"]).select("id", "score", "band", F.size("dimensions").alias("dimensions"), F.size("recommendations").alias("recommendations"), "error")
-
-
 #: What the given pages hold: one article with one heading, no code, links, structured data or canonical address; a short article leaves the choice to the body, which has an advertisement too.
 COUNTED = lambda text: f"len(list_filter(regexp_split_to_array(trim({text}), '\\s+'), lambda w: w <> ''))"
 SPACED = lambda html: f"regexp_replace(regexp_replace({html}, '<(?:br|/?p|/h1)>', ' ', 'g'), '<[^>]*>', '', 'g')"
@@ -141,12 +88,15 @@ CHECKS = [("jsonld-valid", 8, "'warn'"), ("declared-language", 10, "NULL"), ("en
 ROLLED = f"""{PAGES}, v AS ({" UNION ALL ".join(f"SELECT host, '{c}' AS \"check\", {i} AS ord, {w} AS weight, CAST({v} AS VARCHAR) AS verdict FROM p" for i, (c, w, v) in enumerate(CHECKS))}),
   c AS (SELECT host, "check", ord, weight, count(*) FILTER (verdict = 'pass') AS pass, count(*) FILTER (verdict = 'warn') AS warn, count(*) FILTER (verdict = 'fail') AS fail, count(verdict) AS evaluated, count(*) - count(verdict) AS not_applicable,
     CASE WHEN count(verdict) > 0 THEN {half_up("(count(*) FILTER (verdict = 'pass') + 0.5::DOUBLE * count(*) FILTER (verdict = 'warn')) / count(verdict)", 3)} END AS points FROM v GROUP BY ALL)"""
-FIXED = {"a": ("true", "'citation'", "'exact'"), "b": ("true", "'mention'", "'exact'"), "c": ("false", "NULL", "'none'"), "d": ("false", "NULL", "'in-scope'"), "e": ("false", "NULL", "'out-of-scope'"), "f": ("false", "NULL", "'none'"), "g": ("NULL", "NULL", "NULL"), "h": ("false", "NULL", "NULL")}
 COUNT = "len(regexp_extract_all(coalesce(text, ''), '(?:^|[^A-Za-z0-9_.])([0-9][0-9,]*(?:\\.[0-9]+)?)'))"
 VAGUE_SQL = " + ".join(f"contains(low, '{v}')::BIGINT" for v in VAGUE)
 SQL = {
     "page_structure": f"""WITH {PAGES} SELECT url, 1 AS "headingCount", 1 AS "h1Count", 0 AS "headingLevelSkips", 1 AS "maxHeadingDepth", 1 AS "sectionCount", n - h AS "medianSectionWords", n - h AS "maxSectionWords", CASE WHEN n - h > 600 THEN 1 ELSE 0 END AS "oversizedSections",
       0 AS "tableCount", 0 AS "bulletCount", n + 1 + ad AS "wordCount", 0 AS "codeFences", 0 AS "untaggedFences" FROM p""",
+    "facts_reports": f"""WITH {PAGES} SELECT url, concat_ws(chr(10), '### Metadata', '- structured data blocks: 0; types: -; unreadable: 0', '- canonical: unknown; language: unknown; description: unknown', '- published: unknown; modified: unknown; the same: false', '- programming language: unknown; fences: -; mismatch: unknown',
+      '- keywords: 0; stopwords: -', '- about entries: 0; from a template: 0; repeated names: 0', '- og tags: 0; twitter tags: 0', '### Structure', '- headings: 1; first level: 1; deepest level: 1; level skips: 0',
+      '- sections: 1; median words: ' || (n - h) || '; most words: ' || (n - h) || '; oversized: ' || CASE WHEN n - h > 600 THEN 1 ELSE 0 END, '- tables: 0; bullets: 0; words: ' || (n + 1 + ad), '### Code', '- blocks: 0; of three lines or more: 0; untagged: 0; unclosed at: -', '- languages: -',
+      '- blocks that need imports: 0; without: 0', '- placeholders: 0; constants without a value: -', '### Citations', '- links: 0; internal: 0; external: 0; primary: 0', '- primary hosts: -', '- opaque texts: 0') AS text FROM p""",
     "page_links": 'SELECT url, 0 AS total, 0 AS internal, 0 AS "external" FROM pages',
     "check_points_by_host": f'WITH {ROLLED} SELECT host, "check", pass, warn, fail, evaluated, not_applicable, points, CASE WHEN warn + fail > 0 THEN least(25, warn + fail) END AS findings FROM c',
     "page_rollup_by_host": f"WITH {ROLLED} SELECT host, {half_up('sum(round(points * 1000)::BIGINT * weight) FILTER (points IS NOT NULL) / 1000.0::DOUBLE / sum(weight) FILTER (points IS NOT NULL) * 100', 1)} AS score, CAST(sum(weight) FILTER (points IS NOT NULL) AS BIGINT) AS scored_weight, max(evaluated + not_applicable) AS pages FROM c GROUP BY host",
@@ -154,7 +104,5 @@ SQL = {
     "specifics_density": f"""WITH r AS (SELECT doc_id, lower(coalesce(text, '')) AS low, len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS words, {COUNT} AS numerals FROM documents)
       SELECT doc_id, words, numerals, {VAGUE_SQL} AS vague, CASE WHEN words > 0 THEN {half_up('numerals::DOUBLE / words * 1000', 0)} ELSE 0.0::DOUBLE END AS density FROM r""",
     "probe_set_ids": """SELECT p_partkey % 40 AS page, substring(sha256('[' || string_agg('{"id":' || p_partkey || ',"prompt":"' || p_name || '"}', ',' ORDER BY p_partkey) || ']'), 1, 12) AS probe_set_id FROM part GROUP BY 1""",
-    "retrieval_tier": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {h}, {v}, {t})" for k, (h, v, t) in FIXED.items()) + ") t(id, hit, via, tier)",
-    "audit_parse": "SELECT * FROM (VALUES ('good', 71.5::DOUBLE, 'Strong', 9, 1, NULL), ('short', NULL, NULL, NULL, NULL, '8 dimension rows, not 9'), ('none', NULL, NULL, NULL, NULL, 'no title')) t(id, score, band, dimensions, recommendations, error)",
 }
-QUERIES = [page_rollup_by_host, check_points_by_host, potential_fixes, page_structure, page_links, facts_texts, page_texts, probe_set_ids, specifics_density, retrieval_tier, audit_parse]
+QUERIES = [page_rollup_by_host, check_points_by_host, potential_fixes, page_structure, page_links, facts_texts, facts_reports, page_texts, probe_set_ids, specifics_density]

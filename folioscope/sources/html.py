@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.markdown import marks_of
+
 #: Elements that are no content, and where content is looked for, best first.
 NOISE_TAGS = {"script", "style", "noscript", "svg", "iframe", "nav", "header", "footer", "aside"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo"}
@@ -179,8 +181,11 @@ def ancestry(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def read_pages(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
-    """(url, format, title, head_html, json_ld, markdown) of raw pages. URLs ending in .md hold markdown already. Null bodies are empty pages."""
+def read_pages(pages: DataFrame, url: str = "url", body: str = "html", marks: bool = False) -> DataFrame:
+    """(url, format, title, head_html, json_ld, markdown) of raw pages. URLs ending in .md hold markdown already. Null bodies are empty pages.
+    With `marks` also those of the markdown's lines, which `page_facts` would mark in a pass of its own.
+    """
+    names = ["url", "format", "title", "head_html", "json_ld", "markdown"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -191,7 +196,8 @@ def read_pages(pages: DataFrame, url: str = "url", body: str = "html") -> DataFr
                     rows.append({"format": "markdown", "title": first[1].strip() if first else address, "head_html": None, "json_ld": [], "markdown": text or ""})
                 else:
                     rows.append(extract(address or "", text or ""))
-            yield pd.DataFrame(rows, columns=["format", "title", "head_html", "json_ld", "markdown"]).assign(url=part["url"].values)[["url", "format", "title", "head_html", "json_ld", "markdown"]]
+            out = pd.DataFrame(rows, columns=names[1:]).assign(url=part["url"].values)
+            yield out.assign(marks=out["markdown"].map(marks_of))[[*names, "marks"]] if marks else out[names]
 
     shaped = pages.select(F.col(url).alias("url"), F.col(body).alias("body"))
-    return shaped.mapInPandas(run, "url string, format string, title string, head_html string, json_ld array<string>, markdown string")
+    return shaped.mapInPandas(run, "url string, format string, title string, head_html string, json_ld array<string>, markdown string" + (", marks array<int>" if marks else ""))

@@ -5,11 +5,56 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.checks import assessments, registry
 from folioscope.functions.markdown import page_facts
-from folioscope.operators import cost, probes, resampling, rollup, stats, store, views
+from folioscope.operators import cost, probes, resampling, retrieval, rollup, stats, store, views
 from folioscope.sources import ledger, reports
 from folioscope.sources import store as files
 
 
+REPORT = """# Audit: Getting started
+
+- **URL:** https://docs.example/guide/start
+- **Analyzed:** 2026-01-02
+
+## ABC Score: 71.5/100 — Strong
+
+| Dimension | Weight | Score | Weighted |
+|---|---|---|---|
+""" + "".join(f"| Dimension {'abcdefghi'[i]} | {12 if i == 8 else 11} | {i} | {i * (1.2 if i == 8 else 1.1):.1f} |\n" for i in range(9)) + """| **Total** | **100** | | **40.4** |
+
+## Dimension analysis
+
+1. **Dimension a:** first
+   goes on
+- **Dimension b** — second
+**Dimension c:** third
+
+## Prioritized recommendations
+
+### Tier 1
+
+- **[P1] Say it plainly** — *Maps to: Dimension a*
+  - **Where:** top
+  - **Issue:** long
+    line
+
+## Anti-patterns found
+
+- one
+- two
+"""
+
+ANSWERS = [
+    ("a", "See https://docs.example/guide/start.", ["https://www.docs.example/guide/start/"], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
+    ("b", "Read docs.example/guide/start for this", [], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
+    ("c", "Read docs.example/guide/start-v2 for this", [], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
+    ("d", "It is in docs.example/guide/next", ["https://docs.example/guide/next.md?x=1"], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
+    ("e", "Elsewhere: https://other.example/a", ["https://other.example/a"], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
+    ("f", "No link", [], ["https://docs.example/guide/start"], ["https://docs.example/guide/next"], "web"),
+    ("g", "See https://docs.example/guide/start", [], ["https://docs.example/guide/start"], [], "closed"),
+    ("h", None, None, None, None, "web"),
+]
+
+
 def test_facts_hold_no_verdict(spark):
     names = page_facts(spark.createDataFrame([], "url string, format string, head_html string, json_ld array<string>, markdown string")).schema.simpleString().lower()
     assert not any(word in names for word in ("score", "grade", "severity", "verdict", "pass", "fail", "status"))
@@ -173,11 +218,15 @@ def test_store_files(spark, tmp_path):
 
 
 def test_report_variants():
-    from folioscope.plans.pages import REPORT
-
     found = reports.parse(REPORT)
     assert found["score"] == 71.5 and found["band"] == "Strong" and [d["analysis"] for d in found["dimensions"]][:3] == ["first goes on", "second", "third"]
     assert found["recommendations"][0]["issue"] == "long line" and found["recommendations"][0]["tier"] == "Tier 1" and found["anti_patterns"] == ["one", "two"]
     for broken, error in ((REPORT.replace("| **Total**", "| Sum"), "Total"), (REPORT.replace("| Dimension a | 11", "| Dimension a | 12"), "weights"), (REPORT.replace("## ABC Score", "## Marks"), "score line")):
         with pytest.raises(ValueError, match=error):
             reports.parse(broken)
+
+
+def test_tiers_of_answers(spark):
+    rows = spark.createDataFrame(ANSWERS, "id string, answer string, cited_urls array<string>, expected_urls array<string>, scope_urls array<string>, mode string")
+    want = {"a": (True, "citation", "exact"), "b": (True, "mention", "exact"), "c": (False, None, "none"), "d": (False, None, "in-scope"), "e": (False, None, "out-of-scope"), "f": (False, None, "none"), "g": (None, None, None), "h": (False, None, None)}
+    assert {r["id"]: (r["hit"], r["via"], r["tier"]) for r in retrieval.verdicts(rows).collect()} == want

@@ -161,8 +161,8 @@ def field(node: Column, path: str, kind: str = "string") -> Column:
 
 
 def metadata() -> tuple[dict[str, Column], Column]:
-    """The nodes of the JSON-LD blocks as variants, the one that describes the article, and facts of them and of the head, whose tags stand one in a line.
-    A block that doesn't parse is an error, not a loss.
+    """The nodes of the JSON-LD blocks as variants, the one that describes the article, and facts of them and of the head. A block that doesn't parse is an error, not a loss.
+    The head is read in the form that sources/html.py writes, whatever order the page's own attributes have: one tag a line, the name before the content.
     """
     is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
     opened = lambda v: F.coalesce(field(v, "$['@graph']", "array<variant>"), F.array(v))

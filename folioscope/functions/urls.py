@@ -29,10 +29,15 @@ def normalize_url(url: Column) -> Column:
     return F.concat(host_of(url), path)
 
 
+#: Fixed patterns: addresses in a text, the punctuation that closes them, and two shapes of keys.
+BODY_URL, CLOSING = r"""(https?://[^\s)\]}"'`<>]+)""", "[.,;:!?]+$"
+KEYS = [r"sk-[a-z]{2,6}-[A-Za-z0-9_-]{10,}", r"\bsk-[A-Za-z0-9]{20,}\b"]
+
+
 def body_urls(text: Column) -> Column:
     """Distinct http(s) URLs of a text in order, without closing punctuation."""
-    found = F.regexp_extract_all(text, F.lit(r"""(https?://[^\s)\]}"'`<>]+)"""), 1)
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, "[.,;:!?]+$", "")))
+    found = F.regexp_extract_all(text, F.lit(BODY_URL), 1)
+    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, CLOSING, "")))
 
 
 def mentions(answer: Column, key: Column) -> Column:
@@ -98,7 +103,7 @@ def redact(text: Column, secrets: Column | None = None) -> Column:
     """Key-shaped substrings, and each literal of `secrets` of over 8 characters, as [redacted]."""
     if secrets is not None:
         text = F.aggregate(F.filter(secrets, lambda s: F.length(s) > 8), text, lambda acc, s: F.replace(acc, s, F.lit("[redacted]")))
-    return F.regexp_replace(F.regexp_replace(text, r"sk-[a-z]{2,6}-[A-Za-z0-9_-]{10,}", "[redacted]"), r"\bsk-[A-Za-z0-9]{20,}\b", "[redacted]")
+    return F.regexp_replace(F.regexp_replace(text, KEYS[0], "[redacted]"), KEYS[1], "[redacted]")
 
 
 def short_hash(text: Column, digits: int = 16) -> Column:

@@ -99,8 +99,8 @@ def funnel(results: DataFrame, by: list[str]) -> DataFrame:
 
 def paired_lift(results: DataFrame, by: list[str]) -> DataFrame:
     """Probes graded in both modes: mean fidelity of each, mean lift, and searches per probe."""
-    side = lambda mode: results.where((F.col("mode") == mode) & graded()).groupBy(*by, "probe_id").agg(F.max("fidelity").alias(mode), F.max("searches_attempted").alias(f"searches_{mode}"))
-    both = side("web").join(side("closed"), [*by, "probe_id"])
+    of = lambda mode, value: F.max(F.when((F.col("mode") == mode) & graded(), F.col(value)))
+    both = results.groupBy(*by, "probe_id").agg(of("web", "fidelity").alias("web"), of("closed", "fidelity").alias("closed"), of("web", "searches_attempted").alias("searches_web")).where("web is not null and closed is not null")
     return both.groupBy(*by).agg(F.count("*").alias("pairs"), half_up(F.avg("web"), 4).alias("paired_web"), half_up(F.avg("closed"), 4).alias("paired_closed"), half_up(F.avg(F.col("web") - F.col("closed")), 4).alias("lift"), half_up(F.avg("searches_web"), 4).alias("searches_per_probe"))
 
 

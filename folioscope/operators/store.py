@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.num import band, half_up, ratio
+from folioscope.operators.sampling import numbered
 
 #: The columns of the page index, and the legal changes of a run's status.
 INDEX_FIELDS = ["page_key", "url", "title", "score", "band", "fidelity", "mode", "run_id", "at"]
@@ -42,7 +43,9 @@ def run_health(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fingerprint(*parts: Column) -> Column:
-    return F.concat_ws("|", *[F.coalesce(p, F.lit("unknown")) for p in parts])
+    """The parts of a protocol in one text; a bar inside a part is written as a browser would, so that parts can be told apart again."""
+    plain = lambda p: F.replace(F.replace(p, F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C"))
+    return F.concat_ws("|", *[plain(F.coalesce(p.cast("string"), F.lit("unknown"))) for p in parts])
 
 
 def trend_points(runs: DataFrame) -> DataFrame:
@@ -88,8 +91,8 @@ def trend_delta(points: DataFrame, field: str = "score") -> DataFrame:
 def append_points(points: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new points, one for each run, the new one first: appending twice changes nothing."""
     both = points.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    last = Window.partitionBy("run_id").orderBy(F.desc("_new"))
-    return both.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", "_new")
+    last = F.max_by(F.struct(*points.columns), "_new").alias("_last")
+    return both.groupBy("run_id").agg(last).select("_last.*")
 
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
@@ -142,7 +145,8 @@ def product_aggregates(pages: DataFrame, by: list[str]) -> DataFrame:
     names = ("excellent", "strong", "good", "fair", "poor")
     found = target_rollup(pages.where("target_type <> 'page'"), by).where("audited > 0")
     bands = F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"band_{n}"))])
-    return found.withColumn("bands", bands).withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("mean_score", F.lit(999.0)), *by)))
+    found = found.withColumn("_rank", F.coalesce("mean_score", F.lit(999.0)))
+    return numbered(found.withColumn("bands", bands), [], ["_rank", *by], "_place").withColumn("place", (F.col("_place") + 1).cast("int")).drop("_rank", "_place")
 
 
 def run_list(runs: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, BooleanType
 
 from folioscope.functions.num import half_up, ratio
 from folioscope.functions.urls import slug
+from folioscope.operators.sampling import numbered
 
 
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -35,8 +36,9 @@ def groups(df: DataFrame, by: Column, first: list[str] | None = None) -> DataFra
     name = F.coalesce(by.cast("string"), F.lit("(none)"))
     sized = df.groupBy(name.alias("group")).agg(F.count("*").alias("size"))
     rank = F.array_position(F.array(*map(F.lit, first)), F.col("group")) if first else F.lit(0)
-    keys = [F.when(F.col("group") == "(none)", 2).when(rank > 0, 0).otherwise(1), F.when(rank > 0, rank).otherwise(0), F.desc("size"), F.lower("group"), F.col("group")]
-    return sized.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
+    keys = {"k0": F.when(F.col("group") == "(none)", 2).when(rank > 0, 0).otherwise(1), "k1": F.when(rank > 0, rank).otherwise(0), "k2": -F.col("size"), "k3": F.lower("group")}
+    placed = numbered(sized.select("*", *[c.alias(k) for k, c in keys.items()]), [], [*keys, "group"], "nth")
+    return placed.select("group", "size", (F.col("nth") + 1).cast("int").alias("place"))
 
 
 def matrix(probes: DataFrame, runs: DataFrame, results: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,8 +72,10 @@ def systemic(dims: DataFrame, product: str, page: str) -> DataFrame:
 
 def shares(df: DataFrame, by: str) -> DataFrame:
     """(by, n, share of all)."""
-    counted = df.groupBy(by).agg(F.count("*").alias("n"))
-    return counted.withColumn("share", half_up(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 4))
+    one = F.lit(1).alias("one")
+    whole = df.groupBy(one).agg(F.count("*").alias("all"))  # one row, from partial counts
+    counted = df.groupBy(by, one).agg(F.count("*").alias("n")).join(whole, "one")
+    return counted.select(by, "n", half_up(F.col("n") / F.col("all"), 4).alias("share"))
 
 
 def uniqueness_violations(df: DataFrame, key: str, value: str, shown: int = 5) -> DataFrame:

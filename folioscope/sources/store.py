@@ -31,10 +31,10 @@ def page_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def preferred_audit(files: DataFrame) -> DataFrame:
-    """The audit of each page: audit.md before other audit files, then the later name."""
-    rank = F.when(F.col("name") == "audit.md", 0).otherwise(1)
+    """The audit of each page: a probe-informed one, else audit.md, else the first name."""
+    rank = F.when(F.col("name") == "audit-probe-informed.md", 0).when(F.col("name") == "audit.md", 1).otherwise(2)
     audits = files.where(F.col("name").rlike(r"^audit.*\.md$"))
-    best = audits.groupBy("run_id", "page_key").agg(F.min_by(F.struct("name", "text"), F.struct(rank, F.length("name"), "name")).alias("a"))
+    best = audits.groupBy("run_id", "page_key").agg(F.min_by(F.struct("name", "text"), F.struct(rank, "name")).alias("a"))
     return best.select("run_id", "page_key", "a.name", "a.text")
 
 

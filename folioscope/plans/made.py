@@ -11,7 +11,7 @@ from folioscope.functions.num import half_up as half_up_column
 from folioscope.operators import probes, retrieval, rollup, texts, views
 from folioscope.operators import runs as run_ops
 from folioscope.plans.remap import RUNS, half_up, mapped, read, runs
-from folioscope.session import shared_folder, workers_find_library
+from folioscope.session import shared_folder, spread, workers_find_library
 from folioscope.sources import ledger, reports, store
 
 #: Assessments of `lineitem`: a product's pages under ten checks.
@@ -194,7 +194,7 @@ def audits_parsed(spark, sf_dir):
     """Reports to fields; a report that breaks a rule has an error."""
     workers_find_library(spark)
     rows = ", ".join(DIMENSION.format(i=i, c="abcdefghi"[i]) for i in range(9))
-    made = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(REPORT.replace("{rows}", rows)).alias("text"))
+    made = spread(read(spark, sf_dir, "orders")).select("o_orderkey", F.expr(REPORT.replace("{rows}", rows)).alias("text"))
     found = reports.parse_reports(made, ["o_orderkey"])
     r = F.get("recommendations", F.lit(0))
     dims = F.array_join(F.transform("dimensions", lambda d: F.concat_ws(":", d["name"], d["weight"], d["score"], d["weighted"], F.coalesce(d["analysis"], F.lit("-")))), ";")

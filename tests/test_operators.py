@@ -1,11 +1,16 @@
 """Semantics of operators on small inputs."""
 
+import random
+
 import pytest
+import report_oracle
 from pyspark.sql import functions as F
 
 from folioscope.functions.checks import assessments, registry
 from folioscope.functions.markdown import page_facts
 from folioscope.operators import cost, probes, resampling, retrieval, rollup, stats, store, views
+from folioscope.plans.artifacts import ROWS
+from folioscope.plans.made import REPORT as MADE
 from folioscope.sources import ledger, reports
 from folioscope.sources import store as files
 
@@ -217,13 +222,34 @@ def test_store_files(spark, tmp_path):
     assert lines == b'id,t\r\n1,"a""b"\r\n2,\r\n'
 
 
-def test_report_variants():
-    found = reports.parse(REPORT)
-    assert found["score"] == 71.5 and found["band"] == "Strong" and [d["analysis"] for d in found["dimensions"]][:3] == ["first goes on", "second", "third"]
-    assert found["recommendations"][0]["issue"] == "long line" and found["recommendations"][0]["tier"] == "Tier 1" and found["anti_patterns"] == ["one", "two"]
-    for broken, error in ((REPORT.replace("| **Total**", "| Sum"), "Total"), (REPORT.replace("| Dimension a | 11", "| Dimension a | 12"), "weights"), (REPORT.replace("## ABC Score", "## Marks"), "score line")):
-        with pytest.raises(ValueError, match=error):
-            reports.parse(broken)
+def test_report_variants(spark):
+    texts = {"good": REPORT, "total": REPORT.replace("| **Total**", "| Sum"), "weights": REPORT.replace("| Dimension a | 11", "| Dimension a | 12"), "score": REPORT.replace("## ABC Score", "## Marks"), "short": REPORT.replace("| Dimension c | 11 | 2 | 2.2 |\n", ""), "none": None}
+    got = {r["id"]: r for r in reports.parse_reports(spark.createDataFrame(list(texts.items()), "id string, text string"), ["id"]).collect()}
+    good = got["good"]
+    assert good["score"] == 71.5 and good["band"] == "Strong" and [d["analysis"] for d in good["dimensions"]][:3] == ["first goes on", "second", "third"]
+    assert good["recommendations"][0]["issue"] == "long line" and good["recommendations"][0]["tier"] == "Tier 1" and good["anti_patterns"] == ["one", "two"]
+    assert {k: r["error"] for k, r in got.items()} == {"good": None, "total": "no Total row", "weights": "weights sum to 101", "score": "no score line", "short": "8 dimension rows, not 9", "none": "no title"}
+    assert got["short"]["title"] is None and got["short"]["dimensions"] is None
+
+
+def test_reports_equal_a_reading_by_lines(spark, sf_dir):
+    rng = random.Random(1)
+    more = ["  - **Why:** because\n    of this", "  - **Change:** x\n\n    y", "### Tier 9", "- **[P4] T** — *Maps to: Z*", "- **[P5] bad** tail", "- loose", "", "**Dimension d:** more", "- **dimension**: short", "2) **Dimension b** : other", "text", "## Off-page notes", "- n1\n  n2", "| x | 1 | 2/10 | 3 |", "## Probe-informed diagnosis\n\n**ABC score vs probe fidelity:** off by 3", "**URL:** u2"]
+    base = [REPORT, f"```markdown\n{REPORT}\n```\n", *[r[0] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").limit(40).select(F.expr(MADE.replace("{rows}", ROWS))).collect()]]
+    texts = list(base)
+    for _ in range(300):
+        lines = rng.choice(base).split("\n")
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(lines))
+            lines[at : at + (rng.random() < 0.4)] = rng.choice(more).split("\n") if rng.random() < 0.6 else []
+        texts.append("\n".join(lines))
+    got = {r["i"]: r.asDict(True) for r in reports.parse_reports(spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4), ["i"]).collect()}
+    for i, text in enumerate(texts):
+        try:
+            want = report_oracle.parse(text) | {"error": None}
+        except ValueError as error:
+            want = dict.fromkeys(report_oracle.FIELDS) | {"error": str(error)}
+        assert got[i] == want | {"i": i}, text
 
 
 def test_tiers_of_answers(spark):

@@ -22,7 +22,7 @@ def events(spark, sf_dir):
 
 
 def finished(frame, mode: str):
-    """What a stream has written to the shared folder when its input is read: its last batch in complete mode, all batches in append mode."""
+    """What a stream has written to the shared folder when its input is read: its last batch in complete mode, all batches in append and update mode."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(streams.batch_writer(f"{path}/out")).trigger(availableNow=True).start()
@@ -34,7 +34,9 @@ def finished(frame, mode: str):
 
 
 def stream_run_state(spark, sf_dir):
-    return finished(streams.run_states(events(spark, sf_dir)), "complete").select("run_id", "status", "changes")
+    # each micro-batch writes the runs that it changes; the row of the most changes is a run's last
+    found = finished(streams.run_states(events(spark, sf_dir)), "update")
+    return found.groupBy("run_id").agg(F.max_by("status", "changes").alias("status"), F.max("changes").alias("changes"))
 
 
 def stream_windows(spark, sf_dir):

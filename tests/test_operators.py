@@ -256,3 +256,19 @@ def test_tiers_of_answers(spark):
     rows = spark.createDataFrame(ANSWERS, "id string, answer string, cited_urls array<string>, expected_urls array<string>, scope_urls array<string>, mode string")
     want = {"a": (True, "citation", "exact"), "b": (True, "mention", "exact"), "c": (False, None, "none"), "d": (False, None, "in-scope"), "e": (False, None, "out-of-scope"), "f": (False, None, "none"), "g": (None, None, None), "h": (False, None, None)}
     assert {r["id"]: (r["hit"], r["via"], r["tier"]) for r in retrieval.verdicts(rows).collect()} == want
+
+
+def test_parts_of_a_protocol_may_hold_bars(spark):
+    schema = "run_id int, at string, status string, target_type string, target_name string, score int, fidelity int, grader_model string, probe_model string, probe_effort string, mode string, grader_prompt_sha string"
+    rows = [(i, str(i), "complete", "page", "p", 1, 1, g, m, "low", "web", "s") for i, (g, m) in enumerate([("g|a", "x"), ("g|b", "x"), ("g", "a|x"), ("g%7Ca", "x")])]
+    points = store.trend_points(spark.createDataFrame(rows, schema))
+    assert points.select("fingerprint").distinct().count() == 4
+    got = [r["reason"] for r in store.discontinuities(points).orderBy("at").collect()]
+    assert got == ["grader changed", "grader changed, probe model changed", "grader changed, probe model changed"]
+
+
+def test_shares_and_places_of_groups(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("A",), ("z",)], "g string")
+    assert {r["g"]: r["share"] for r in views.shares(rows, "g").collect()} == {"a": 0.1667, "b": 0.3333, None: 0.1667, "A": 0.1667, "z": 0.1667}
+    got = [(r["group"], r["size"]) for r in views.groups(rows, F.col("g"), ["z"]).orderBy("place").collect()]
+    assert got == [("z", 1), ("b", 2), ("A", 1), ("a", 1), ("(none)", 1)]

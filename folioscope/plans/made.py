@@ -113,6 +113,15 @@ def appended_runs(spark, sf_dir):
     return held.join(new, "run_id")
 
 
+def archive_import(spark, sf_dir):
+    """What an import of runs brought: the new ones and the measured cost of all."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    rows = runs(spark, sf_dir).select(F.col("target_name").alias("run_id"), F.when(F.col("run_id") % 5 > 0, F.col("cost_cents")).alias("cost_cents"))
+    store.append_runs(rows.where("run_id < 't2'"), path)
+    new = store.append_runs(rows, path)
+    return store.import_account(spark.read.parquet(path), new, "cost_cents")
+
+
 def page_guards(spark, sf_dir):
     """Of each document whether it is thin, its estimated tokens, its hash, and its text without anything like a key."""
     text = F.coalesce("text", F.lit(""))
@@ -263,6 +272,7 @@ SQL = {
     "fetched_ledger": """WITH p AS (SELECT *, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 4 > 0 THEN p_name END AS body FROM part WHERE p_partkey % 7 > 0)
       SELECT 'https://docs.example/' || p_partkey AS url, body IS NOT NULL AND p_partkey % 5 > 0 AS fetched, substring(sha256(body), 1, 16) AS content_hash, length(body) AS bytes FROM p""",
     "manifests_listed": "SELECT printf('run-%02d', n_nationkey) AS \"runId\", n_name AS name, 'complete' AS status, CAST(n_regionkey AS BIGINT) AS pages FROM nation WHERE n_nationkey <> 3",
+    "archive_import": f"WITH {RUNS}, r AS (SELECT target_name, sum(CASE WHEN run_id % 5 > 0 THEN cost_cents END) AS cost FROM runs GROUP BY target_name) SELECT count(*) FILTER (target_name >= 't2') AS imported, count(*) FILTER (target_name < 't2') AS already, count(*) AS total, sum(cost)::BIGINT AS recovered, (sum(cost) FILTER (target_name >= 't2'))::BIGINT AS recovered_now FROM r",
     "appended_runs": f"WITH {RUNS} SELECT target_name AS run_id, count(*) AS n, CASE WHEN target_name < 't2' THEN CAST(sum(cost_cents) AS BIGINT) ELSE 0 END AS cost_cents, CASE WHEN target_name < 't2' THEN 1 ELSE 2 END AS \"import\" FROM runs GROUP BY target_name",
     "page_guards": f"SELECT doc_id, length(coalesce(text, '')) < 800 AS thin, CAST(ceil(length(coalesce(text, '')) / 3.6::DOUBLE) AS BIGINT) AS tokens, substring(sha256(coalesce(text, '')), 1, 16) AS hash, md5({KEYLESS}) AS redacted FROM documents",
     "run_scalars": f"""WITH {RUNS} SELECT run_id, CAST(floor(2.5::DOUBLE * (run_id % 11 + run_id % 7 + run_id % 5 + run_id % 3) + 0.5) AS BIGINT) AS fidelity, cost_cents / 100.0::DOUBLE > 5 AS over, score - fidelity AS gap,
@@ -288,6 +298,6 @@ SQL = {
     "runs_listed": f"WITH {RUNS} SELECT target_type || ':' || target_name AS target, count(*) AS runs, count(*) FILTER (status = 'complete') AS complete, CAST(sum(cost_cents) AS BIGINT) AS cost_cents, max_by(run_id, (run_at, run_id)) AS newest FROM runs GROUP BY ALL",
 }
 QUERIES = [
-    check_rollup, check_scores, check_fixes, ledger_of_texts, products_listed, links_found, fetched_ledger, manifests_listed, appended_runs, page_guards, run_scalars, run_results_without_usage, opportunities, largest_gaps, aligned_dimensions,
+    check_rollup, check_scores, check_fixes, ledger_of_texts, products_listed, links_found, fetched_ledger, manifests_listed, appended_runs, archive_import, page_guards, run_scalars, run_results_without_usage, opportunities, largest_gaps, aligned_dimensions,
     group_pages, focused_group, unique_keys, answer_tiers, audits_parsed, page_details, product_aggregates, runs_listed,
 ]

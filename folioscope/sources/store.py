@@ -64,6 +64,14 @@ def append_runs(new: DataFrame, path: str, key: str = "run_id") -> DataFrame:
     return after if held is None else after.join(held.select(F.col(key).cast("string").alias(key)), key, "left_anti")
 
 
+def import_account(held: DataFrame, new: DataFrame, cost: str, key: str = "run_id") -> DataFrame:
+    """(imported, already, total, recovered, recovered_now) of a table of runs after an import: how many runs are `new` (keys), and the measured cost of all and of these. Runs without a measured cost count as runs only."""
+    runs = held.groupBy(F.col(key).cast("string").alias("run")).agg(F.sum(cost).alias("cost"))
+    marked = runs.join(new.select(F.col(key).cast("string").alias("run"), F.lit(True).alias("fresh")).distinct(), "run", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    money = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return marked.agg(F.count_if("fresh").alias("imported"), F.count_if(~F.col("fresh")).alias("already"), F.count("*").alias("total"), money(F.col("cost")).alias("recovered"), money(F.when(F.col("fresh"), F.col("cost"))).alias("recovered_now"))
+
+
 def write_csv(table: DataFrame, path: str, order: list[str]) -> None:
     """RFC 4180 lines with CRLF and a header; unknown values are empty. One ordered partition for each range of the order."""
     line = F.concat_ws(",", *[csv_field(F.col(c)) for c in table.columns])

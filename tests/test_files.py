@@ -65,6 +65,23 @@ def test_collected_pages_and_their_primary_runs(spark, tmp_path):
     assert (got["d"]["score"], got["d"]["error"] is None, got["d"]["primary_run_index"]) == (None, False, 0)
 
 
+def test_runs_are_judged_anew_only_where_they_are_old(spark, tmp_path):
+    result = lambda i, prompt, r, **more: {"probe_id": i, "prompt": prompt, "fidelity": 5, "retrieval": r} | more
+    probes = {"probes": [{"id": "a", "prompt": "x", "expected_source_urls": ["https://d.example/p"]}, {"id": "b", "prompt": "y"}]}
+    hit = {"cited_urls": ["https://www.d.example/p/"], "hit_expected_source": False}
+    web = [result("a", "x", hit), result("a", "older", hit), result("a", "x", hit | {"via": None}), result("b", "y", {"hit_expected_source": True}), result("c", "z", {}), result("a", "x", None, answer="see d.example/p", harness={"search_degraded": True})]
+    lay(tmp_path / "results", {
+        "p/probes.json": json.dumps(probes), "p/probe-results-1.json": json.dumps({"mode": "web", "results": web, "retrieval_hit_rate_effective": None, "avg_fidelity": 44.5}), "p/probe-results-2.json": json.dumps({"mode": "closed", "results": web[:1]}), "p/probe-results-3.json": "{", "p/probe-results-4.json": "[1]", "p/probe-results-5.json": "{}",
+    })
+    files = artifacts.result_files(spark, str(tmp_path / "results"))
+    got = [(r["hit"], r["via"], r["recomputed"]) for r in artifacts.normal_probes(files, ["page_key"]).where("file like '%1.json'").orderBy("ord").collect()]
+    assert got == [(True, "citation", True), (False, None, False), (False, None, False), (False, None, True), (False, None, False), (True, "mention", True)]
+    runs = {r["file"][14]: r for r in artifacts.normal_runs(files, ["page_key"]).collect()}
+    assert set(runs) == {"1", "2", "5"}
+    assert (runs["1"]["hit_rate"], runs["1"]["hit_rate_effective"], runs["1"]["hit_corrections"], runs["1"]["avg_fidelity"], runs["1"]["degraded"]) == (0.33, 0.33, 3, 44.5, None)
+    assert (runs["2"]["hit_rate"], runs["2"]["hit_rate_effective"], runs["2"]["avg_fidelity"], runs["5"]["probe_count"], runs["5"]["avg_fidelity"]) == (None, None, 5.0, 0, None)
+
+
 def test_shared_values_are_held_once(spark):
     rows = spark.createDataFrame([(1, ("a", [1])), (2, None), (3, ("b", [])), (4, ("a", [1])), (5, (None, [1]))], "k int, v struct<n: string, xs: array<int>>")
     refs, table = artifacts.shared(rows, "v", "index")

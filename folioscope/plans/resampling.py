@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscope.functions.draws import draw_sql, poisson_sql
-from folioscope.functions.num import half_up as half_up_column
 from folioscope.operators import resampling, sampling, stats
 from folioscope.plans.remap import RESULTS, RUNS, half_up, read, results, runs
 from folioscope.plans.stats import SQL as STATS_SQL
@@ -74,9 +73,9 @@ def attenuation(spark, sf_dir):
 
 
 def signed_rank(spark, sf_dir):
-    """Whether a search lifts fidelity, by archetype: signed ranks of the difference of a page's means in both modes."""
+    """Whether a search lifts fidelity, by archetype: signed ranks of the difference of a page's means in both modes, in whole ten-thousandths, whose sums no order of rows changes."""
     means = results(spark, sf_dir).groupBy("archetype", "page_key").agg(*[F.avg(F.when(F.col("mode") == m, F.col("fidelity"))).alias(m) for m in ("web", "closed")])
-    return stats.sign_flips(means.select("archetype", "page_key", half_up_column(F.col("web") - F.col("closed"), 4).alias("d")), "d", ["archetype"], "page_key")
+    return stats.sign_flips(means.select("archetype", "page_key", F.floor((F.col("web") - F.col("closed")) * 10000 + 0.5).alias("d")), "d", ["archetype"], "page_key")
 
 
 RANKED = """r AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0::DOUBLE AS ry FROM v)"""
@@ -141,7 +140,7 @@ SQL = {
     "attenuation": f"""WITH {RESULTS}, part_of AS (SELECT * FROM results WHERE page_key % 5 > 0 OR mode = 'web'), {RELIABILITY.format(by='mode', unit='page_key', value='fidelity', rows='part_of')},
       a AS (SELECT mode, repeats, repeats * r / (1 + (repeats - 1) * r) AS rel FROM (SELECT mode, greatest({half_up('icc', 3)}, 0.05::DOUBLE) AS r FROM icc), (VALUES (4), (6), (8), (10), (12)) t(repeats))
       SELECT mode, repeats, {half_up('rel', 3)} AS reliability, {half_up('0.6::DOUBLE * sqrt(rel)', 2)} AS observed_r FROM a""",
-    "signed_rank": f"""WITH {RESULTS}, m AS (SELECT archetype, page_key, avg(fidelity) FILTER (mode = 'web') AS w, avg(fidelity) FILTER (mode = 'closed') AS c FROM results GROUP BY ALL), d AS (SELECT archetype, page_key, {half_up('w - c', 4)} AS d FROM m WHERE w IS NOT NULL AND c IS NOT NULL),
+    "signed_rank": f"""WITH {RESULTS}, m AS (SELECT archetype, page_key, avg(fidelity) FILTER (mode = 'web') AS w, avg(fidelity) FILTER (mode = 'closed') AS c FROM results GROUP BY ALL), d AS (SELECT archetype, page_key, floor((w - c) * 10000 + 0.5::DOUBLE)::BIGINT AS d FROM m WHERE w IS NOT NULL AND c IS NOT NULL),
       w AS (SELECT archetype, count(*) AS n, {half_up('avg(d)', 4)} AS mean FROM d GROUP BY ALL),
       r AS (SELECT archetype, page_key, sign(d) AS sign, rank() OVER (PARTITION BY archetype ORDER BY abs(d)) + (count(*) OVER (PARTITION BY archetype, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0),
       o AS (SELECT archetype, abs(sum(sign * r)) AS observed FROM r GROUP BY ALL),

@@ -134,3 +134,10 @@ def test_extract():
     for part in ("# H", "a **b**\nc", "- x\n- y", "```ts\nlet a\n```", "| k | v |"):
         assert part in page["markdown"], part
     assert extract("u", "")["markdown"] == "" and extract("u", "<div><p>open")["markdown"] == "open"
+
+
+def test_extract_of_deep_nesting():
+    page = extract("u", "<article><h1>H</h1>" + "<p><b>one<br>two" * 400 + "</article>")["markdown"]
+    assert page.replace("**", "").split() == ["#", "H", *["one", "two"] * 400] and page.count("one\ntwo") == 400
+    assert extract("u", "<main><p>" + "<span>" * 5000 + "word " * 60)["markdown"] == ("word " * 60).strip()
+    assert extract("u", "<main>" + "<div>" * 5000 + "<ul><li>a<li>b</ul>" + "word " * 60)["markdown"] == "- a\n- b\n\n" + ("word " * 60).strip()

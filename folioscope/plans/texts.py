@@ -8,7 +8,7 @@ from folioscope.functions.checks import assessments
 from folioscope.functions.markdown import page_facts
 from folioscope.operators import texts
 from folioscope.plans.remap import read
-from folioscope.session import workers_find_library
+from folioscope.session import spread, workers_find_library
 from folioscope.sources.html import read_pages
 
 URL = "concat('https://docs.example/part/', CAST(p_partkey AS STRING))"
@@ -26,7 +26,7 @@ HTML = f"""concat('<!DOCTYPE html><html><head><title> ', p_name, ' </title>', CA
 def made(spark, sf_dir):
     workers_find_library(spark)
     one = F.expr(JSON_LD)
-    return read(spark, sf_dir, "part").select(F.expr(URL).alias("url"), F.lit("html").alias("format"), F.nullif(F.expr(CANONICAL), F.lit("")).alias("head_html"), F.when(one.isNull(), F.array().cast("array<string>")).otherwise(F.array(one)).alias("json_ld"), F.expr(MARKDOWN).alias("markdown"))
+    return spread(read(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.expr(URL).alias("url"), F.lit("html").alias("format"), F.nullif(F.expr(CANONICAL), F.lit("")).alias("head_html"), F.when(one.isNull(), F.array().cast("array<string>")).otherwise(F.array(one)).alias("json_ld"), F.expr(MARKDOWN).alias("markdown"))
 
 
 def structure_facts(spark, sf_dir):
@@ -62,14 +62,14 @@ def check_verdicts(spark, sf_dir):
 def html_extracted(spark, sf_dir):
     """Title, head, JSON-LD and markdown of HTML pages."""
     workers_find_library(spark)
-    found = read_pages(read(spark, sf_dir, "part").select(F.expr(URL).alias("url"), F.expr(HTML).alias("html")))
+    found = read_pages(spread(read(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.expr(URL).alias("url"), F.expr(HTML).alias("html")))
     return found.select("url", "format", "title", F.md5("head_html").alias("head"), F.array_join("json_ld", "|").alias("json_ld"), F.md5("markdown").alias("markdown"))
 
 
 def markdown_passed_through(spark, sf_dir):
     """Pages whose address says that they are markdown already; their title is their first heading."""
     workers_find_library(spark)
-    found = read_pages(read(spark, sf_dir, "part").select(F.expr(f"concat({URL}, '.md', CASE WHEN p_partkey % 2 = 0 THEN '?a=1' ELSE '' END)").alias("url"), F.expr(MARKDOWN).alias("html")))
+    found = read_pages(spread(read(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.expr(f"concat({URL}, '.md', CASE WHEN p_partkey % 2 = 0 THEN '?a=1' ELSE '' END)").alias("url"), F.expr(MARKDOWN).alias("html")))
     return found.select("url", "format", "title", F.size("json_ld").cast("long").alias("blocks"), F.md5("markdown").alias("markdown"))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from folioscope.operators.grouped import spread_wide
 from folioscope.plans.remap import read, runs
 from folioscope.session import shared_folder
 from folioscope.sources import publish, watchlists
@@ -25,7 +26,7 @@ def list_texts(spark, sf_dir):
 def watchlist_problems(spark, sf_dir):
     """Every violation of lists that are files of their own."""
     path = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
-    list_texts(spark, sf_dir).repartition("file").write.partitionBy("file").text(path)
+    spread_wide(list_texts(spark, sf_dir), "file").write.partitionBy("file").text(path)
     return watchlists.watchlist_problems(watchlists.watchlist_texts(spark, path), ORIGIN)
 
 

@@ -272,3 +272,14 @@ def test_shares_and_places_of_groups(spark):
     assert {r["g"]: r["share"] for r in views.shares(rows, "g").collect()} == {"a": 0.1667, "b": 0.3333, None: 0.1667, "A": 0.1667, "z": 0.1667}
     got = [(r["group"], r["size"]) for r in views.groups(rows, F.col("g"), ["z"]).orderBy("place").collect()]
     assert got == [("z", 1), ("b", 2), ("A", 1), ("a", 1), ("(none)", 1)]
+
+
+def test_long_parts_of_reports(spark):
+    """A field and an entry of 20,000 lines are read whole; at one recursion a line they overflowed the stack."""
+    table = "".join(f"| D{i} | {12 if i == 8 else 11} | 5/10 | 1.0 |\n" for i in range(9))
+    below = "\n".join(f"    x{i}" for i in range(20_000))
+    text = f"# Audit: T\n## ABC Score: 5/100 — B\n{table}| **Total** | 100 | | 9.5 |\n## Dimension analysis\n- **D1:** a\n{below}\n## Prioritized recommendations\n### Tier 1\n- **[P1] A**\n  - **Where:** b\n{below}\n"
+    found = reports.parse_reports(spark.createDataFrame([(1, text)], "i int, text string"), ["i"]).first()
+    rest = " ".join(f"x{i}" for i in range(20_000))
+    assert found["error"] is None
+    assert found["dimensions"][1]["analysis"] == f"a {rest}" and found["recommendations"][0]["where"] == f"b {rest}"

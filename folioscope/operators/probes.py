@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +71,13 @@ def resume_plan(probes: DataFrame, previous: DataFrame, identity: list[str]) ->
     return probes.join(done, [*identity, "probe_id"], "left").withColumn("state", F.when(F.col("_done"), "done").otherwise("todo")).drop("_done")
 
 
+def resume_states(results: DataFrame, identity: list[str], earlier: Column) -> DataFrame:
+    """(identity, probe_id, state) of `resume_plan` where the probes are those of `results` and the earlier runs' results are its rows that `earlier` names: one aggregate, no join. As in a join, a null key meets nothing."""
+    known = [F.col(c).isNotNull() for c in (*identity, "probe_id")]
+    done = F.bool_or(F.coalesce(earlier & F.col("error").isNull(), F.lit(False)) & reduce(and_, known))
+    return results.groupBy(*identity, "probe_id").agg(F.when(done, "done").otherwise("todo").alias("state"))
+
+
 def by_retrieval(results: DataFrame, by: list[str]) -> DataFrame:
     """Fidelity of hits and of misses; delta is null where either side is."""
     hit, miss = F.col("hit") & graded(), ~F.col("hit") & graded()

@@ -6,6 +6,7 @@ import pytest
 import report_oracle
 from pyspark.sql import functions as F
 
+from folioscope import catalog
 from folioscope.functions.checks import assessments, registry
 from folioscope.functions.markdown import page_facts
 from folioscope.operators import cost, probes, resampling, retrieval, rollup, stats, store, views
@@ -283,3 +284,13 @@ def test_long_parts_of_reports(spark):
     rest = " ".join(f"x{i}" for i in range(20_000))
     assert found["error"] is None
     assert found["dimensions"][1]["analysis"] == f"a {rest}" and found["recommendations"][0]["where"] == f"b {rest}"
+
+
+def test_resume_states(spark):
+    """Those of `resume_plan`, by one aggregate: no join, and null keys meet nothing."""
+    rows = spark.createDataFrame([(1, "a", 1, 2, None), (1, "a", 1, 3, None), (1, "a", 2, 2, "late"), (1, "b", 1, 3, None), (2, "b", 1, None, None), (2, "b", 2, 4, None), (2, None, 2, 4, None), (3, "b", None, 4, None)], "page_key int, mode string, probe_id int, run_id int, error string")
+    key = ["page_key", "mode"]
+    found = probes.resume_states(rows, key, F.expr("run_id % 2 = 0"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, probes.resume_plan(rows.select(*key, "probe_id").distinct(), rows.where("run_id % 2 = 0"), key).collect()))
+    plan = catalog.queries()["resume_plan"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

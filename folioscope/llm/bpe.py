@@ -1,8 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
-The encoder's unit is a chunk: text from one single space to the next. A single space between two characters that are no
-white space always opens a pre-token, so chunks are encoded apart without changing the ids; each worker keeps the ids of
-the chunks it has met of late, and the library encodes the others. Other white space stays inside its chunk.
+The encoder's unit is a pre-token. White space behind a character that is none always opens one, so the stretches between such places
+are encoded apart without changing the ids; stretches of ASCII and Latin letters are cut into their pre-tokens by the kinds of
+their bytes, others stay whole. Each worker keeps the ids of the pieces it has met of late, and the library encodes the others.
 """
 
 from __future__ import annotations
@@ -80,47 +80,63 @@ def token_table(path: str) -> list[bytes]:
     return [vocab.get(i, b"") for i in range(max(vocab, default=-1) + 1)]
 
 
-#: A space beside other white space, or at an end; white space is any that Python or Unicode know.
-UNEVEN_SPACE = r" [\s\v\x1c-\x1f\x85\pZ]|[\s\v\x1c-\x1f\x85\pZ] | $"
-SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Letters with ASCII marks behind them at most, and perhaps such behind a line feed: by any pattern of this kind the letters are one
-#: pre-token, with the space before them if there is one, the marks are one, and the line feed is one. Apostrophes may open others.
-MARKS = r"([!-&(-/:-@\[-`{-~]*)"
-PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+){MARKS}(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+){MARKS})?")
+#: The pattern of byte-level BPE, by which texts are cut into pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Kinds of bytes: ASCII letters and two-byte letters up to U+017F, ASCII digits, ASCII marks but the apostrophe, space, line feed; all others; a text's end.
+LETTER, DIGIT, MARK, SPACE, LINE, OTHER, END = range(7)
 CALL_CHARS, CALL_BYTES, LONG_CHUNK = 50_000, 4_000_000, 64
 
 
+@functools.cache
+def kinds() -> np.ndarray:
+    """The kind of each byte; that of bytes from 128 on depends on the byte before, too."""
+    kind = np.full(256, OTHER, np.uint8)
+    kind[33:127] = MARK
+    kind[[*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5]] = LETTER
+    kind[48:58] = DIGIT
+    kind[[32, 10, 39]] = SPACE, LINE, OTHER
+    return kind
+
+
+@functools.cache
+def edges() -> tuple[np.ndarray, np.ndarray]:
+    """By 49 * kind before + 7 * kind + kind behind: whether a pre-token begins at a byte, if no byte of its stretch is of another kind; whether a stretch begins there.
+    Stretches begin with white space behind letters, digits or marks: there a pre-token begins, whatever comes before or after.
+    """
+    prior, own, after = np.unravel_index(np.arange(343), (7, 7, 7))
+    white, black = (own == SPACE) | (own == LINE), own < SPACE
+    stretch = (prior == END) | (white & (prior < SPACE))
+    # of a run of white space the last is a pre-token of its own or, if it is a space, part of the next one
+    last = white & ((prior == SPACE) | (prior == LINE)) & (after != SPACE) & (after != LINE) & (after != END)
+    return stretch | last | (black & ((prior == LINE) | ((prior < SPACE) & (prior != own)))), stretch
+
+
 def by_bytes(library) -> bool:
-    """Whether the library splits texts as byte-level BPE does, so that chunks may be encoded apart."""
+    """Whether the library splits texts as byte-level BPE does, so that stretches may be encoded apart."""
     spec = json.loads(library.to_str())
     steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])
     last = steps[-1] or {}
-    return spec["normalizer"] is None and last.get("type") == "ByteLevel" and not last["add_prefix_space"] and (last["use_regex"] or len(steps) == 2)
+    if spec["normalizer"] is not None or last.get("type") != "ByteLevel" or last["add_prefix_space"] or any(c.isspace() for t in spec["added_tokens"] for c in t["content"]):
+        return False
+    if last["use_regex"]:
+        return len(steps) == 1
+    return len(steps) == 2 and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": PATTERN} and steps[0]["behavior"] == "Isolated" and not steps[0]["invert"]
 
 
 class Encoder:
-    """Ids of whole texts, as the library gives them. One worker remembers the ids of `kept` chunks of up to LONG_CHUNK characters and of
-    as many that it met before those; a chunk that is met again is among the newer ones. Tokenizers of another kind get whole texts.
+    """Ids of whole texts, as the library gives them. Texts are cut into pre-tokens by arithmetic on the kinds of bytes, stretches with bytes of other kinds or
+    added tokens are left whole. Distinct pieces are encoded once: pre-tokens by the library's model, others by the whole library. One worker remembers the ids of
+    `kept` pieces of up to LONG_CHUNK characters and of as many that it met before those; a piece that is met again is among the newer ones.
+    Tokenizers of another kind get whole texts.
     """
 
     def __init__(self, path: str, kept: int = 200_000):
         self.library, self.kept, self.seen, self.older = load(path), kept, {}, {}
         self.model = self.library.model
         self.chunked = by_bytes(self.library)
-        self.char = {i: "".join(byte_to_char()[b] for b in chr(i).encode()) for i in range(256)}
-        self.marks = {"": b"", "\n": self._word(self.char[10])} if self.chunked else {}
-
-    def _word(self, mapped: str) -> bytes:
-        """The ids of one pre-token, in the characters of the byte table, by the library's model."""
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def _mark(self, run: str) -> bytes:
-        ids = self.marks.get(run)
-        if ids is None:
-            ids = self._word(run)
-            if len(self.marks) < 5000:
-                self.marks[run] = ids
-        return ids
+        self.char = {i: "".join(byte_to_char()[b] for b in chr(i).encode()) for i in range(0x180)}
+        added = [re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(added)) if added else None
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -133,78 +149,73 @@ class Encoder:
             at = end
         return out
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        out, other, space = {}, [], self.char[32]
-        for w in chunks:
-            plain = PLAIN.fullmatch(w) if len(w) <= LONG_CHUNK else None
-            if plain is None:
-                other.append(w)
-                continue
-            word, mark, below, last = plain.groups()
-            ids = out.get(word) or self.seen.get(word)
-            if ids is None:
-                ids = out[word] = self._word(space + (word if word.isascii() else word.translate(self.char)))
-            if mark:
-                ids += self._mark(mark)
-            if below:
-                ids += self.marks["\n"] + self._word(below.translate(self.char)) + self._mark(last)
-            if mark or below:
-                out[w] = ids
-        out.update(zip(other, self._by_library([" " + w for w in other])))
-        return out
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        """The ids of pre-tokens, in the characters of the byte table."""
+        tokenize, space, line, char = self.model.tokenize, self.char[32], self.char[10], self.char
+        mapped = (w.replace(" ", space).replace("\n", line) if w.isascii() else w.translate(char) for w in words)
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in mapped]
 
-    def _known(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct chunks with the space before them."""
+    def _known(self, words: list[str], whole: list[bool]) -> list[bytes]:
+        """The ids of distinct pieces; `whole` ones are no pre-tokens and go to the whole library."""
         if len(self.seen) > self.kept:
             self.seen, self.older = {}, self.seen
         found = list(map(self.seen.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        new = []
         for i in missing:
-            w = words[i]
-            x = self.older.get(w)
-            if x is None:
-                new.append(w)
-            else:
-                self.seen[w] = x
-        learned = self._learn(new)
-        self.seen.update((w, x) for w, x in learned.items() if len(w) <= LONG_CHUNK)
-        for i in missing:
-            found[i] = learned.get(words[i]) or self.seen[words[i]]
+            found[i] = self.older.get(words[i])
+        new = [i for i in missing if found[i] is None]
+        for learn, at in ((self._by_model, [i for i in new if not whole[i]]), (self._by_library, [i for i in new if whole[i]])):
+            for i, x in zip(at, learn([words[i] for i in at])):
+                found[i] = x
+        self.seen.update((words[i], found[i]) for i in missing if len(words[i]) <= LONG_CHUNK)
         return found
 
-    def _joined(self, pieces: pa.ListArray) -> list[np.ndarray]:
-        """The ids of texts from their chunks: those of distinct chunks are laid one after the other and gathered."""
-        bounds, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
-        at, code = bounds[:-1], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        firsts = np.zeros(len(code), bool)
-        firsts[at] = True
-        used = np.zeros(len(coded.dictionary), bool)
-        used[code[~firsts]] = True
-        inner = np.flatnonzero(used)
-        heads = self._by_library(pieces.values.take(pa.array(at)).to_pylist())
-        parts = self._known(coded.dictionary.take(pa.array(inner)).to_pylist()) + heads
-        code = (np.cumsum(used) - 1)[code]
-        code[at] = len(inner) + np.arange(len(at))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat, start = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
-        each = size[code]
-        end = np.cumsum(each)
-        out = flat[np.repeat(start[code] - end + each, each) + np.arange(end[-1] if len(end) else 0)]
-        edges = np.concatenate([[0], end])[bounds]
-        return [out[s:e] for s, e in zip(edges, edges[1:])]
+    def _cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of texts begin, and the numbers of those that are no pre-tokens. `bounds`: where the texts, none of them empty, begin and the last one ends."""
+        kind = kinds()[data]
+        lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC5))
+        kind[lead + 1] = LETTER
+        sign = lead[(data[lead] == 0xC3) & ((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7))]  # times and division signs
+        kind[sign] = kind[sign + 1] = OTHER
+        if self.added:
+            for found in self.added.finditer(data):
+                kind[slice(*found.span())] = OTHER
+        prior, after = np.full(len(data), END, np.uint16), np.full(len(data), END, np.uint16)
+        prior[1:], after[:-1] = kind[:-1], kind[1:]
+        prior[bounds[:-1]] = after[bounds[1:] - 1] = END
+        code = prior * 49 + kind * np.uint16(7) + after
+        piece, stretch = (np.flatnonzero(x[code]) for x in edges())
+        odd = np.flatnonzero(kind == OTHER)
+        odd = np.unique(np.searchsorted(stretch, odd, "right")) - 1
+        first = np.searchsorted(piece, stretch[odd])
+        inner = np.zeros(len(piece) + 1, np.int32)
+        inner[first + 1] += 1
+        inner[np.searchsorted(piece, np.append(stretch, len(data))[odd + 1])] -= 1
+        inside = np.cumsum(inner[:-1])
+        return piece[inside == 0], first - np.cumsum(inside)[first]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.chunked or not texts:
             return [np.frombuffer(x, np.uint32) for x in self._by_library(texts)]
         column = pa.array(texts, pa.large_string())
-        uneven = pc.match_substring_regex(column, UNEVEN_SPACE).to_numpy(zero_copy_only=False)
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        for rows, split in ((np.flatnonzero(~uneven), lambda x: pc.split_pattern(x, " ")), (np.flatnonzero(uneven), lambda x: pa.array([SINGLE_SPACE.split(t) for t in x.to_pylist()], pa.list_(pa.large_string())))):
-            if len(rows):
-                for i, ids in zip(rows, self._joined(split(column.take(pa.array(rows))))):
-                    out[i] = ids
-        return out
+        bounds = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
+        if bounds[-1] == 0:
+            return [np.zeros(0, np.uint32)] * len(texts)
+        at, odd = self._cut(np.frombuffer(column.buffers()[2], np.uint8)[: bounds[-1]], np.unique(bounds))
+        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, bounds[-1])), column.buffers()[2])
+        coded = pieces.dictionary_encode()
+        code = coded.indices.to_numpy()
+        whole = pc.greater(pc.binary_length(coded.dictionary), LONG_CHUNK).to_numpy(zero_copy_only=False).copy()
+        whole[code[odd]] = True
+        parts = self._known(coded.dictionary.to_pylist(), whole.tolist())
+        # the ids of distinct pieces are laid one after the other and gathered
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, start = np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size
+        each = size[code]
+        end = np.cumsum(each)
+        out = flat[np.repeat(start[code] - end + each, each) + np.arange(end[-1])]
+        ends = np.concatenate([[0], end])[np.searchsorted(at, bounds)]
+        return [out[s:e] for s, e in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)

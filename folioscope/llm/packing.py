@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +61,12 @@ class Packing:
         """From the bin number of each item; numbers without items are left out."""
         order = np.argsort(bin_of, kind="stable")
         bins = [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(bin_of[order])) + 1)] if len(order) else []
-        return cls(bins, [most - int(size[x].sum()) for x in bins])
+        return cls(bins, (most - np.add.reduceat(size[order], np.cumsum([0, *map(len, bins[:-1])]))).tolist() if bins else [])
 
     def bin_of(self, n: int) -> list[int]:
         out = np.zeros(n, np.int32)
-        for x, members in enumerate(self.bins):
-            out[members] = x
+        held, count = laid_out(self.bins)
+        out[held] = np.repeat(np.arange(len(count)), count)
         return out.tolist()
 
     def fitness(self, most: int) -> tuple[int, float]:
@@ -73,11 +74,18 @@ class Packing:
         return -len(self.bins), float(np.square(1 - np.array(self.room, float) / most).sum())
 
 
+def longest_first(items: list[int], size: np.ndarray) -> tuple[list[int], list[int]]:
+    """The items, longest first and of equal ones the smaller number, and their sizes."""
+    at = np.sort(np.array(items, np.int64))
+    at = at[np.argsort(-size[at], kind="stable")]
+    return at.tolist(), size[at].tolist()
+
+
 def best_fit(bins: list[list[int]], room: list[int], items: list[int], size: np.ndarray, most: int) -> Packing:
     """Place items, longest first, where the least room is left."""
     free = sorted((r, b) for b, r in enumerate(room) if r)
-    for i in sorted(items, key=lambda i: (-size[i], i)):
-        need = int(size[i])
+    items, needs = longest_first(items, size)
+    for i, need in zip(items, needs):
         at = bisect_left(free, (need, -1))
         if at < len(free):
             left, b = free.pop(at)
@@ -93,14 +101,19 @@ def best_fit(bins: list[list[int]], room: list[int], items: list[int], size: np.
     return Packing(bins, room)
 
 
+def laid_out(bins: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all bins, one bin after the other, and the number of items of each."""
+    return np.fromiter(chain.from_iterable(bins), np.int64), np.fromiter(map(len, bins), np.int64, len(bins))
+
+
 def swapped(bins: list[list[int]], room: list[int], items: list[int], size: np.ndarray, tries: int = 256) -> list[int]:
     """Trade displaced items for smaller ones of bins, which get fuller by it; the smaller ones are displaced instead. Small items are easier to place."""
     if not bins or not items:
         return items
-    held = np.array([i for b in bins for i in b])
-    owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    held, count = laid_out(bins)
+    owner = np.repeat(np.arange(len(bins)), count)
     sizes, left = size[held], np.array(room, np.int64)
-    out = sorted(items, key=lambda i: (-size[i], i))
+    out = longest_first(items, size)[0]
     for k in range(min(tries, len(out))):
         gain = int(size[out[k]]) - sizes
         gain[gain > left[owner]] = 0
@@ -121,15 +134,16 @@ def crossover(first: Packing, second: Packing, size: np.ndarray, most: int, rng:
     full = np.flatnonzero(room <= np.quantile(room, 0.8))
     chosen = full[rng.random(len(full)) < rng.uniform(0.2, 0.7)]
     bins, rooms = [list(second.bins[b]) for b in chosen], [int(room[b]) for b in chosen]
-    taken = {i for b in bins for i in b}
-    weakest = set(np.argsort(first.room)[-2:].tolist())  # the emptiest bins of the first parent are dissolved too
-    displaced = []
-    for k, b in enumerate(first.bins):
-        if k in weakest or not taken.isdisjoint(b):
-            displaced += [i for i in b if i not in taken]
-        else:
-            bins.append(list(b))
-            rooms.append(int(first.room[k]))
+    taken = np.zeros(len(size), bool)
+    taken[laid_out(bins)[0]] = True
+    held, count = laid_out(first.bins)
+    taken = taken[held]
+    opened = np.logical_or.reduceat(taken, np.cumsum(count) - count)
+    opened[np.argsort(first.room)[-2:]] = True  # the emptiest bins of the first parent are dissolved too
+    displaced = held[np.repeat(opened, count) & ~taken].tolist()
+    kept = np.flatnonzero(~opened).tolist()
+    bins += [list(first.bins[k]) for k in kept]
+    rooms += [int(first.room[k]) for k in kept]
     return best_fit(bins, rooms, swapped(bins, rooms, displaced, size), size, most)
 
 
@@ -139,10 +153,9 @@ def evolve(size: np.ndarray, most: int, seed: int, given: list[Packing], populat
     least = -(-int(size.sum()) // most)
     people = given or [best_fit([], [], list(range(len(size))), size, most)]
     while len(people) < population and len(people[0].bins) > least:
-        bins = people[0].bins
-        kept = rng.random(len(bins)) < 0.5
-        chosen = [list(b) for b, k in zip(bins, kept) if k]
-        people.append(best_fit(chosen, [most - int(size[b].sum()) for b in chosen], [i for b, k in zip(bins, kept) if not k for i in b], size, most))
+        bins, room = people[0].bins, people[0].room
+        kept = (rng.random(len(bins)) < 0.5).tolist()
+        people.append(best_fit([list(b) for b, k in zip(bins, kept) if k], [r for r, k in zip(room, kept) if k], [i for b, k in zip(bins, kept) if not k for i in b], size, most))
     for _ in range(generations):
         people.sort(key=lambda p: p.fitness(most), reverse=True)
         if len(people[0].bins) <= least:

@@ -47,6 +47,34 @@ def test_encoders_match_libraries_on_strange_texts(by_ranks, library):
     assert all(len(w) <= bpe.LONG_CHUNK for w in [*small.seen, *small.older])
 
 
+def test_encoder_encodes_each_pre_token_once(library):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéñß", k=rng.randint(1, 9))) for _ in range(80)]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", ".\n", " 12\n\n", "; "]) for _ in range(60)) for _ in range(100)]
+    own, met = bpe.Encoder(JSON), []
+
+    class Counted:
+        def tokenize(self, word):
+            met.append(word)
+            return library.model.tokenize(word)
+
+        def encode_batch_fast(self, parts, **options):
+            met.extend(parts)
+            return library.encode_batch_fast(parts, **options)
+
+    own.model = own.library = Counted()
+    assert [x.tolist() for x in own.ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(met) <= len({w for t in texts for w, _ in library.pre_tokenizer.pre_tokenize_str(t)})
+
+
+def test_encoder_cuts_around_every_character_as_the_library_does(by_ranks, library):
+    every = [chr(i) for i in range(0x3005)]
+    texts = [f"a{c}b {c}1 {c} \n{c}\n {c}." for c in every] + ["|>", "a <|endoftext", "|> b", "x\n" * 70, "é" * 70 + " " + "é" * 70]
+    assert [x.tolist() for x in bpe.Encoder(JSON).ids(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in bpe.Encoder(RANKS).ids(texts)] == [by_ranks.encode_ordinary(t) for t in texts]
+    assert [len(x) for x in bpe.Encoder(JSON).ids(["", ""])] == [0, 0] and bpe.Encoder(JSON).ids([]) == []
+
+
 def test_encoder_of_other_kinds_gives_whole_texts_to_the_library():
     path = tokenizers_files.path("word_bpe_49k.json")
     texts = strange(50)
